@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, langid, mixing, packing, simhash, substring, tokens
+from . import embeddings, langid, mixing, packing, quality, simhash, substring, tokens
 from .common import table
 
 
@@ -33,6 +33,12 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    weights = quality.fit(docs, quality.trusted_ids(table(spark, sf_dir, "labels")))
+    return quality.judge(docs.select("doc_id", "text"), weights).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), "byte_bpe_50k.json")
 
