@@ -52,19 +52,22 @@ def repeated(words: Column) -> Column:
     return F.when(n < 3, F.lit(0)).when(F.size(F.array_distinct(hashes)) == n - 2, F.lit(0)).otherwise(heavy).cast("long")
 
 
-def base(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with text_ (never null), words_, the four base counts, n_words and base_failed."""
-    t = F.col("text_")
-    rows = docs.withColumn("text_", F.coalesce(F.col(text), F.lit(""))).withColumn("words_", words_of(t))
-    lines = F.filter(F.split(t, "\n"), lambda x: F.translate(x, " \t\n\x0b\f\r", "") != "")
-    rows = rows.withColumns({
-        "n_words": F.size("words_").cast("long"),
-        "word_chars": F.char_length(F.array_join("words_", "")).cast("long"),
-        "n_symbols": (F.char_length(t) - F.char_length(F.translate(t, "#*$%&|<>", ""))).cast("long"),
-        "n_dup_lines": F.aggregate(F.array(lines), F.lit(0), lambda _, x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-        "n_repeat_words": repeated(F.col("words_")),
-    })
-    return rows.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+def bound(value: Column, use) -> Column:
+    """use(value) with the value computed once, however often it is used and wherever the optimiser moves the whole."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def base(text: Column) -> Column:
+    """Struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed; a null text is empty."""
+
+    def counts(t: Column) -> Column:
+        lines = F.filter(F.split(t, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
+        dup = bound(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
+        symbols = (F.char_length(t) - F.char_length(F.regexp_replace(t, "[#*$%&|<>]+", ""))).cast("long")
+        return bound(words_of(t), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"), symbols.alias("n_symbols"), dup.alias("n_dup_lines"), repeated(w).alias("n_repeat_words")))
+
+    failed = lambda c: (c["n_words"] < 50) | (100 * c["n_repeat_words"] > 50 * c["n_words"])
+    return bound(bound(F.coalesce(text, F.lit("")), counts), lambda c: F.struct(*(c[x].alias(x) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), failed(c).alias("base_failed")))
 
 
 def features(text: Column) -> Column:
@@ -103,8 +106,9 @@ def fit(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc
 def score(text: Column, weights: list[float]) -> Column:
     """Mean weight of a text's features; 0 without any. The weights are one constant, folded by the optimiser."""
     table = F.split(F.lit(",".join(f"{w:.6f}" for w in weights)), ",").cast("array<double>")
-    sums = F.aggregate(features(text), F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")), lambda a, b: F.when(b.isNull(), a).otherwise(F.struct((a["s"] + F.get(table, b)).alias("s"), (a["n"] + 1).alias("n"))), lambda a: F.when(a["n"] > 0, a["s"] / a["n"]).otherwise(0.0))
-    return sums
+    total = lambda bins: F.aggregate(bins, F.lit(0.0), lambda a, b: a + F.coalesce(F.get(table, b), F.lit(0.0)))
+    mean = lambda bins: F.when(F.size(bins) > 1, total(bins) / (F.size(bins) - 1)).otherwise(0.0)  # noqa: E731  the first pair is null
+    return F.aggregate(F.array(features(text)), F.lit(0.0), lambda _, bins: mean(bins))
 
 
 def judge(docs: DataFrame, weights: list[float], text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -113,5 +117,8 @@ def judge(docs: DataFrame, weights: list[float], text: str = "text", threshold:
     A null text counts as empty: no words, base_failed. kept is false where base_failed, else whether llr reaches
     the threshold. Repeated rows are judged alike; columns of docs named as the new ones are replaced.
     """
-    rows = base(docs, text)
-    return rows.withColumn("llr", F.when(~F.col("base_failed"), score(F.col("text_"), weights))).withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("llr") >= threshold, F.lit(False))).drop("text_", "words_")
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    llr = lambda c: F.when(~c["base_failed"], score(F.coalesce(F.col(text), F.lit("")), weights))
+    facts = bound(base(F.col(text)), lambda c: bound(llr(c), lambda x: F.struct(*(c[n].alias(n) for n in names), x.alias("llr"), F.coalesce(x >= threshold, F.lit(False)).alias("kept"))))
+    rest = docs.drop(*names, "llr", "kept")
+    return rest.withColumn("facts_", facts).select(*rest.columns, "facts_.*")

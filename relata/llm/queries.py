@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, langid, mixing, packing, quality, simhash, substring, tokens
+from . import chat, embeddings, langid, licenses, mixing, packing, quality, simhash, substring, tokens
 from .common import table
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_messages(table(spark, sf_dir, "conversations"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), "piece_bpe_32k.model").select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
@@ -29,6 +33,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text", langid.held_out().alias("held_out")), models).drop("text")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return licenses.scan(docs.select("doc_id", "text"), licenses.Classifier(licenses.sample(docs)))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
