@@ -349,7 +349,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", batches: int = 2) -> Dat
                 texts = piece.column("text_").to_pylist()
                 kept, done = list(texts), [None] * len(texts)
                 for number, words, first, key, text_hash in candidates(texts, known):
-                    first = first[np.isin(mixed(key) + text_hash, both)]
+                    wanted = mixed(key) + text_hash
+                    at = np.minimum(np.searchsorted(both, wanted), len(both) - 1)
+                    first = first[both[at] == wanted] if len(both) else first[:0]
                     if not len(first):
                         continue
                     cover = np.zeros(len(words) + 1, np.int64)
