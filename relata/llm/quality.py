@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 BINS = 1 << 14
 #: The trusted multinomial is counted over so many labelled documents at most, by the order of a hash.
 MOST_TRUSTED = 20_000
-#: Added to each bin, as a share of the mean bin.
-SMOOTHING = 0.05
+#: Added to each bin of both multinomials, the raw one at the trusted one's size: what neither can tell weighs nothing.
+SMOOTHING = 1.0
 #: Natural logarithms a feature. Text like the target is near 0 or above.
 THRESHOLD = -0.30
 
@@ -96,11 +96,10 @@ def fit(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc
     raw, target = [0.0] * BINS, [0.0] * BINS
     for b, n, g in counts:
         raw[b], target[b] = float(n), float(g)
-    all_raw, all_target = sum(raw), sum(target)
-    if not all_target:
+    if not sum(target):
         return [0.0] * BINS
-    add_raw, add_target = smoothing * all_raw / BINS, smoothing * all_target / BINS
-    return [math.log((t + add_target) / (all_target * (1 + smoothing))) - math.log((r + add_raw) / (all_raw * (1 + smoothing))) for r, t in zip(raw, target, strict=True)]
+    share = sum(target) / sum(raw)
+    return [math.log(t + smoothing) - math.log(r * share + smoothing) for r, t in zip(raw, target, strict=True)]
 
 
 def score(text: Column, weights: list[float]) -> Column:
