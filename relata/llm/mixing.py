@@ -56,7 +56,16 @@ def rate(size: str, target: str):
     return F.when((s > 0) & (t > 0), F.exp(tilt)).otherwise(0.0)
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def ordered(sized: DataFrame, n: int, key: str) -> DataFrame:
+    """sized (key, source, size, ...) with the source's key, and the bucket and hash that order its documents."""
+    return sized.withColumns({"skey_": F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")), "hash_": F.xxhash64(key, "source", "size")}).withColumn("bucket_", F.pmod("hash_", F.lit(n)).cast("int"))
+
+
+def buckets(rows: int) -> int:
+    return max(256, rows // BUCKET_ROWS)
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, key: str = "doc_id", text: str = "text", source: str = "source", places_too: bool = False) -> DataFrame:
     """key, source, size, source_size, target, rate and taken for every row of docs.
 
     size counts the words of the text (null: 0). taken is a number of words: copies times size, but for one
@@ -65,8 +74,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     nothing and share their places. A null source is a source. An empty table gives an empty result.
     """
     sized = written(docs.select(F.col(key), F.col(source).alias("source"), word_count(binary(text)).alias("size")), "sizes")
-    n = max(256, sized.count() // BUCKET_ROWS)
-    sized = sized.withColumns({"skey_": F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")), "hash_": F.xxhash64(key, "source", "size")}).withColumn("bucket_", F.pmod("hash_", F.lit(n)).cast("int"))
+    sized = ordered(sized, buckets(sized.count()), key)
     sums = sized.groupBy("skey_", "bucket_").agg(F.sum("size").alias("bucket_size_"), F.first("source").alias("source"))
     sources = targets(sums.groupBy("skey_").agg(F.first("source").alias("source"), F.sum("bucket_size_").alias("source_size")), weights, share, most)
     sources = sources.withColumn("rate", rate("source_size", "target")).withColumn("whole_", F.floor(F.col("rate") + 1e-9))
@@ -76,4 +84,21 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     inside = Window.partitionBy("bucket_", "skey_").orderBy("hash_", key, "size").rowsBetween(Window.unboundedPreceding, -1)
     dealt = sized.repartition("bucket_").withColumn("sum_", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     taken = F.col("whole_") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest_") - F.col("base_") - F.col("sum_")))
-    return dealt.join(places, ["bucket_", "skey_"]).select(key, "source", "size", "source_size", "target", "rate", taken.cast("long").alias("taken"))
+    return dealt.join(places, ["bucket_", "skey_"]).select(key, "source", "size", "source_size", "target", "rate", taken.cast("long").alias("taken"), "skey_", "bucket_", "hash_", "whole_").drop(*([] if places_too else ["skey_", "bucket_", "hash_", "whole_"]))
+
+
+def mixed(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """docs with taken_ and size_: how many of their words the mix takes, without moving the texts.
+
+    In a source's order whole further copies go up to one document, whose last copy is cut; so a table of one such
+    place a source tells every document what it gives. Rows equal to that document count like it.
+    """
+    found = written(mix(docs, weights, share, most, key, text, source, places_too=True), "taken")
+    place = F.struct("bucket_", "hash_", F.col(key).alias("key"), "size")
+    extra = F.col("taken") - F.col("whole_") * F.col("size")
+    cuts = found.groupBy("skey_").agg(F.max("whole_").alias("whole_"), F.max(F.when(extra > 0, F.struct(place.alias("place"), extra.alias("extra")))).alias("cut_"))
+    rows = docs.withColumn("size_", word_count(binary(text)))
+    own = ordered(rows.select(rows[key].alias(key), rows[source].alias("source"), F.col("size_").alias("size"), F.struct(*docs.columns).alias("row_")), buckets(found.count()), key)
+    last = F.col("cut_.place")
+    more = F.when(last.isNull(), 0).when(place < last, F.col("size")).when(place == last, F.col("cut_.extra")).otherwise(0)
+    return own.join(cuts, "skey_").select("row_.*", F.col("size").alias("size_"), (F.col("whole_") * F.col("size") + more).cast("long").alias("taken_"))
