@@ -16,8 +16,13 @@ WHITE = np.zeros(256, bool)
 WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
+#: Arrow batches that go to Python workers; at Spark's own 64 MB, batches of long texts fill an executor.
+BATCH_BYTES = "8m"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the input tables, by a path that only Spark has to understand."""
+    """One of the input tables, by a path that only Spark has to understand. The session's Arrow batches are kept small."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -22,7 +22,7 @@ from pyspark.sql.functions import arrow_udf
 from .common import written
 
 #: What a worker remembers of the ids of recent words; it is emptied beyond that.
-CACHE_BYTES = 100 << 20
+CACHE_BYTES = 64 << 20
 #: Rows of one bucket in which ranks are counted.
 BUCKET_ROWS = 1 << 18
 

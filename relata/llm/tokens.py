@@ -17,7 +17,7 @@ from pyspark.sql.functions import arrow_udf
 
 CALL_BYTES = 1 << 20
 #: What a worker remembers of the lengths of recent parts; it is emptied beyond that.
-CACHE_BYTES = 80 << 20
+CACHE_BYTES = 48 << 20
 
 SPACED = re.compile(" *[^ ]+| +")
 
