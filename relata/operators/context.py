@@ -35,9 +35,9 @@ def sample(seeds: DataFrame, edges: DataFrame, width: int = 128, max_hops: int =
     filter_parents hides parents later than the seed (row_times then has row_gid and ts); task_rows lets other
     task rows in as children.
     """
+    edges = cut(edges.select(*[c for c in ("from_gid", "to_gid", "from_ts", "from_task") if c in edges.columns]).distinct())
     down = edges if task_rows else edges.where(~F.col("from_task"))
-    base = seeds.select("seq_id", "row_gid", "seed_ts")
-    pending = base.withColumn("bucket", F.lit(0))
+    pending = seeds.select("seq_id", "row_gid", "seed_ts").withColumn("bucket", F.lit(0))
     visited = None
     for bucket in range(max_hops + 1):
         now = pending.where(F.col("bucket") == bucket).select("seq_id", "row_gid", "seed_ts").distinct()
@@ -45,24 +45,24 @@ def sample(seeds: DataFrame, edges: DataFrame, width: int = 128, max_hops: int =
             now = now.join(visited.select("seq_id", "row_gid"), ["seq_id", "row_gid"], "left_anti")
         root = draw(seed, epoch, "seq_id", "row_gid")
         level = cut(now.select("seq_id", "row_gid", "seed_ts", F.lit(bucket).alias("bucket"), F.lit(0).alias("hop"), root.alias("root_hash"), F.col("row_gid").alias("root_gid")))
-        front = level
+        front, hop = level, 0
         while not front.isEmpty():  # ancestors; what is known already stops a cycle
-            up = front.join(edges.select("from_gid", "to_gid").distinct(), F.col("row_gid") == F.col("from_gid"))
+            hop += 1
+            up = front.join(edges.select("from_gid", "to_gid"), F.col("row_gid") == F.col("from_gid"))
             if filter_parents:
                 up = up.join(row_times.select(F.col("row_gid").alias("to_gid"), F.col("ts").alias("to_ts")), "to_gid").where(visible("to_ts", "seed_ts"))
             up = up.groupBy("seq_id", "to_gid", "seed_ts").agg(F.min(F.struct("root_hash", "root_gid")).alias("r"))
-            up = up.select("seq_id", F.col("to_gid").alias("row_gid"), "seed_ts", F.lit(bucket).alias("bucket"), F.lit(0).alias("hop"), "r.root_hash", "r.root_gid")
+            up = up.select("seq_id", F.col("to_gid").alias("row_gid"), "seed_ts", F.lit(bucket).alias("bucket"), F.lit(hop).alias("hop"), "r.root_hash", "r.root_gid")
             known = level.select("seq_id", "row_gid")
             known = known if visited is None else known.unionByName(visited.select("seq_id", "row_gid"))
-            hop = level.agg(F.max("hop")).first()[0] + 1
-            front = cut(up.join(known, ["seq_id", "row_gid"], "left_anti").withColumn("hop", F.lit(hop)))
+            front = cut(up.join(known, ["seq_id", "row_gid"], "left_anti"))
             level = level.unionByName(front)
-        level = cut(level)
-        visited = level if visited is None else cut(visited.unionByName(level))
+        visited = level if visited is None else visited.unionByName(level)
         if bucket < max_hops:
             front = level.select("seq_id", "row_gid", "seed_ts", (F.col("bucket") + F.col("hop")).alias("depth")).where(F.col("depth") < max_hops)
             new = children(front, down, width, seed, epoch).select("seq_id", "row_gid", "seed_ts", (F.col("depth") + 1).cast("int").alias("bucket"))
-            pending = cut(pending.where(F.col("bucket") > bucket).unionByName(new))
+            pending = pending.where(F.col("bucket") > bucket).unionByName(new)
+            pending = cut(pending) if bucket + 1 < max_hops else pending  # the last bucket reads it once
     return visited.select("seq_id", "row_gid", "bucket", "hop", "root_hash", "root_gid")
 
 

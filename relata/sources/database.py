@@ -6,6 +6,7 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .schema import BOOLEAN, DATETIME, FIXTURE, NUMBER, TEXT, TableSpec, from_footer, semantic_type
 
@@ -13,6 +14,25 @@ from .schema import BOOLEAN, DATETIME, FIXTURE, NUMBER, TEXT, TableSpec, from_fo
 ONE_WINDOW_ROWS = 1_000_000
 
 
+#: What is known of files that have not changed since: schema and number of rows by (path, time, length).
+_SCHEMAS: dict[tuple, T.StructType] = {}
+_ROWS: dict[tuple, int] = {}
+
+
+def stamp(spark: SparkSession, path: str) -> tuple:
+    """Path, time of change and length; any of them differs once a file is replaced."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at)
+    return path, found.getModificationTime(), found.getLen()
+
+
+def parquet(spark: SparkSession, mark: tuple) -> DataFrame:
+    """The stamped file or folder; its schema is inferred once."""
+    if mark not in _SCHEMAS:
+        _SCHEMAS[mark] = spark.read.parquet(mark[0]).schema
+    return spark.read.schema(_SCHEMAS[mark]).parquet(mark[0])
+
+
 def discover(spark: SparkSession, root: str) -> list[tuple[str, str, str]]:
     """(path, name, kind) of root/db/*.parquet, then root/tasks/<task>/{train,val,test}.parquet; each sorted."""
     jvm = spark.sparkContext._jvm
@@ -58,17 +78,19 @@ class RelDatabase:
     def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], specs: tuple[TableSpec, ...]) -> None:
         self.spark, self.frames, self.specs = spark, tables, specs
         self.root = ""
+        self.marks: dict[str, tuple] = {}  # stamps of the tables' files, where known
         self.index = {s.name: i for i, s in enumerate(specs)}
         self.db_index = {s.name: i for i, s in enumerate(specs) if s.kind == "db"}
 
     @classmethod
     def fixture(cls, spark: SparkSession, sf_dir: str) -> RelDatabase:
-        frames = {}
+        frames, marks = {}, {}
         for s in FIXTURE:
-            df = spark.read.parquet(f"{sf_dir}/{s.name}.parquet")
+            marks[s.name] = stamp(spark, f"{sf_dir}/{s.name}.parquet")
+            df = parquet(spark, marks[s.name])
             frames[s.name] = df.withColumns({c: F.col(c) == 1 for c in s.booleans}) if s.booleans else df
         db = cls(spark, frames, FIXTURE)
-        db.root = sf_dir
+        db.root, db.marks = sf_dir, marks
         return db
 
     @classmethod
@@ -84,19 +106,24 @@ class RelDatabase:
 
     def extra(self, name: str) -> DataFrame:
         """A table beside the schema."""
-        return self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        return parquet(self.spark, stamp(self.spark, f"{self.root}/{name}.parquet"))
 
     def spec(self, name: str) -> TableSpec:
         return self.specs[self.index[name]]
 
     @cached_property
     def counts(self) -> dict[str, int]:
-        """Rows of each table, in one job over parquet footers."""
+        """Rows of each table, in one job over parquet footers for those not counted before."""
+        out = {s.name: _ROWS.get(self.marks.get(s.name)) for s in self.specs}
         union = None
-        for s in self.specs:
-            one = self.frames[s.name].agg(F.count("*").alias("n")).select(F.lit(s.name).alias("t"), "n")
+        for name in (name for name, n in out.items() if n is None):
+            one = self.frames[name].agg(F.count("*").alias("n")).select(F.lit(name).alias("t"), "n")
             union = one if union is None else union.unionByName(one)
-        return {r[0]: r[1] for r in union.collect()}
+        for name, n in union.collect() if union is not None else ():
+            out[name] = n
+            if name in self.marks:
+                _ROWS[self.marks[name]] = n
+        return out
 
     def start(self, name: str) -> int:
         return sum(self.counts[s.name] for s in self.specs[: self.index[name]])

@@ -2,14 +2,36 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; a temporary one is set only where none is."""
+    jsc = spark.sparkContext._jsc.sc()
+    if not jsc.getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="relata-"))
+    return jsc.getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder of ``spark.checkpoint.dir``; a temporary one is set only where none is."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="relata-"))
-    return df.checkpoint()
+    """df as a table of the shared folder, written once and read back; unlike a checkpoint it is computed only once.
+
+    The files go away when the session's process ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+
+    def clean() -> None:
+        try:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # the session is gone already; the shared folder has its own retention
+            return
+
+    atexit.register(clean)
+    return spark.read.schema(df.schema).parquet(path)
