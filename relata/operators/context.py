@@ -35,7 +35,7 @@ def sample(seeds: DataFrame, edges: DataFrame, width: int = 128, max_hops: int =
     filter_parents hides parents later than the seed (row_times then has row_gid and ts); task_rows lets other
     task rows in as children.
     """
-    edges = cut(edges.select(*[c for c in ("from_gid", "to_gid", "from_ts", "from_task") if c in edges.columns]).distinct())
+    edges = cut(edges.select(*[c for c in ("from_gid", "to_gid", "from_ts", "from_task") if c in edges.columns]))
     down = edges if task_rows else edges.where(~F.col("from_task"))
     pending = seeds.select("seq_id", "row_gid", "seed_ts").withColumn("bucket", F.lit(0))
     visited = None

@@ -169,17 +169,24 @@ class RelDatabase:
     def edges(self, *children: str) -> DataFrame:
         """(from_gid, from_col, to_gid, from_table, to_table, from_ts, from_task): child to parent by foreign key.
 
-        Null and dangling keys have no edge. from_col is the column's global number.
+        Null and dangling keys have no edge. from_col is the column's global number. A table's rows are numbered
+        once for all its keys, each of which adds a left join; its edges are then taken out of the one row.
         """
         out = None
         for s in self.specs:
-            for column, target in s.fks.items():
-                if (children and s.name not in children) or target not in self.db_index or not self.spec(target).pk:
-                    continue
-                ts = F.col(s.time).cast("timestamp_ntz") if s.time else F.lit(None).cast("timestamp_ntz")
-                child = self.rows(s.name).select(F.col("row_gid").alias("from_gid"), F.col(column).alias("pk"), ts.alias("from_ts"))
-                one = child.join(self.key_index(target), "pk").select("from_gid", F.lit(self.column_index(s.name, column)).cast("long").alias("from_col"), F.col("row_gid").alias("to_gid"), F.lit(self.index[s.name]).cast("long").alias("from_table"), F.lit(self.index[target]).cast("long").alias("to_table"), "from_ts", F.lit(s.kind != "db").alias("from_task"))
-                out = one if out is None else out.unionByName(one)
+            keys = [(c, t) for c, t in s.fks.items() if t in self.db_index and self.spec(t).pk]
+            if not keys or (children and s.name not in children):
+                continue
+            ts = F.col(s.time).cast("timestamp_ntz") if s.time else F.lit(None).cast("timestamp_ntz")
+            one = self.rows(s.name).select(F.col("row_gid").alias("from_gid"), ts.alias("from_ts"), *(F.col(c).alias(f"key_{i}") for i, (c, _) in enumerate(keys)))
+            ends = []
+            for i, (column, target) in enumerate(keys):
+                index = self.key_index(target).select(F.col("pk").alias(f"key_{i}"), F.col("row_gid").alias(f"to_{i}"))
+                one = one.join(index, f"key_{i}", "left")
+                ends.append(F.struct(F.lit(self.column_index(s.name, column)).cast("long").alias("from_col"), F.col(f"to_{i}").alias("to_gid"), F.lit(self.index[target]).cast("long").alias("to_table")))
+            one = one.select("from_gid", "from_ts", F.inline(F.array(*ends))).where("to_gid IS NOT NULL")
+            one = one.select("from_gid", "from_col", "to_gid", F.lit(self.index[s.name]).cast("long").alias("from_table"), "to_table", "from_ts", F.lit(s.kind != "db").alias("from_task"))
+            out = one if out is None else out.unionByName(one)
         return out
 
     def dangling(self, name: str, column: str) -> DataFrame:
