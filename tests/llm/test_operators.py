@@ -243,6 +243,11 @@ def test_language(docs):
     assert (total <= 1 + 1e-9).all() and (total > 0.9).all() and len(both) == 1 and alone is None
 
 
+def test_language_without_models():
+    tags, score, cross, rejected = langid.Models({}).predict(["banana", None, ""])
+    assert tags == ["und"] * 3 and not score.any() and not cross.any() and not rejected.any()
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(120, 20))
