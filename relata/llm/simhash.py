@@ -12,7 +12,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import LongType
@@ -139,3 +139,93 @@ def near_duplicates(docs: DataFrame, most: int = 2, key: str = "doc_id", text: s
     least = joined.groupBy("root").agg(F.min("least_").alias("component_id"))
     member = written(joined.where("root <> fp").select("fp", "root").join(least, "root").select("fp", "component_id").unionByName(joined.where("root = fp").select("fp", F.col("fp").alias("root")).join(least, "root").select("fp", "component_id")), "members")
     return marked.join(member, "fp").select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+#: Min-hashes of a band, and bands. A pair of Jaccard 0.8 shares no band with probability (1 - 0.8 ** 5) ** 38 = 2.8e-7.
+ROWS, BANDS = 5, 38
+_rng = np.random.default_rng(SEED)
+_flips, _odds = _rng.integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
+_odds |= np.uint64(1)
+#: Rounds of one leader a block, before all pairs that are left are compared.
+LEADER_ROUNDS = 3
+
+
+def shingles(text: bytes | None, size: int) -> np.ndarray:
+    """Sorted distinct hashes of a text's runs of ``size`` words, or of all its words if it has no more."""
+    import xxhash
+
+    words = text.lower().split() if text else []
+    if not words:
+        return np.zeros(0, np.uint64)
+    grams = [b" ".join(words)] if len(words) <= size else map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False))
+    return np.unique(np.array([xxhash.xxh64_intdigest(g, SEED) for g in grams], np.uint64))
+
+
+def bands(found: np.ndarray) -> np.ndarray:
+    """A hash of each band of min-hashes."""
+    low = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
+    for i in range(0, len(found), 2048):
+        low = np.minimum(low, ((found[i : i + 2048, None] ^ _flips) * _odds).min(0))
+    out = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for part in low.reshape(BANDS, ROWS).T:
+        out = (out ^ part) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def similar(docs: DataFrame, rest: list, shingle: int = 5, text: str = "text") -> DataFrame:
+    """The columns ``rest`` of every row of docs, and root_, alike for all rows that links reach.
+
+    Rows link where the Jaccard similarity of their sets of shingles is 0.8 or more. Pairs that share a band are
+    candidates, and each that is not linked by others is confirmed on the sets themselves. First all of a block
+    are compared with one leader, a few times; then all pairs of a block that are still apart. Texts without
+    words, null ones too, have equal sets.
+    """
+
+    @arrow_udf("set_ long, size_ long, bands_ array<long>, grams_ binary")
+    def sets(texts: pa.Array) -> pa.Array:
+        import xxhash
+
+        found = [shingles(x.as_py(), shingle) for x in texts]
+        names = np.array([xxhash.xxh3_64_intdigest(f.tobytes()) for f in found], np.uint64).view(np.int64)
+        blocks = pa.array([bands(f).view(np.int64) for f in found], pa.list_(pa.int64()))
+        return pa.StructArray.from_arrays([pa.array(names), pa.array([len(f) for f in found], pa.int64()), blocks, pa.array([f.tobytes() for f in found], pa.binary())], ["set_", "size_", "bands_", "grams_"])
+
+    @arrow_udf("boolean")
+    def alike(a: pa.Array, b: pa.Array) -> pa.Array:
+        out = []
+        for x, y in zip(a, b, strict=True):
+            x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            out.append(5 * both >= 4 * (len(x) + len(y) - both))
+        return pa.array(out, pa.bool_())
+
+    marked = written(docs.select(*rest, sets(binary(text)).alias("s_")).select("*", "s_.*").drop("s_"), "sets")
+    classes = marked.groupBy("set_").agg(F.first("size_").alias("size_"), F.first("bands_").alias("bands_"))
+    blocks = classes.select("set_", "size_", F.explode("bands_").alias("block_")).withColumn("n_", F.count("*").over(Window.partitionBy("block_"))).where("n_ > 1").drop("n_")
+    blocks = written(blocks, "blocks")
+    wanted = blocks.select("set_").distinct()
+    grams = written(marked.select("set_", "grams_").join(wanted, "set_", "left_semi").groupBy("set_").agg(F.first("grams_").alias("grams_")), "grams")
+    links = None
+    roots = None
+    for k in range(LEADER_ROUNDS + 1):
+        now = blocks if roots is None else blocks.join(roots.withColumnRenamed("node", "set_"), "set_", "left").withColumn("root", F.coalesce("root", "set_"))
+        now = now.withColumn("root", F.col("set_")) if roots is None else now
+        if k:  # blocks that one component fills are done
+            apart = now.groupBy("block_").agg((F.min("root") < F.max("root")).alias("apart_")).where("apart_").select("block_")
+            now = now.join(apart, "block_", "left_semi")
+        fits = lambda a, b: 5 * F.least(a, b) >= 4 * F.greatest(a, b)
+        if k < LEADER_ROUNDS:
+            lead = now.groupBy("block_").agg(F.min_by(F.struct("set_", "size_", "root"), F.xxhash64("set_", F.lit(k))).alias("lead_"))
+            pairs = now.join(lead, "block_").where(F.col("root") != F.col("lead_.root")).where(fits(F.col("size_"), F.col("lead_.size_"))).select("set_", F.col("lead_.set_").alias("other_"))
+        else:
+            other = now.select("block_", F.col("set_").alias("other_"), F.col("size_").alias("other_size_"), F.col("root").alias("other_root_"))
+            pairs = now.join(other, "block_").where((F.col("set_") < F.col("other_")) & (F.col("root") != F.col("other_root_"))).where(fits(F.col("size_"), F.col("other_size_"))).select("set_", "other_")
+        pairs = pairs.select(F.greatest("set_", "other_").alias("a"), F.least("set_", "other_").alias("b")).distinct()
+        both = pairs.join(grams.select(F.col("set_").alias("a"), F.col("grams_").alias("x_")), "a").join(grams.select(F.col("set_").alias("b"), F.col("grams_").alias("y_")), "b")
+        more = written(both.where(alike("x_", "y_")).select("a", "b"), "similar")
+        if k and more.isEmpty():
+            continue
+        links = more if links is None else roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
+        roots = written(connected_components(links, "similar"), "roots")
+    return marked.drop("size_", "bands_", "grams_").join(roots.withColumnRenamed("node", "set_"), "set_", "left").withColumn("root_", F.coalesce("root", "set_")).drop("set_", "root")

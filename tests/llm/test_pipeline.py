@@ -1,5 +1,8 @@
 """The pipeline's stages, each on what the one before left."""
 
+import random
+from collections import Counter
+
 import corpus_pipeline as P
 
 
@@ -16,3 +19,42 @@ def test_pipeline(spark):
             assert docs.count() < n and docs.select("doc_id").distinct().count() == docs.count()
     assert docs.groupBy("sequence_id").sum("length").agg({"sum(length)": "max"}).first()[0] <= 2048
     assert P.run(spark, d).count() == docs.count()
+
+
+def _sets(text, n=5):
+    w = (text or "").lower().split()
+    return frozenset(" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1)))
+
+
+def planted():
+    """Documents with copies that share more and less than four fifths of their shingles, and equal texts."""
+    r = random.Random(8)
+    some = lambda n: [f"w{r.randrange(5000)}" for _ in range(n)]
+    rows = [(i, " ".join(some(120))) for i in range(30)]
+    for k in range(8):  # chains of copies, each a few words further from the first
+        words = some(200)
+        for step in range(4):
+            rows.append((100 + 10 * k + step, " ".join(words)))
+            for _ in range(k // 2 + 1):
+                words[r.randrange(200)] = f"x{r.randrange(5000)}"
+    again = " ".join(some(90))
+    rows += [(200, again), (None, again), (201, rows[0][1])]
+    return [(i, t, "en", "s", len(t)) for i, t in rows]
+
+
+def test_near_duplicates_are_those_of_five_word_shingles(spark):
+    rows = planted()
+    sets = [_sets(x[1]) for x in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [b if x == a else x for x in root]
+    groups = {}
+    for x, k in zip(rows, root, strict=True):
+        groups.setdefault(k, []).append(x)
+    want = Counter(min(g, key=lambda x: (x[0] is None, x[0] or 0)) for g in groups.values())
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = P.near_duplicates(spark, docs, "")
+    assert Counter(map(tuple, kept.collect())) == want and len(want) < len(rows) - 15
