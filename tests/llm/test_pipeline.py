@@ -27,7 +27,7 @@ def _sets(text, n=5):
 
 
 def planted():
-    """Documents with copies that share more and less than four fifths of their shingles, and equal texts."""
+    """Documents with copies that share more and less than four fifths of their shingles, repeated rows and null ids."""
     r = random.Random(8)
     some = lambda n: [f"w{r.randrange(5000)}" for _ in range(n)]
     rows = [(i, " ".join(some(120))) for i in range(30)]
@@ -37,12 +37,12 @@ def planted():
             rows.append((100 + 10 * k + step, " ".join(words)))
             for _ in range(k // 2 + 1):
                 words[r.randrange(200)] = f"x{r.randrange(5000)}"
-    again = " ".join(some(90))
-    rows += [(200, again), (None, again), (201, rows[0][1])]
+    again, nameless = " ".join(some(90)), " ".join(some(90))
+    rows += [(200, again)] * 3 + [(None, again), (201, rows[0][1]), (None, nameless), (None, nameless), (None, " ".join(some(90)))]
     return [(i, t, "en", "s", len(t)) for i, t in rows]
 
 
-def test_near_duplicates_are_those_of_five_word_shingles(spark):
+def test_near_duplicates_leave_one_row_of_each_component(spark):
     rows = planted()
     sets = [_sets(x[1]) for x in rows]
     root = list(range(len(rows)))
@@ -56,5 +56,10 @@ def test_near_duplicates_are_those_of_five_word_shingles(spark):
         groups.setdefault(k, []).append(x)
     want = Counter(min(g, key=lambda x: (x[0] is None, x[0] or 0)) for g in groups.values())
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
-    kept = P.near_duplicates(spark, docs, "")
+    docs = P.written(docs, "planted")
+    kept = P.written(P.near_duplicates(spark, docs, ""), "kept")
     assert Counter(map(tuple, kept.collect())) == want and len(want) < len(rows) - 15
+    # what is left once keeps all its words
+    lost = {x.doc_id: x.text for x in P.repeated_passages(spark, kept, "").collect()}
+    again = next(x[1] for x in rows if x[0] == 200)
+    assert lost[200] == again and len(lost) >= len({x[0] for x in want})
