@@ -243,6 +243,21 @@ def test_language(docs):
     assert (total <= 1 + 1e-9).all() and (total > 0.9).all() and len(both) == 1 and alone is None
 
 
+def test_language_models_hold_every_gram(docs, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_GRAMS", 20)
+    rows = [(i, " ".join(RANDOM.choice(WORDS) for _ in range(40)), "aa") for i in range(30)] + [(40, "xylem", "bb"), (41, "zephyr crypt", "bb")]
+    counts = {}
+    for _, text, lang in rows:
+        for word in langid.letters(text):
+            p = langid.padded(word)
+            counts.setdefault(lang, collections.Counter()).update(p[i : i + 4] for i in range(len(p) - 3))
+    want = langid.Models(counts)
+    got = langid.fit(docs.sparkSession.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert got.langs == ["aa", "bb"] and got.predict(["crypt"])[0] == ["bb"]
+    for a, b in zip(got.grams + got.history, want.grams + want.history, strict=True):
+        assert (a[0] == b[0]).all() and a[1] == pytest.approx(b[1])
+
+
 def test_language_without_models():
     tags, score, cross, rejected = langid.Models({}).predict(["banana", None, ""])
     assert tags == ["und"] * 3 and not score.any() and not cross.any() and not rejected.any()
