@@ -310,6 +310,15 @@ def test_licences(docs):
     assert licenses.scan(empty(docs), licenses.Classifier([])).count() == 0
 
 
+def test_licences_whose_words_are_sampled_in_longer_lines(docs):
+    longer = ["Copyright 2020 Foo Inc. All rights reserved.", "Released under the MIT License by Jane Doe, see the LICENSE file for details"]
+    prose = [r[1] for r in ROWS if r[1]][:20] + ["this work is good and free for the public", "all the rights of a person", "the file is part of it"]
+    model = licenses.Classifier(prose + longer)
+    rows = [(1, "All rights reserved."), (2, "Released under the MIT License."), (3, f"{some_text(20)}\n{longer[1]}"), (4, "this work is good"), (5, longer[0])]
+    got = {r.doc_id: r for r in licenses.scan(docs.sparkSession.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert [got[i].family for i in (1, 2, 3, 4, 5)] == ["proprietary", "mit", "mit", "unknown", "proprietary"] and got[1].confirmed and got[2].confirmed
+
+
 def test_chat(spark):
     call = lambda i, name, args, after=(): f'<tool_call>{{"id": "{i}", "name": "{name}", "arguments": {args}, "after": [{",".join(chr(34) + a + chr(34) for a in after)}]}}</tool_call>'
     rows = [
