@@ -2,8 +2,8 @@
 
 A message's text may hold calls, ``<tool_call>{"id": ..., "name": ..., "arguments": {...}, "after": [...]}</tool_call>``;
 a message of role ``tool`` is a result, ``{"id": ..., "content": ...}``. Messages are parsed one by one; calls and
-results are then joined on conversation and identifier, and their levels are found round by round, a call one above
-the calls it comes after. No conversation is ever gathered into one task: the order is given as columns.
+results are then joined on conversation and identifier, and their levels are found by joins, a call one above the
+calls it comes after: chains of calls after one other by pointer doubling, the rest round by round. No conversation is ever gathered into one task: the order is given as columns.
 """
 
 from __future__ import annotations
@@ -95,7 +95,7 @@ def parse(role: str | None, text: str | None, schemas: dict[str, dict]) -> tuple
     return canonical(message), calls, answers
 
 
-def format_messages(messages: DataFrame, schemas: dict[str, dict] = SCHEMAS, conv: str = "conv_id", turn: str = "turn", rounds: int = 1000) -> DataFrame:
+def format_messages(messages: DataFrame, schemas: dict[str, dict] = SCHEMAS, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
     """A row for each message: conv, turn, role, message_json, n_calls, n_invalid, answers, status, order_turn, level.
 
     n_invalid counts calls that are no objects with an identifier and a name, name no known tool, or have
@@ -126,19 +126,32 @@ def format_messages(messages: DataFrame, schemas: dict[str, dict] = SCHEMAS, con
         levels = levels.select("conv_", "id", "call_turn", F.lit(0).alias("call_level"), F.col("call_turn").alias("order_turn"))
     else:
         edges = written(edges, "edges")
-        # Kahn: what waits for nothing gets the next level; a level is two, a call's and its results'
-        waiting = levels.select("conv_", "id", "call_turn")
-        done = written(waiting.join(edges, ["conv_", "id"], "left_anti").withColumns({"call_level": F.lit(0), "order_turn": F.col("call_turn")}), "level")
-        n = done.count()
-        for level in range(1, rounds + 1):
-            known = done.select("conv_", F.col("id").alias("before"), F.col("order_turn").alias("before_turn"))
-            ready = edges.join(known, ["conv_", "before"], "left").groupBy("conv_", "id").agg(F.min(F.col("before_turn").isNotNull()).alias("all_"), F.max("before_turn").alias("least_turn")).where("all_")
-            new = waiting.join(done, ["conv_", "id"], "left_anti").join(ready, ["conv_", "id"]).select("conv_", "id", "call_turn", F.lit(2 * level).alias("call_level"), F.greatest("call_turn", "least_turn").alias("order_turn"))
-            done = written(done.unionByName(new), "level")
-            before, n = n, done.count()
-            if n == before:
+        nodes = levels.select("conv_", "id", "call_turn")
+        waits = edges.groupBy("conv_", "id").agg(F.count("*").alias("n_"), F.min("before").alias("to_"))
+        # calls after one other point to it; pointers are doubled until they reach a call after none or several
+        jump = written(waits.where("n_ = 1").join(nodes, ["conv_", "id"]).select("conv_", "id", "to_", F.lit(1).cast("long").alias("steps_"), F.col("call_turn").alias("far_")), "jump")
+        for _ in range(jump.count().bit_length() + 1):  # what still moves then is on a cycle or after one
+            on = jump.select("conv_", F.col("id").alias("to_"), F.col("to_").alias("next_"), F.col("steps_").alias("more_"), F.col("far_").alias("then_"))
+            if jump.join(on, ["conv_", "to_"], "left_semi").isEmpty():
+                break
+            moved = jump.join(on, ["conv_", "to_"], "left")
+            jump = written(moved.select("conv_", "id", F.coalesce("next_", "to_").alias("to_"), (F.col("steps_") + F.coalesce("more_", F.lit(0))).alias("steps_"), F.greatest("far_", "then_").alias("far_")), "jump")
+        # Kahn for the rest: a call gets its level when all it waits for have theirs; a level is two, a call's and its results'
+        heads = jump.withColumnRenamed("id", "before")
+        rest = edges.join(waits.where("n_ > 1").select("conv_", "id"), ["conv_", "id"], "left_semi").join(heads, ["conv_", "before"], "left")
+        rest = written(rest.select("conv_", "id", F.coalesce("to_", "before").alias("head_"), (F.coalesce("steps_", F.lit(0)) + 1).alias("steps_"), "far_"), "rest")
+        done = written(nodes.join(waits, ["conv_", "id"], "left_anti").select("conv_", "id", F.lit(0).cast("long").alias("call_level"), F.col("call_turn").alias("order_turn")), "level")
+        while True:
+            known = done.select("conv_", F.col("id").alias("head_"), F.col("call_level").alias("before_level"), F.col("order_turn").alias("before_turn"))
+            ready = rest.join(known, ["conv_", "head_"], "left").groupBy("conv_", "id").agg(F.min(F.col("before_level").isNotNull()).alias("all_"), F.max(F.col("before_level") + 2 * F.col("steps_")).alias("call_level"), F.max(F.greatest("before_turn", "far_")).alias("least_turn")).where("all_")
+            new = written(ready.join(nodes, ["conv_", "id"]).select("conv_", "id", "call_level", F.greatest("call_turn", "least_turn").alias("order_turn")), "level")
+            if new.isEmpty():
                 break
-        levels = waiting.join(done.drop("call_turn"), ["conv_", "id"], "left")
+            done = written(done.unionByName(new), "level")
+            rest = written(rest.join(new, ["conv_", "id"], "left_anti"), "rest")
+        ends = done.select("conv_", F.col("id").alias("to_"), "call_level", "order_turn")
+        chains = jump.join(ends, ["conv_", "to_"]).select("conv_", "id", (F.col("call_level") + 2 * F.col("steps_")).alias("call_level"), F.greatest("order_turn", "far_").alias("order_turn"))
+        levels = nodes.join(done.unionByName(chains).withColumn("call_level", F.col("call_level").cast("int")), ["conv_", "id"], "left")
     own = parsed.where("conv_ IS NOT NULL AND n_calls > 0").select("conv_", "turn_", F.explode("calls_.id").alias("id")).join(levels, ["conv_", "id"]).where(F.col("turn_") == F.col("call_turn"))
     own = own.groupBy(F.col("conv_").alias("c_"), F.col("turn_").alias("t_")).agg(F.when(F.max(F.col("call_level").isNull()), None).otherwise(F.max("call_level")).alias("own_level"), F.max("order_turn").alias("own_turn"))
     links = levels.select(F.col("conv_").alias("l_"), F.col("id").alias("link_id"), "call_turn", F.col("call_level").alias("link_level"), F.col("order_turn").alias("link_turn"))

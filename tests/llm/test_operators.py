@@ -319,6 +319,29 @@ def test_licences_whose_words_are_sampled_in_longer_lines(docs):
     assert [got[i].family for i in (1, 2, 3, 4, 5)] == ["proprietary", "mit", "mit", "unknown", "proprietary"] and got[1].confirmed and got[2].confirmed
 
 
+def test_chat_levels_of_long_chains_and_of_graphs(spark):
+    r = random.Random(4)
+    after = {(1, str(i)): [str(i - 1)] if i > 1 else [] for i in range(1, 1103)}
+    after |= {(2, str(i)): sorted({str(r.randrange(max(0, i - 6), i)) for _ in range(r.randrange(4))}) if i else [] for i in range(60)}
+    after |= {(3, "a"): ["b"], (3, "b"): ["a"], (3, "c"): ["b"], (3, "d"): ["c", "e"], (3, "e"): [], (3, "f"): ["d"], (3, "g"): ["g"], (3, "h"): ["e", "zz"]}
+    turn = {c: {k: i for i, k in enumerate(r.sample(sorted(k for d, k in after if d == c), sum(d == c for d, _ in after)))} for c in (1, 2, 3)}
+    level, order = {}, {}
+    while True:
+        new = [x for x, a in after.items() if x not in level and all((x[0], b) in level for b in a if (x[0], b) in after)]
+        if not new:
+            break
+        for c, k in new:
+            before = [(c, b) for b in after[c, k] if (c, b) in after]
+            level[c, k] = max((level[b] + 2 for b in before), default=0)
+            order[c, k] = max([turn[c][k], *(order[b] for b in before)])
+    rows = [(c, turn[c][k], "assistant", f'<tool_call>{{"id": "{k}", "name": "fetch", "arguments": {{"url": "u"}}, "after": [{",".join(chr(34) + b + chr(34) for b in a)}]}}</tool_call>') for (c, k), a in after.items()]
+    got = {(x.conv_id, x.turn): x for x in chat.format_messages(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    for c, k in after:
+        x = got[c, turn[c][k]]
+        assert x.level == level.get((c, k)) and (x.level is None or x.order_turn == order[c, k])
+    assert max(level.values()) == 2202 and sum(x.level is None for x in got.values()) == 6
+
+
 def test_chat(spark):
     call = lambda i, name, args, after=(): f'<tool_call>{{"id": "{i}", "name": "{name}", "arguments": {args}, "after": [{",".join(chr(34) + a + chr(34) for a in after)}]}}</tool_call>'
     rows = [
