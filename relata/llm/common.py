@@ -5,11 +5,13 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 #: ASCII white space, the separators of ``[^\x20\x09-\x0D]+`` and of ``bytes.split()``.
 WHITE = np.zeros(256, bool)
@@ -69,6 +71,46 @@ def written(df: DataFrame, name: str, sort: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def at_rest() -> None:
+    """Gives memory that a Python worker no longer uses back to the system; Spark keeps idle workers for a minute."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        return
+
+
+def over_batches(kind, several: bool = False):
+    """An Arrow function, of one array or of several, that leaves no unused memory in the worker behind."""
+
+    def wrap(f):
+        def one(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            try:
+                yield from map(f, batches)
+            finally:
+                at_rest()
+
+        def more(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+            try:
+                yield from (f(*x) for x in batches)
+            finally:
+                at_rest()
+
+        return arrow_udf(more if several else one, kind)
+
+    return wrap
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """A name like the given one that none of the columns has."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def binary(column: str):
     """A text column's UTF-8 bytes, for Arrow functions that need no decoding."""
     return F.col(column).cast("binary")

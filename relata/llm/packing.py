@@ -15,16 +15,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import written
+from .common import at_rest, values, written
 
-#: What a worker remembers of the ids of recent words; it is emptied beyond that.
-CACHE_BYTES = 64 << 20
+#: What a worker remembers of the ids of words of one generation; there are two, and the older one is then forgotten.
+CACHE_BYTES = 48 << 20
 #: Rows of one bucket in which ranks are counted.
 BUCKET_ROWS = 1 << 18
+#: Bytes of text whose words are told apart at once; a longer text is one such part.
+CHUNK = 1 << 22
 
 PIECES = "piece int, start long, length long, ids_crc32 long"
 
@@ -33,8 +36,8 @@ class Encoder:
     """Ids of whole texts by a byte-level BPE file of the tokenizers library, as little-endian bytes.
 
     The file's pattern begins a token at every blank that follows a non-blank, so that a text is encoded word
-    by word: a word is a blank with the non-blanks behind it. A text where blanks meet other white space is
-    encoded as a whole.
+    by word: a word is a blank with the non-blanks behind it. A text where blanks meet other white space, or that
+    begins or ends with white space, is encoded as a whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -46,52 +49,82 @@ class Encoder:
         self.model = Tokenizer.from_file(path)
         self.model.no_truncation()
         self.model.no_padding()
-        self.first: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.room = CACHE_BYTES
+        self.forget()
         self.blank = np.zeros(self.model.get_vocab_size(), bool)
         self.blank[[i for t, i in self.model.get_vocab().items() if t.startswith("Ġ")]] = True  # how byte-level files write a blank
         self.split = all(self._pack(self.model.encode(a + b, add_special_tokens=False)) == self._pack(self.model.encode(a, add_special_tokens=False)) + self._pack(self.model.encode(b, add_special_tokens=False)) for a, b in (("one", " two"), ("a.", " 's"), ("é\n", " 9,"), ("x", " <|endoftext|>")))
 
+    def forget(self) -> None:
+        """Drops what is remembered of words."""
+        self.first: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.room = CACHE_BYTES
+
     @staticmethod
     def _pack(encoding) -> bytes:
         return np.array(encoding.ids, "<u4").tobytes()
 
     def whole(self, text: str) -> bytes:
-        return self._pack(self.model.encode(text, add_special_tokens=False))
-
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if not self.split:
-            return self.whole(text)
-        head, *rest = text.split(" ")
-        try:
-            return self.head(head) + b"".join(map(self.words.__getitem__, rest))
-        except KeyError:
-            if self.room < 0:
-                self.first, self.words, self.room = {}, {}, CACHE_BYTES
-            unknown = [w for w in dict.fromkeys([head, *rest]) if w not in self.words]
-            if any(not w or w[0].isspace() or w[-1].isspace() for w in unknown):
-                return self.whole(text)
-            self.learn(unknown)
-            return self.head(head) + b"".join(map(self.words.__getitem__, rest))
+        return self._pack(self.model.encode_batch_fast([text], add_special_tokens=False)[0])
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of every text of a string array; null is the empty text."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        size = np.diff(values(texts)[1])
+        cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(size) // CHUNK)) + 1).tolist(), len(texts)]
+        return [x for a, b in zip(cuts, cuts[1:], strict=False) for x in self.some(texts.slice(a, b - a))]
+
+    def some(self, texts: pa.Array) -> list[bytes]:
+        """Words of several texts are told apart by Arrow, so that only distinct ones are looked up."""
+        if not self.split or not len(texts):
+            return [self.whole(t) if t else b"" for t in texts.to_pylist()]
+        lists = pc.split_pattern(texts, " ")
+        coded = lists.flatten().dictionary_encode()
+        words, place = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), np.array(coded.indices)
+        begin = np.concatenate([[0], np.cumsum(np.array(pc.list_value_length(lists), np.int64))])
+        unknown = set(words).difference(self.words)
+        older = self.older
+        again = [w for w in unknown if w in older]
+        self.words.update((w, older[w]) for w in again)
+        unknown.difference_update(again)
+        odd = {w for w in unknown if not w or w[0].isspace() or w[-1].isspace()}
+        unknown -= odd
+        if unknown:
+            self.learn(list(unknown))
+        heads = [words[k] for k in place[begin[:-1]].tolist()]
+        found = [*(self.words.get(w, b"") for w in words), *(b"" if w in odd else self.head(w) for w in heads)]
+        place[begin[:-1]] = np.arange(len(words), len(found))  # a text's first word has no blank before it
+        many = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        first, ids = np.cumsum(many) - many, np.frombuffer(b"".join(found), "<u4")
+        n = many[place]
+        end = np.cumsum(n)
+        kind = np.int32 if max(end[-1], len(ids)) < 1 << 31 else np.int64
+        line = ids[np.arange(end[-1], dtype=kind) + np.repeat((first[place] - end + n).astype(kind), n)]
+        edge = np.concatenate([[0], end])[begin]
+        data, at = line.tobytes(), (4 * edge).tolist()
+        out = [data[a:b] for a, b in zip(at, at[1:], strict=False)]
+        if odd:
+            strange = np.append(np.array([w in odd for w in words]), [w in odd for w in heads])
+            for k in np.flatnonzero(np.add.reduceat(strange[place], begin[:-1])).tolist():
+                text = texts[k].as_py()
+                out[k] = self.whole(text) if text else b""
+        self.room -= sum(map(len, unknown)) + 170 * (len(unknown) + len(again))
+        if self.room < 0:
+            self.first, self.words, self.older, self.room = {}, {}, self.words, CACHE_BYTES
+        return out
 
     def learn(self, words: list[str]) -> None:
         """Words hold no blank, so that in the ids of all of them a new word begins where a token begins with one."""
-        ids = np.array(self.model.encode(f" {' '.join(words)}" if words else "", add_special_tokens=False).ids, "<u4")
-        at = np.flatnonzero(self.blank[ids]).tolist()
+        ids = np.array(self.model.encode_batch_fast([f" {' '.join(words)}"], add_special_tokens=False)[0].ids, "<u4")
+        at = np.flatnonzero(self.blank[ids])
         if len(at) != len(words):
             raise ValueError("a word has no token of its own that begins with a blank")
-        data = ids.tobytes()
-        for w, a, b in zip(words, at, [*at[1:], len(ids)], strict=True):
-            self.words[w] = data[4 * a : 4 * b]
-            self.room -= len(w) + 4 * (b - a) + 150
+        data, edges = ids.tobytes(), (4 * np.append(at, len(ids))).tolist()
+        self.words.update(zip(words, map(data.__getitem__, map(slice, edges, edges[1:])), strict=True))
 
     def head(self, word: str) -> bytes:
         """A text's first word has no blank before it."""
-        if not word or word[-1].isspace():
-            raise KeyError(word)
         if word not in self.first:
             self.first[word] = self.whole(word)
             self.room -= 5 * len(word) + 150
@@ -124,11 +157,15 @@ def pieces(docs: DataFrame, file: str, capacity: int = 2048, end: int = 0, key:
         import public_tokenizers
 
         found = encoder(file if "/" in file else public_tokenizers.path(file))
-        for batch in batches:
-            for i in range(0, len(batch), 512):
-                keys, rows = batch.column(0).slice(i, 512), [(k, *x) for k, t in enumerate(batch.column(1).slice(i, 512).to_pylist()) for x in cut(found.encode(t) + tail, capacity)]
-                at, *cols = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([keys.take(pa.array(at)), *(pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True))], names=[key, "piece", "start", "length", "ids_crc32"])
+        try:
+            for batch in batches:
+                for i in range(0, len(batch), 2048):
+                    keys, rows = batch.column(0).slice(i, 2048), [(k, *x) for k, ids in enumerate(found.encode(batch.column(1).slice(i, 2048))) for x in cut(ids + tail, capacity)]
+                    at, *cols = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(at)), *(pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True))], names=[key, "piece", "start", "length", "ids_crc32"])
+        finally:  # the worker stays for other stages
+            found.forget()
+            at_rest()
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text).mapInArrow(run, f"{key} {kind}, {PIECES}")
