@@ -19,13 +19,18 @@ def visible(ts: str, cutoff: str) -> Column:
 
 
 def children(frontier: DataFrame, edges: DataFrame, width: int, seed: int = 42, epoch: int = 0) -> DataFrame:
-    """(seq_id, parent, row_gid, h, rank): at most width visible children of each frontier row (seq_id, row_gid, seed_ts), in hash order."""
-    found = frontier.join(edges, frontier.row_gid == edges.to_gid).where(visible("from_ts", "seed_ts")).select("seq_id", "seed_ts", F.col("to_gid").alias("parent"), F.col("from_gid").alias("row_gid"), *[c for c in ("depth",) if c in frontier.columns]).distinct()
+    """(seq_id, parent, row_gid, h, rank): at most width visible children of each frontier row (seq_id, row_gid, seed_ts), in hash order.
+
+    Frontier rows are distinct; several keys of a child for one parent are made one edge before the join, so that
+    what is joined goes right to the width's window, which Spark cuts in each task before the shuffle.
+    """
+    once = edges.select("from_gid", "to_gid", "from_ts").distinct()
+    found = frontier.join(once, frontier.row_gid == once.to_gid).where(visible("from_ts", "seed_ts")).select("seq_id", "seed_ts", F.col("to_gid").alias("parent"), F.col("from_gid").alias("row_gid"), *[c for c in ("depth",) if c in frontier.columns])
     ranked = found.withColumn("h", draw(seed, epoch, "seq_id", "row_gid"))
     return ranked.withColumn("rank", F.row_number().over(Window.partitionBy("seq_id", "parent").orderBy("h", "row_gid"))).where(F.col("rank") <= width)
 
 
-def sample(seeds: DataFrame, edges: DataFrame, width: int = 128, max_hops: int = 1, seed: int = 42, epoch: int = 0, filter_parents: bool = False, task_rows: bool = False, row_times: DataFrame | None = None) -> DataFrame:
+def sample(seeds: DataFrame, edges: DataFrame, width: int = 128, max_hops: int = 1, seed: int = 42, epoch: int = 0, filter_parents: bool = False, task_rows: bool = False, row_times: DataFrame | None = None, same_table: bool = False) -> DataFrame:
     """(seq_id, row_gid, bucket, hop, root_hash, root_gid) of every row of every seed's context.
 
     seeds: (seq_id, row_gid, seed_ts). A bucket's rows are visited in hash order, each followed by all its
@@ -33,11 +38,13 @@ def sample(seeds: DataFrame, edges: DataFrame, width: int = 128, max_hops: int =
     being their descendant's plus their hop. Ancestors shared in a bucket go to the nearest row, then the lower
     hash. Buckets go up to max_hops. Order by bucket, root_hash, root_gid, hop, row_gid.
     filter_parents hides parents later than the seed (row_times then has row_gid and ts); task_rows lets other
-    task rows in as children.
+    task rows in as children; same_table is for seeds that are no task rows: only children of the seed's own table,
+    which seeds then name in seed_table, are let in.
     """
-    edges = cut(edges.select(*[c for c in ("from_gid", "to_gid", "from_ts", "from_task") if c in edges.columns]))
+    edges = cut(edges.select(*[c for c in ("from_gid", "to_gid", "from_ts", "from_task", *(["from_table"] if same_table else [])) if c in edges.columns]))
     down = edges if task_rows else edges.where(~F.col("from_task"))
     pending = seeds.select("seq_id", "row_gid", "seed_ts").withColumn("bucket", F.lit(0))
+    own = cut(seeds.select("seq_id", "seed_table").distinct()) if same_table else None
     visited = None
     for bucket in range(max_hops + 1):
         now = pending.where(F.col("bucket") == bucket).select("seq_id", "row_gid", "seed_ts").distinct()
@@ -60,7 +67,16 @@ def sample(seeds: DataFrame, edges: DataFrame, width: int = 128, max_hops: int =
         visited = level if visited is None else visited.unionByName(level)
         if bucket < max_hops:
             front = level.select("seq_id", "row_gid", "seed_ts", (F.col("bucket") + F.col("hop")).alias("depth")).where(F.col("depth") < max_hops)
-            new = children(front, down, width, seed, epoch).select("seq_id", "row_gid", "seed_ts", (F.col("depth") + 1).cast("int").alias("bucket"))
+            if same_table:  # the tables that a sequence lets in, by the frontier's rows
+                let_in = front.join(own, "seq_id").select("seq_id", "row_gid", "seed_ts", "depth", "seed_table")
+                tables = [r[0] for r in own.select("seed_table").distinct().collect()]  # numbers of tables
+                parts = [children(let_in.where(F.col("seed_table") == t).drop("seed_table"), down.where(F.col("from_table") == t), width, seed, epoch) for t in tables]
+                found = parts[0]
+                for x in parts[1:]:
+                    found = found.unionByName(x)
+            else:
+                found = children(front, down, width, seed, epoch)
+            new = found.select("seq_id", "row_gid", "seed_ts", (F.col("depth") + 1).cast("int").alias("bucket"))
             pending = pending.where(F.col("bucket") > bucket).unionByName(new)
             pending = cut(pending) if bucket + 1 < max_hops else pending  # the last bucket reads it once
     return visited.select("seq_id", "row_gid", "bucket", "hop", "root_hash", "root_gid")

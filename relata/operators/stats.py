@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from relata.sources.database import numbered
 from relata.sources.schema import BOOLEAN, DATETIME, NUMBER, TEXT
+from relata.storage import cut
 
 FLOOR = 1e-8
 
@@ -43,15 +45,17 @@ def normalised(cells: DataFrame, stats: DataFrame, times: DataFrame) -> DataFram
 
 
 def vocabulary(cells: DataFrame) -> DataFrame:
-    """(text_id, txt): distinct texts, numbered in their order from 0.
+    """(text_id, txt): distinct texts, numbered in their order from 0, range by range beyond a million."""
+    texts = cut(cells.where((F.col("semantic_type") == TEXT) & F.col("txt").isNotNull()).select("txt").distinct())
+    return numbered(texts, ("txt",), texts.count()).select(F.col("row_gid").alias("text_id"), "txt")
 
-    Numbers come from ranges of the first two bytes, each ranked on its own, so that no task ranks all texts.
-    """
-    texts = cells.where((F.col("semantic_type") == TEXT) & F.col("txt").isNotNull()).select("txt").distinct().withColumn("head_", F.substring(F.hex(F.col("txt").cast("binary")), 1, 4))
-    before = Window.orderBy("head_").rowsBetween(Window.unboundedPreceding, -1)
-    base = texts.groupBy("head_").count().select("head_", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base_"))
-    number = F.row_number().over(Window.partitionBy("head_").orderBy("txt")) - 1
-    return texts.withColumn("number_", number).join(F.broadcast(base), "head_").select((F.col("number_") + F.col("base_")).cast("long").alias("text_id"), "txt")
+
+def most_neighbours(tok: DataFrame, f2p: DataFrame) -> DataFrame:
+    """(seq_id, most): the most parents of a row that are in the row's own sequence, 1 at least."""
+    rows = tok.select("seq_id", "row_gid").distinct()
+    up = rows.join(f2p.select(F.col("from_gid").alias("row_gid"), F.explode(F.array_distinct("f2p")).alias("parent")), "row_gid")
+    inside = up.join(rows.withColumnRenamed("row_gid", "parent"), ["seq_id", "parent"]).groupBy("seq_id", "row_gid").agg(F.count("*").alias("n"))
+    return rows.select("seq_id").distinct().join(inside.groupBy("seq_id").agg(F.max("n").alias("n")), "seq_id", "left").select("seq_id", F.greatest(F.coalesce("n", F.lit(1)), F.lit(1)).alias("most"))
 
 
 def degrees(edges: DataFrame, side: str) -> DataFrame:

@@ -74,12 +74,41 @@ def closure(start: str, pairs: str) -> str:
 
 
 def context(seed: str, e: str, width: int, hops: int) -> str:
-    """WITH clause whose last table is ctx(seq_id, row_gid, bucket, hop, root_hash, root_gid), for 0 or 1 hops."""
-    pick = "arg_min(hop, (hop, root_hash, root_gid)) hop, arg_min(root_hash, (hop, root_hash, root_gid)) root_hash, arg_min(root_gid, (hop, root_hash, root_gid)) root_gid"
-    out = f"WITH RECURSIVE e AS MATERIALIZED (SELECT * FROM {e}), pairs AS (SELECT DISTINCT from_gid, to_gid FROM e), sd AS MATERIALIZED (SELECT *, {draw('seq_id', 'row_gid')} root_hash, row_gid root_gid FROM {seed}), a0 AS ({closure('sd', 'pairs').format(me='a0')}), c0 AS MATERIALIZED (SELECT seq_id, row_gid, 0 bucket, {pick} FROM a0 GROUP BY 1, 2)"
-    if not hops:
-        return out + ", ctx AS (SELECT * FROM c0)"
-    return out + f", k1 AS MATERIALIZED (SELECT k.seq_id, k.row_gid, k.h root_hash, k.row_gid root_gid FROM {children('sd', 'e', width)} k ANTI JOIN c0 ON c0.seq_id = k.seq_id AND c0.row_gid = k.row_gid), a1 AS ({closure('k1', 'pairs').format(me='a1')}), c1 AS (SELECT seq_id, row_gid, 1 bucket, {pick} FROM a1 ANTI JOIN c0 USING (seq_id, row_gid) GROUP BY 1, 2), ctx AS MATERIALIZED (SELECT * FROM c0 UNION ALL SELECT * FROM c1)"
+    """WITH clause whose last table is ctx(seq_id, row_gid, bucket, hop, root_hash, root_gid).
+
+    Bucket b has the rows that wait for it, and their ancestors; rows at depth d, bucket plus hop, send their
+    children to bucket d + 1.
+    """
+    first = "(hop, root_hash, root_gid)"
+    pick = f"arg_min(hop, {first}) hop, arg_min(root_hash, {first}) root_hash, arg_min(root_gid, {first}) root_gid"
+    out = [
+        f"e AS MATERIALIZED (SELECT * FROM {e})",
+        "pairs AS (SELECT DISTINCT from_gid, to_gid FROM e)",
+        f"sd AS MATERIALIZED (SELECT *, {draw('seq_id', 'row_gid')} root_hash, row_gid root_gid FROM {seed})",
+        "k0 AS (SELECT seq_id, row_gid, root_hash, root_gid FROM sd)",
+    ]
+    waiting: dict[int, list[str]] = {}
+    for b in range(hops + 1):
+        seen = f"v{b - 1}" if b else "(SELECT -1 seq_id, -1 row_gid)"
+        if b:
+            new = " UNION ".join(f"SELECT seq_id, row_gid FROM {x}" for x in waiting[b])
+            out.append(f"k{b} AS MATERIALIZED (SELECT n.seq_id, n.row_gid, {draw('n.seq_id', 'n.row_gid')} root_hash, n.row_gid root_gid FROM ({new}) n ANTI JOIN {seen} v ON v.seq_id = n.seq_id AND v.row_gid = n.row_gid)")
+        out.append(f"a{b} AS ({closure(f'k{b}', 'pairs').format(me=f'a{b}')})")
+        out.append(f"c{b} AS MATERIALIZED (SELECT a.seq_id, a.row_gid, {b} bucket, {pick} FROM a{b} a ANTI JOIN {seen} v ON v.seq_id = a.seq_id AND v.row_gid = a.row_gid GROUP BY 1, 2)")
+        out.append(f"v{b} AS MATERIALIZED ({' UNION ALL '.join(f'SELECT * FROM c{i}' for i in range(b + 1))})")
+        for h in range(hops - b):
+            front = f"(SELECT c.seq_id, c.row_gid, sd.seed_ts FROM c{b} c JOIN sd ON sd.seq_id = c.seq_id WHERE c.hop = {h})"
+            out.append(f"w{b}_{h} AS MATERIALIZED (SELECT seq_id, row_gid FROM {children(front, 'e', width)})")
+            waiting.setdefault(b + h + 1, []).append(f"w{b}_{h}")
+    return f"WITH RECURSIVE {', '.join(out)}, ctx AS (SELECT * FROM v{hops})"
+
+
+def embedded(texts: str, key: str) -> str:
+    """Components that are not 0 of the hashing embedder's vectors of 64, for texts(key, t) of ASCII characters."""
+    return f"""(WITH p AS (SELECT {key}, '  ' || t || ' ' s FROM {texts}), g AS (SELECT {key}, s, unnest(range(1, len(s) - 1)) k FROM p),
+h AS (SELECT {key}, (ord(substr(s, k, 1)) * 65536 + ord(substr(s, k + 1, 1)) * 256 + ord(substr(s, k + 2, 1)))::BIGINT * 2654435761 % 4294967296 h FROM g),
+c AS (SELECT {key}, h % 64 i, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END)::DOUBLE n FROM h GROUP BY 1, 2)
+SELECT {key}, i, (n / (sqrt(sum(n * n) OVER (PARTITION BY {key})) + 1e-9))::FLOAT::DOUBLE x FROM c WHERE true QUALIFY n <> 0)"""
 
 
 def tokens(with_: str, c: str, seq_len: int, drop: str = "false") -> str:
@@ -105,7 +134,9 @@ def oracle() -> dict[str, str]:
     values = ", ".join(f"({ti}, '{t}', {k}, {local}, '{c}', {str(SPEC[t].pk == c).upper()}, {str(SPEC[t].time == c).upper()}, {NAMES.index(SPEC[t].fks[c]) if c in SPEC[t].fks else -1}, '{c} of {t}', {kind})" for k, (t, ti, local, c, kind) in enumerate(CATALOG))
     catalog = f"(SELECT * FROM (VALUES {values}) v(table_idx, table_name, column_idx, local_idx, name, is_pk, is_time, fk_table_idx, description, semantic_type))"
     census = " UNION ALL ".join(f"SELECT '{s.name}' table_name, count(*) n_rows, {f"'{s.pk}'" if s.pk else 'NULL'} pk, {f"'{s.time}'" if s.time else 'NULL'} time_col, {len(s.fks)} n_fks FROM {s.name}" for s in FIXTURE)
-    words = "len(list_filter(string_split_regex(txt, '\\s+'), lambda w: w <> ''))"
+    words = "least(512, len(list_filter(string_split_regex(txt, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '')))"
+    nodes = " UNION ALL ".join(f"SELECT row_gid, {NAMES.index(x.name)} table_idx, {f'{x.pk}::VARCHAR' if x.pk else 'NULL'} pk FROM {rows(x.name)}" for x in FIXTURE)
+    sampled = f"(SELECT *, row_number() OVER (ORDER BY md5('42:0:' || seq_id), seq_id) - 1 place FROM (SELECT 0::BIGINT task, row_gid, row_gid seq_id FROM {rows('customer')} UNION ALL SELECT 1, row_gid, row_gid - (SELECT min(row_gid) FROM {rows('labels')}) + (SELECT count(*) FROM customer) FROM {rows('labels')}))"
     vocab = lambda *t: f"(SELECT txt, row_number() OVER (ORDER BY txt) - 1 text_id FROM (SELECT DISTINCT txt FROM {cells(*t)} WHERE txt IS NOT NULL))"
     norm = lambda *t: f"(SELECT c.*, (num - mean) / std norm FROM {cells(*t)} c JOIN {stats(*t)} USING (column_idx))"
     o_times = f"(SELECT avg(num) m, {STD} s FROM {cells('orders')} WHERE semantic_type = 2)"
@@ -127,10 +158,10 @@ def oracle() -> dict[str, str]:
         "zscore_orders": f"SELECT row_gid, column_idx::BIGINT column_idx, round(norm, 5) + 0.0::DOUBLE norm FROM {norm('orders')} WHERE semantic_type = 0",
         "zscore_boolean_labels": f"SELECT row_gid, column_idx::BIGINT column_idx, round(norm, 6) + 0.0::DOUBLE norm FROM {norm('labels')} WHERE semantic_type = 3",
         "zscore_datetime_global": f"SELECT row_gid, round((num - m) / s, 5) norm FROM {cells('orders')}, {POOLED} WHERE semantic_type = 2",
-        "vocab_ids": f"SELECT text_id, txt FROM {vocab('part', 'nation', 'region')}",
+        "vocab_ids": f"SELECT text_id, txt FROM {vocab()}",
         "vocab_size": f"SELECT count(DISTINCT txt) n_texts FROM {cells()}",
         "text_ids_part": f"SELECT row_gid, column_idx::BIGINT column_idx, text_id FROM {cells('part')} JOIN {vocab('part')} USING (txt)",
-        "token_length_stats": f"SELECT sum(n)::BIGINT total, min(n)::BIGINT least, max(n)::BIGINT most, round(avg(n), 6) + 0.0::DOUBLE mean FROM (SELECT {words} n FROM {vocab('part', 'nation', 'region')})",
+        "token_length_stats": f"SELECT sum(n)::BIGINT total, min(n)::BIGINT least, max(n)::BIGINT most, round(avg(n), 6) + 0.0::DOUBLE mean FROM (SELECT {words} n FROM {vocab()})",
         "column_descriptions": f"SELECT column_idx::BIGINT column_idx, description FROM {catalog}",
         "cardinality_report": f"SELECT 'tables' what, {len(NAMES)}::BIGINT n UNION ALL SELECT 'columns', {len(CATALOG)} UNION ALL SELECT 'rows', sum(n_rows)::BIGINT FROM ({census}) UNION ALL SELECT 'edges', count(*) FROM {edges()} UNION ALL SELECT 'cells_' || semantic_type, count(*) FROM {cells()} GROUP BY semantic_type",
         "epoch_to_date": f"SELECT row_gid, strftime(o_orderdate, '%Y-%m-%d') AS day FROM {rows('orders')}",
@@ -160,6 +191,20 @@ def oracle() -> dict[str, str]:
         "attn_feature": f"{tok}{f2p} {feat}",
         "attn_neighbor": f"{tok}{f2p} {neigh}",
         "attn_density": f"{tok}{f2p}, m AS (SELECT 'column' kind, * FROM ({col}) UNION ALL SELECT 'feature', * FROM ({feat}) UNION ALL SELECT 'neighbour', * FROM ({neigh})), n AS (SELECT seq_id, count(*) cells FROM tok GROUP BY 1) SELECT seq_id, kind, pairs, round(pairs * 100.0::DOUBLE / (cells * cells), 6) density FROM (SELECT kind, seq_id, count(*) pairs FROM m GROUP BY 1, 2) JOIN n USING (seq_id)",
+        "attn_full": f"{tok}, n AS (SELECT seq_id, count(*) n, sum(pos)::BIGINT sum_kv FROM tok GROUP BY 1) SELECT seq_id, pos q, n, sum_kv FROM tok JOIN n USING (seq_id)",
+        "most_neighbours": f"{tok}{f2p}, r AS (SELECT DISTINCT seq_id, row_gid FROM tok), u AS (SELECT DISTINCT f.seq_id, f.row_gid, p.parent FROM r f JOIN (SELECT from_gid, unnest(f2p) parent FROM f2p) p ON p.from_gid = f.row_gid), i AS (SELECT u.seq_id, u.row_gid, count(*) n FROM u JOIN r ON r.seq_id = u.seq_id AND r.row_gid = u.parent GROUP BY 1, 2) SELECT s.seq_id, greatest(1, coalesce(max(n), 1))::BIGINT most FROM (SELECT DISTINCT seq_id FROM r) s LEFT JOIN i ON i.seq_id = s.seq_id GROUP BY 1",
+        "context_two_hops": f"{context(seeds('customer'), edges('orders', 'customer', 'nation', 'lineitem', 'supplier'), 8, 2)} SELECT seq_id, row_gid, bucket::BIGINT bucket, hop::BIGINT hop FROM ctx",
+        "context_full_size": f"{tokens(context(seeds('supplier'), edges('lineitem', 'supplier', 'nation', 'orders'), 256, 1), cells('supplier', 'nation', 'region', 'lineitem', 'orders', 'part', 'customer'), 1024)} SELECT seq_id, count(*) n_cells, max(node) last_node, sum(row_gid)::BIGINT sum_gid, sum(pos * column_idx)::BIGINT \"check\", count(*) FILTER (bucket = 0 AND hop = 0 AND column_idx = {IDX['supplier', 's_acctbal']}) n_targets FROM tok GROUP BY 1",
+        "epoch_orders": " UNION ALL ".join(f"SELECT {e}::BIGINT epoch, row_gid, row_number() OVER (ORDER BY md5('42:{e}:' || row_gid), row_gid) - 1 place FROM {rows('customer')}" for e in range(3)),
+        "batch_collate": f"{tok}, n AS (SELECT seq_id, count(*) n_cells FROM tok GROUP BY 1), p AS {places} SELECT place // 128 batch_idx, (place % 128) // 32 AS rank, count(*) n, string_agg((place % 32) || ':' || seq_id || ':' || n_cells, ',' ORDER BY place) slots FROM p JOIN n ON n.seq_id = p.row_gid GROUP BY 1, 2",
+        "sampler_places": f"SELECT task, row_gid, seq_id, place FROM {sampled}",
+        "index_lookups": f"SELECT * FROM (VALUES ('orders', 'o_custkey', {NAMES.index('orders')}::BIGINT, {IDX['orders', 'o_custkey']}::BIGINT), ('orders', 'nothing', {NAMES.index('orders')}, -1), ('nothing', 'o_custkey', -1, -1), ('labels', 'toxic', {NAMES.index('labels')}, {IDX['labels', 'toxic']})) v(table_name, name, table_idx, column_idx)",
+        "describe_counts": f"SELECT 'tables' what, {len(NAMES)}::BIGINT n UNION ALL SELECT 'columns', {len(CATALOG)} UNION ALL SELECT 'rows', sum(n_rows)::BIGINT FROM ({census}) UNION ALL SELECT 'texts', count(DISTINCT txt) FROM {cells()} UNION ALL SELECT 'edges', count(*) FROM {edges()}",
+        "describe_previews": f"(SELECT 'vocabulary' what, substring(txt, 1, 40) AS value FROM {vocab()} ORDER BY text_id LIMIT 50) UNION ALL (SELECT 'edge', from_gid || ' ' || from_col || ' ' || to_gid FROM {edges()} ORDER BY from_gid, from_col, to_gid LIMIT 30) UNION ALL (SELECT 'key', table_idx || ' ' || pk || ' ' || row_gid FROM ({nodes}) WHERE pk IS NOT NULL ORDER BY row_gid LIMIT 20)",
+        "hash_embed_vocab": f"SELECT txt, i, round(x, 6) + 0.0::DOUBLE x FROM {embedded('(SELECT txt, txt t FROM ' + vocab('part', 'nation', 'region') + ')', 'txt')}",
+        "column_vectors": f"SELECT column_idx::BIGINT column_idx, i, round(x, 6) + 0.0::DOUBLE x FROM {embedded(f'(SELECT column_idx, description t FROM {catalog})', 'column_idx')}",
+        "cell_vectors": f"SELECT row_gid, column_idx::BIGINT column_idx, CASE WHEN txt IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE text_norm, 1.0::DOUBLE column_norm FROM {cells('part')}",
+        "padded_tokens": f"SELECT txt, max(n) OVER (PARTITION BY len(txt) % 7)::BIGINT width, n::BIGINT n, n::BIGINT n_ids FROM (SELECT txt, {words} n FROM {vocab('part', 'nation')})",
         "batch_summary": f"{tok} SELECT seq_id, count(*) n_cells, count(*) FILTER (bucket = 0 AND hop = 0 AND column_idx = {IDX['customer', 'c_acctbal']}) n_masked, count(DISTINCT row_gid) n_rows FROM tok GROUP BY 1",
         "epoch_shuffle": f"SELECT row_gid, place FROM {places}",
         "batch_assignment": f"SELECT row_gid, place // 128 batch_idx, (place % 128) // 32 AS rank, place % 32 slot FROM {places}",

@@ -11,7 +11,9 @@ from relata.functions import vectors as V
 from relata.operators import context as C
 from relata.operators import sequence as Q
 from relata.operators import stats as S
+from relata.operators.sampler import ContextSampler, TaskConfig
 from relata.sources.database import RelDatabase
+from relata.storage import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -131,7 +133,7 @@ def zscore_datetime_global(db):
 
 @query
 def vocab_ids(db):
-    return S.vocabulary(db.cells("part", "nation", "region")).select("text_id", "txt")
+    return S.vocabulary(db.cells()).select("text_id", "txt")
 
 
 @query
@@ -148,7 +150,7 @@ def text_ids_part(db):
 @query
 def token_length_stats(db):
     n = F.size(V.tokenised(F.col("txt")))
-    texts = db.cells("part", "nation", "region").where("txt IS NOT NULL").select("txt").distinct().select(n.alias("n"))
+    texts = db.cells().where("txt IS NOT NULL").select("txt").distinct().select(n.alias("n"))
     return texts.agg(F.sum("n").alias("total"), F.min("n").cast("long").alias("least"), F.max("n").cast("long").alias("most"), r6(F.avg("n"), "mean"))
 
 
@@ -199,7 +201,7 @@ def fk_edges_lineitem(db):
 
 @query
 def degree_stats(db):
-    e = db.edges()
+    e = cut(db.edges().select("from_gid", "to_gid"))
     return S.degrees(e, "from_gid").withColumn("side", F.lit("from")).unionByName(S.degrees(e, "to_gid").withColumn("side", F.lit("to")))
 
 
@@ -262,8 +264,15 @@ def _customer_tokens(db):
     return C.tokens(seeds, cells, SEQ_LEN, target=db.column_index("customer", "c_acctbal"))
 
 
-def _customer_parents(db):
-    return S.parents(db.edges("orders", "customer", "nation"))
+def _mask_tokens(db):
+    """What masks need of the cells, once."""
+    return cut(_customer_tokens(db).select("seq_id", "pos", "row_gid", "table_idx", "column_idx"))
+
+
+def _customer_parents(db, tok=None):
+    """Parents of the rows that tok has, or of all."""
+    edges = db.edges("orders", "customer", "nation")
+    return S.parents(edges if tok is None else edges.join(tok.select(F.col("row_gid").alias("from_gid")).distinct(), "from_gid", "left_semi"))
 
 
 @query
@@ -313,28 +322,56 @@ def local_node_index(db):
 
 @query
 def attn_column(db):
-    return Q.column_mask(_customer_tokens(db)).select("seq_id", long("q"), long("kv"))
+    return Q.column_mask(_mask_tokens(db)).select("seq_id", long("q"), long("kv"))
 
 
 @query
 def attn_feature(db):
-    return Q.feature_mask(_customer_tokens(db), _customer_parents(db)).select("seq_id", long("q"), long("kv"))
+    tok = _mask_tokens(db)
+    return Q.feature_mask(tok, _customer_parents(db, tok)).select("seq_id", long("q"), long("kv"))
 
 
 @query
 def attn_neighbor(db):
-    return Q.neighbour_mask(_customer_tokens(db), _customer_parents(db)).select("seq_id", long("q"), long("kv"))
+    tok = _mask_tokens(db)
+    return Q.neighbour_mask(tok, _customer_parents(db, tok)).select("seq_id", long("q"), long("kv"))
 
 
 @query
 def attn_density(db):
-    tok, f2p = _customer_tokens(db), _customer_parents(db)
+    tok = _mask_tokens(db)
+    f2p = cut(_customer_parents(db, tok))
     masks = [Q.column_mask(tok).withColumn("kind", F.lit("column")), Q.feature_mask(tok, f2p).withColumn("kind", F.lit("feature")), Q.neighbour_mask(tok, f2p).withColumn("kind", F.lit("neighbour"))]
     n = tok.groupBy("seq_id").agg(F.count("*").alias("cells"))
     pairs = masks[0].unionByName(masks[1]).unionByName(masks[2]).groupBy("kind", "seq_id").agg(F.count("*").alias("pairs"))
     return pairs.join(n, "seq_id").select("seq_id", "kind", "pairs", r6(F.col("pairs") * 100.0 / (F.col("cells") * F.col("cells")), "density"))
 
 
+@query
+def attn_full(db):
+    """The unrestricted mask, told for every cell by the number and sum of those that it sees."""
+    return Q.full_mask(_mask_tokens(db)).groupBy("seq_id", long("q")).agg(F.count("*").alias("n"), F.sum("kv").alias("sum_kv"))
+
+
+@query
+def most_neighbours(db):
+    tok = _mask_tokens(db)
+    return S.most_neighbours(tok, _customer_parents(db, tok)).select("seq_id", long("most"))
+
+
+@query
+def context_two_hops(db):
+    return _context(db, "customer", None, 2, "orders", "customer", "nation", "lineitem", "supplier").select("seq_id", "row_gid", long("bucket"), long("hop"))
+
+
+@query
+def context_full_size(db):
+    """Suppliers as seeds with 256 children a row and 1,024 cells a sequence, the sizes of training runs."""
+    seeds = C.sample(_seeds(db, "supplier"), db.edges("lineitem", "supplier", "nation", "orders"), 256, 1)
+    tok = C.tokens(seeds, S.present(db.cells("supplier", "nation", "region", "lineitem", "orders", "part", "customer")), 1024, target=db.column_index("supplier", "s_acctbal"))
+    return tok.groupBy("seq_id").agg(F.count("*").alias("n_cells"), F.max("node").cast("long").alias("last_node"), F.sum("row_gid").alias("sum_gid"), F.sum(F.col("pos") * F.col("column_idx")).cast("long").alias("check"), F.count_if("is_target").alias("n_targets"))
+
+
 @query
 def batch_summary(db):
     return _customer_tokens(db).groupBy("seq_id").agg(F.count("*").alias("n_cells"), F.count_if("is_target").alias("n_masked"), F.countDistinct("row_gid").alias("n_rows"))
@@ -370,6 +407,62 @@ def sequence_pack(db):
     return packed.select("seq_id", long("n_cells"), F.array_join("column_idx", ",").alias("columns"), F.size(F.filter("is_padding", lambda x: x)).cast("long").alias("n_padding"))
 
 
+@query
+def epoch_orders(db):
+    """The first three epochs' orders."""
+    out = None
+    for epoch in range(3):
+        one = Q.shuffled(_seeds(db, "customer"), SEED, epoch, db.counts["customer"]).select(F.lit(epoch).cast("long").alias("epoch"), "row_gid", "place")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query
+def batch_collate(db):
+    packed = Q.pack(_customer_tokens(db), SEQ_LEN, ("column_idx",))
+    places = Q.assigned(_places(db), BATCH, WORLD).select("batch_idx", "rank", "slot", F.col("row_gid").alias("seq_id"))
+    each = F.transform("sequences", lambda x: F.concat_ws(":", x["slot"].cast("string"), x["seq_id"].cast("string"), x["n_cells"].cast("string")))
+    return Q.collated(packed, places).select(long("batch_idx"), "rank", F.size("sequences").cast("long").alias("n"), F.array_join(each, ",").alias("slots"))
+
+
+def _sampler(db):
+    tasks = [TaskConfig(db, "customer", "c_acctbal", ("c_mktsegment",)), TaskConfig(db, "labels", "quality")]
+    return ContextSampler(tasks, batch_size=16, seq_len=SEQ_LEN, rank=1, world=2, width=WIDTH, seed=SEED)
+
+
+@query
+def sampler_places(db):
+    """The order of an epoch over the seeds of two tasks."""
+    return _sampler(db).places().select(long("task"), "row_gid", "seq_id", "place")
+
+
+@query
+def sampler_batch(db):
+    """One rank's first batch over two tasks."""
+    return _sampler(db).batch(0).groupBy("slot", long("task"), "seq_id", long("true_size")).agg(F.count("*").alias("n_cells"), F.count_if("is_target").alias("n_targets"), F.count_if("is_task_node").alias("n_task_cells"))
+
+
+@query
+def index_lookups(db):
+    """Numbers of tables and columns by name, -1 for unknown ones."""
+    asked = [("orders", "o_custkey"), ("orders", "nothing"), ("nothing", "o_custkey"), ("labels", "toxic")]
+    return db.spark.createDataFrame([(t, c, db.table_index(t), db.column_index(t, c)) for t, c in asked], "table_name string, name string, table_idx long, column_idx long")
+
+
+@query
+def describe_counts(db):
+    return db.describe()["counts"]
+
+
+@query
+def describe_previews(db):
+    found = db.describe()
+    texts = found["vocabulary"].select(F.lit("vocabulary").alias("what"), F.substring("txt", 1, 40).alias("value"))
+    edges = found["edges"].select(F.lit("edge").alias("what"), F.concat_ws(" ", "from_gid", "from_col", "to_gid").alias("value"))
+    keys = found["keys"].select(F.lit("key").alias("what"), F.concat_ws(" ", "table_idx", "pk", "row_gid").alias("value"))
+    return texts.unionByName(edges).unionByName(keys)
+
+
 @query
 def split_rows(db):
     d = F.col("o_orderdate")
@@ -438,10 +531,38 @@ def running_loss(db):
     return p.groupBy("step").agg(F.round(F.avg("loss"), 6).alias("loss"), F.count("*").alias("n"))
 
 
+def _values(rows, *keys):
+    """A row for each component that is not 0."""
+    return rows.select(*keys, F.posexplode("embedding").alias("i", "x")).where("x <> 0").select(*keys, long("i"), r6(F.col("x").cast("double"), "x"))
+
+
 @query
 def hash_embed_vocab(db):
     texts = db.cells("part", "nation", "region").where("txt IS NOT NULL")
-    return V.embed(texts, "txt", V.hashing_embedder(64)).select("txt", F.size("embedding").alias("n"))
+    return _values(V.embed(texts, "txt", V.hashing_embedder(64)), "txt")
+
+
+@query
+def column_vectors(db):
+    """Vectors of all columns' descriptions."""
+    return _values(db.described(V.hashing_embedder(64), 64).withColumnRenamed("vector", "embedding"), "column_idx")
+
+
+@query
+def cell_vectors(db):
+    """Every cell of parts with its text's and its column's vector, told by a few of their components."""
+    cells = db.cells("part")
+    out = V.with_vectors(cells, V.embed(cells.where("txt IS NOT NULL"), "txt", V.hashing_embedder(64)), db.described(V.hashing_embedder(64), 64), 64)
+    norm = lambda c: F.aggregate(F.transform(c, lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda a, x: a + x)
+    return out.select("row_gid", "column_idx", F.round(norm("text_vector"), 3).alias("text_norm"), F.round(norm("column_vector"), 3).alias("column_norm"))
+
+
+@query
+def padded_tokens(db):
+    """Ids padded to the longest text of a batch, and their mask; batches by the text's length."""
+    texts = db.cells("part", "nation").where("txt IS NOT NULL").select("txt").distinct().select("txt", (F.length("txt") % 7).alias("batch"), V.token_ids(F.col("txt")).alias("ids"))
+    padded = V.padded(texts, "batch")
+    return padded.select("txt", F.size("ids").cast("long").alias("width"), F.aggregate("mask", F.lit(0), lambda a, x: a + x).cast("long").alias("n"), F.size(F.filter("ids", lambda x: x > 0)).cast("long").alias("n_ids"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

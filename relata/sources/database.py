@@ -46,24 +46,50 @@ def discover(spark: SparkSession, root: str) -> list[tuple[str, str, str]]:
     return [(p, stem(p), "db") for p in glob("db/*.parquet")] + [(p, p.rsplit("/", 2)[1], stem(p)) for p in glob("tasks/*/*.parquet") if stem(p) in ("train", "val", "test")]
 
 
+def _literal(row: tuple, kinds: list[T.DataType]) -> Column:
+    return F.struct(*(F.lit(v).cast(k).alias(f"f{i}") for i, (v, k) in enumerate(zip(row, kinds, strict=True))))
+
+
+def ranges(df: DataFrame, order: tuple[str, ...], pieces: int, rows: int) -> Column:
+    """The number of the range, of about ``pieces``, that a row is in by all columns of the order together.
+
+    Limits are taken from a sample of 64 rows a range, and found for each row by halving.
+    """
+    columns = [f"order_{i}" for i in range(len(order))]
+    few = df.select(*(F.col(c).alias(n) for c, n in zip(order, columns, strict=True))).sample(min(1.0, 64 * pieces / max(1, rows)), 17).orderBy(*columns).collect()
+    kinds = [df.schema[c].dataType for c in order]
+    cuts = list(dict.fromkeys(tuple(few[i * len(few) // pieces]) for i in range(1, pieces))) if few else []
+    if not cuts:
+        return F.lit(0)
+    limits, own = F.array(*(_literal(c, kinds) for c in cuts)), F.struct(*(F.col(c).cast(k).alias(f"f{i}") for i, (c, k) in enumerate(zip(order, kinds, strict=True))))
+    half = lambda s: F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+
+    def halved(s: Column, _: Column) -> Column:
+        above = F.get(limits, half(s)) <= own
+        return F.when(s["lo"] >= s["hi"], s).otherwise(F.struct(F.when(above, half(s) + 1).otherwise(s["lo"]).alias("lo"), F.when(above, s["hi"]).otherwise(half(s)).alias("hi")))
+
+    steps = F.sequence(F.lit(1), F.lit(len(cuts).bit_length()))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi")), halved, lambda s: s["lo"])
+
+
 def numbered(df: DataFrame, order: tuple[str, ...], rows: int, start: int = 0) -> DataFrame:
     """df with row_gid: start plus the row's number in the given order.
 
-    Small tables use one window. Others are cut into ranges of the first column by approximate quantiles; rows are
-    numbered inside their range and ranges by their counts, so that no task sorts the whole table.
+    Small tables use one window. Others are cut into ranges by all columns of the order, of whatever type; rows are
+    numbered inside their range and ranges by their counts, so that no task sorts the whole table. Rows that are
+    equal in all of these columns share a range.
     """
     if not order:
         order = tuple(c for c, k in df.dtypes if not k.startswith(("array", "map", "struct")))
-    if rows <= ONE_WINDOW_ROWS or semantic_type(df.schema[order[0]].dataType) != NUMBER:
+    if rows <= ONE_WINDOW_ROWS:
         return df.withColumn("row_gid", (F.row_number().over(Window.orderBy(*order)) - 1 + start).cast("long"))
-    pieces = rows // ONE_WINDOW_ROWS + 1
-    cuts = sorted(set(df.approxQuantile(order[0], [i / pieces for i in range(1, pieces)], 0.01)))
-    piece = sum((F.when(F.col(order[0]) >= c, 1).otherwise(0) for c in cuts), F.lit(0))
-    dealt = df.withColumn("piece_", piece)
-    before = Window.orderBy("piece_").rowsBetween(Window.unboundedPreceding, -1)
-    base = dealt.groupBy("piece_").count().select("piece_", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base_"))
+    dealt = df.withColumn("piece_", ranges(df, order, rows // ONE_WINDOW_ROWS + 1, rows))
+    base, total = {}, start
+    for piece, n in sorted(dealt.groupBy("piece_").count().collect()):  # a row for each range
+        base[piece], total = total, total + n
+    first = F.get(F.array(*(F.lit(base.get(i, 0)) for i in range(max(base, default=0) + 1))), F.col("piece_"))
     number = F.row_number().over(Window.partitionBy("piece_").orderBy(*order)) - 1
-    return dealt.withColumn("number_", number).join(F.broadcast(base), "piece_").withColumn("row_gid", (F.col("number_") + F.col("base_") + start).cast("long")).drop("piece_", "number_", "base_")
+    return dealt.withColumn("row_gid", (number + first).cast("long")).drop("piece_")
 
 
 def epoch_seconds(c: str, kind: str) -> Column:
@@ -98,7 +124,7 @@ class RelDatabase:
         """A directory with db/ and tasks/; keys come from the files' footers."""
         frames, specs = {}, []
         for path, name, kind in discover(spark, root):
-            spec = from_footer(name, path.removeprefix("file:"), kind)
+            spec = from_footer(spark, name, path, kind)
             key = name if kind == "db" else f"{name}/{kind}"
             specs.append(TableSpec(key, spec.pk, spec.fks, spec.time, kind=kind))
             frames[key] = spark.read.parquet(path)
@@ -143,7 +169,12 @@ class RelDatabase:
                 out.append({"table_idx": self.index[s.name], "table_name": s.name, "column_idx": len(out), "local_idx": local, "name": f.name, "semantic_type": kind, "dtype": f.dataType.simpleString(), "is_pk": f.name == s.pk, "is_time": f.name == s.time, "fk_table_idx": self.db_index.get(target, -1) if target else -1, "description": f"{f.name} of {s.name}"})
         return out
 
+    def table_index(self, table: str) -> int:
+        """The table's number, or -1."""
+        return self.index.get(table, -1)
+
     def column_index(self, table: str, column: str) -> int:
+        """The column's number among all columns, or -1."""
         return next((c["column_idx"] for c in self.columns if (c["table_name"], c["name"]) == (table, column)), -1)
 
     def catalog(self) -> DataFrame:
@@ -170,7 +201,8 @@ class RelDatabase:
         """(from_gid, from_col, to_gid, from_table, to_table, from_ts, from_task): child to parent by foreign key.
 
         Null and dangling keys have no edge. from_col is the column's global number. A table's rows are numbered
-        once for all its keys, each of which adds a left join; its edges are then taken out of the one row.
+        once for all its keys, each of which adds a left join; its edges are then taken out of the one row. Null keys
+        are spread by the row's number, so that they don't meet in one task.
         """
         out = None
         for s in self.specs:
@@ -181,13 +213,14 @@ class RelDatabase:
             one = self.rows(s.name).select(F.col("row_gid").alias("from_gid"), ts.alias("from_ts"), *(F.col(c).alias(f"key_{i}") for i, (c, _) in enumerate(keys)))
             ends = []
             for i, (column, target) in enumerate(keys):
-                index = self.key_index(target).select(F.col("pk").alias(f"key_{i}"), F.col("row_gid").alias(f"to_{i}"))
-                one = one.join(index, f"key_{i}", "left")
+                index = self.key_index(target).select(F.col("pk").alias(f"key_{i}"), F.col("row_gid").alias(f"to_{i}"), F.lit(0).cast("long").alias("spread_"))
+                one = one.withColumn("spread_", F.when(F.col(f"key_{i}").isNull(), F.col("from_gid")).otherwise(F.lit(0)))
+                one = one.join(index, [f"key_{i}", "spread_"], "left").drop("spread_")
                 ends.append(F.struct(F.lit(self.column_index(s.name, column)).cast("long").alias("from_col"), F.col(f"to_{i}").alias("to_gid"), F.lit(self.index[target]).cast("long").alias("to_table")))
             one = one.select("from_gid", "from_ts", F.inline(F.array(*ends))).where("to_gid IS NOT NULL")
             one = one.select("from_gid", "from_col", "to_gid", F.lit(self.index[s.name]).cast("long").alias("from_table"), "to_table", "from_ts", F.lit(s.kind != "db").alias("from_task"))
             out = one if out is None else out.unionByName(one)
-        return out
+        return out if out is not None else self.spark.createDataFrame([], "from_gid long, from_col long, to_gid long, from_table long, to_table long, from_ts timestamp_ntz, from_task boolean")
 
     def dangling(self, name: str, column: str) -> DataFrame:
         """Rows whose foreign key names no row of its target."""
@@ -216,7 +249,34 @@ class RelDatabase:
                 continue
             one = self.rows(s.name).select("row_gid", F.lit(self.index[s.name]).cast("long").alias("table_idx"), F.inline(F.array(*parts)))
             out = one if out is None else out.unionByName(one)
-        return out
+        return out if out is not None else self.spark.createDataFrame([], "row_gid long, table_idx long, column_idx long, local_idx long, semantic_type int, num double, txt string")
+
+    def described(self, embedder, size: int) -> DataFrame:
+        """(column_idx, description, vector) of every column; an unknown column has the zero vector."""
+        from relata.functions.vectors import embed
+
+        texts = self.catalog().select("column_idx", "description")
+        return texts.join(embed(texts, "description", embedder), "description").select("column_idx", "description", F.coalesce("embedding", F.array_repeat(F.lit(0.0).cast("float"), size)).alias("vector"))
+
+    def describe(self, vocabulary: int = 50, rows: int = 20, edges: int = 30, keys: int = 20) -> dict[str, DataFrame]:
+        """What a verbose dump shows: counts, tables, columns, first texts, rows, edges and keys, degrees."""
+        from relata.operators.stats import degrees
+
+        texts = self.cells().where("txt IS NOT NULL").select("txt").distinct()
+        pairs = self.edges()
+        nodes = self.row_table()
+        counts = self.spark.createDataFrame([("tables", len(self.specs)), ("columns", len(self.columns)), ("rows", sum(self.counts.values()))], "what string, n long").unionByName(texts.agg(F.lit("texts").alias("what"), F.count("*").alias("n"))).unionByName(pairs.agg(F.lit("edges").alias("what"), F.count("*").alias("n")))
+        tables = self.spark.createDataFrame([(self.index[s.name], s.name, s.kind, self.start(s.name), self.counts[s.name], s.pk, s.time) for s in self.specs], "table_idx long, table_name string, kind string, first_gid long, n_rows long, pk string, time_col string")
+        return {
+            "counts": counts,
+            "tables": tables,
+            "columns": self.catalog(),
+            "vocabulary": texts.orderBy("txt").limit(vocabulary),
+            "rows": nodes.orderBy("row_gid").limit(rows),
+            "edges": pairs.orderBy("from_gid", "from_col", "to_gid").limit(edges),
+            "keys": nodes.where("pk IS NOT NULL").orderBy("row_gid").select("table_idx", "pk", "row_gid").limit(keys),
+            "degrees": degrees(pairs, "from_gid").withColumn("side", F.lit("from")).unionByName(degrees(pairs, "to_gid").withColumn("side", F.lit("to"))),
+        }
 
     def save(self, path: str) -> None:
         """A snapshot: rows, edges and cells as Parquet, cells by table."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
+from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 
 # Codes of the semantic types.
@@ -39,20 +40,27 @@ class TableSpec:
         return self.order or ((self.pk,) if self.pk else ())
 
 
-def from_footer(name: str, path: str, kind: str = "db") -> TableSpec:
-    """The table's spec from JSON under fixed keys of a parquet footer; what isn't valid JSON is ignored."""
-    import pyarrow.parquet as pq
+def from_footer(spark: SparkSession, name: str, path: str, kind: str = "db") -> TableSpec:
+    """The table's spec from JSON under fixed keys of a parquet footer; what isn't valid JSON is ignored.
 
-    found = pq.read_metadata(path).metadata or {}
+    The footer is read by Spark's own Parquet library, from any store that it reaches.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    file = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(path), conf)
+    reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(file)
+    try:
+        found = dict(reader.getFooter().getFileMetaData().getKeyValueMetaData())
+    finally:
+        reader.close()
 
-    def value(key: bytes):
+    def value(key: str):
         try:
             return json.loads(found[key])
         except (KeyError, ValueError):
             return None
 
-    fks = value(b"fkey_col_to_pkey_table")
-    return TableSpec(name, value(b"pkey_col"), fks if isinstance(fks, dict) else {}, value(b"time_col"), kind=kind)
+    fks = value("fkey_col_to_pkey_table")
+    return TableSpec(name, value("pkey_col"), fks if isinstance(fks, dict) else {}, value("time_col"), kind=kind)
 
 
 #: The provided tables. Core tables come first, in order of their names, then task tables.

@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one is set only where none is."""
+    """The folder of ``spark.checkpoint.dir``; a temporary one is set only where none is and all runs on one machine."""
     jsc = spark.sparkContext._jsc.sc()
     if not jsc.getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="relata-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and not jsc.isLocal():
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(path or tempfile.mkdtemp(prefix="relata-"))
     return jsc.getCheckpointDir().get()
 
 

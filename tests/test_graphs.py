@@ -10,6 +10,7 @@ from relata.functions import vectors as V
 from relata.operators import context as C
 from relata.operators import sequence as Q
 from relata.operators import stats as S
+from relata.operators.sampler import ContextSampler, TaskConfig
 from relata.sources.database import RelDatabase, load_snapshot
 from relata.sources.schema import TableSpec, from_footer
 
@@ -100,6 +101,99 @@ def test_numbers_by_ranges(spark, monkeypatch):
     assert {r.k: r.row_gid for r in database.numbered(df, ("k",), 5000).collect()} == want == {i: i for i in range(5000)}
 
 
+def test_numbers_by_ranges_of_any_type(spark, monkeypatch):
+    from relata.sources import database
+
+    rows = [(("x" * (i % 3)) or None, i % 50, i) for i in range(900)] + [("http://a/b", 1, i) for i in range(900)] + [(None, None, i) for i in range(40)]
+    df = spark.createDataFrame(rows, "t string, n int, i long")
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1] is not None, r[1] or 0, r[2]))
+    monkeypatch.setattr(database, "ONE_WINDOW_ROWS", 100)
+    got = database.numbered(df, ("t", "n", "i"), len(rows), 7).orderBy("row_gid").collect()
+    assert [(r.t, r.n, r.i) for r in got] == order and [r.row_gid for r in got] == list(range(7, 7 + len(rows)))
+    again = [("a",)] * 500 + [("b",)] * 3  # equal rows share a range
+    got = database.numbered(spark.createDataFrame(again, "t string"), ("t",), 503).orderBy("row_gid").collect()
+    assert [r.row_gid for r in got] == list(range(503)) and [r.t for r in got] == sorted(r[0] for r in again)
+
+
+def test_null_keys_are_spread(spark):
+    parent = spark.createDataFrame([(i,) for i in range(5)], "k long")
+    child = spark.createDataFrame([(i, None if i % 3 else i % 5, "p" if i % 2 else None) for i in range(100)], "id long, a long, b string")
+    other = spark.createDataFrame([("p",)], "name string")
+    db = RelDatabase(spark, {"child": child, "other": other, "parent": parent}, (TableSpec("child", "id", {"a": "parent", "b": "other"}), TableSpec("other", "name"), TableSpec("parent", "k")))
+    got = {(r.from_gid, r.to_gid) for r in db.edges().collect()}
+    assert got == {(i, 101 + i % 5) for i in range(100) if i % 3 == 0} | {(i, 100) for i in range(100) if i % 2}
+    assert db.table_index("nothing") == db.column_index("child", "nothing") == -1
+
+
+def test_children_of_the_seeds_table(spark):
+    e = edges(spark, [(10, 0, 1, None), (11, 0, 1, None), (12, 0, 2, None)]).withColumn("from_table", F.when(F.col("from_gid") == 11, 1).otherwise(0))
+    rows = seeds(spark, [(0, 1, None), (1, 2, None)]).withColumn("seed_table", F.lit(0))
+    got = {(r.seq_id, r.row_gid) for r in C.sample(rows, e, 5, 1, same_table=True).collect()}
+    assert got == {(0, 1), (0, 10), (1, 2), (1, 12)}
+
+
+def test_masks_of_self_parents_and_rendering(spark):
+    tok = spark.createDataFrame([(0, 0, 1, 0, 0), (0, 1, 1, 0, 1), (0, 2, 2, 0, 0)], "seq_id long, pos int, row_gid long, table_idx long, column_idx long")
+    f2p = spark.createDataFrame([(1, [1, 2])], "from_gid long, f2p array<long>")
+    pairs = sorted((r.q, r.kv) for r in Q.feature_mask(tok, f2p).collect())
+    assert pairs == [(0, 0), (0, 1), (0, 2), (1, 0), (1, 1), (1, 2), (2, 2)]
+    assert Q.rendered(Q.column_mask(tok), 0, 3) == "#.#\n.#.\n#.#" and Q.rendered(Q.column_mask(tok), 0, 3, 2) == "#.\n.#"
+    assert Q.full_mask(tok).count() == 9
+    assert [tuple(r) for r in S.most_neighbours(tok, f2p).collect()] == [(0, 2)]
+
+
+def test_sampler(spark):
+    users = spark.createDataFrame([(i, f"u{i}", float(i)) for i in range(7)], "id long, name string, score double")
+    posts = spark.createDataFrame([(100 + i, i % 7, DAY[i % 9]) for i in range(20)], "id long, user long, at timestamp_ntz")
+    db = RelDatabase(spark, {"posts": posts, "users": users}, (TableSpec("posts", "id", {"user": "users"}, "at"), TableSpec("users", "id")))
+    tasks = [TaskConfig(db, "users", "score", ("name",)), TaskConfig(db, "posts", "user")]
+    found, slots = [], []
+    for rank in range(2):
+        s = ContextSampler(tasks, batch_size=4, seq_len=16, rank=rank, world=2, width=2)
+        assert len(s) == 4  # 27 seeds
+        for i in range(len(s)):
+            rows = s.batch(i).collect()
+            slots.append((rank, i, len({r.slot for r in rows}), {r.true_size for r in rows}))
+            found += [(r.task, r.seq_id) for r in rows if r.slot < r.true_size and r.pos == 0]
+            assert all(sum(r.is_target for r in rows if r.slot == k) == 1 for k in range(4))
+            names = db.column_index("users", "name")
+            assert not any(r.column_idx == names and r.task == 0 and r.bucket == 0 and r.hop == 0 for r in rows)
+    assert sorted(found) == [(int(i >= 7), i) for i in range(27)] and all(n == 4 for _, _, n, _ in slots)
+    assert sorted(next(iter(t)) for *_, t in slots) == [0, 3] + [4] * 6 or sum(next(iter(t)) for *_, t in slots) == 27
+    first = {r.seq_id for r in s.batch(0).collect()}
+    epochs = s.epochs()
+    seen = [{r.seq_id for r in next(epochs).select("seq_id").distinct().collect()} for _ in range(5)]
+    assert seen[0] == first and s.epoch == 1 and seen[4] != first
+    masks = s.masks(s.batch(0))
+    assert set(masks) == {"column", "feature", "neighbour", "full"} and masks["full"].count() >= masks["feature"].count() > 0
+    with pytest.raises(IndexError):
+        s.batch(4)
+    with pytest.raises(ValueError):
+        ContextSampler([TaskConfig(db, "users", "nothing")])
+
+
+def test_generators(spark):
+    from relata.sources.generate import phrases, sequences
+
+    rows = sequences(spark, 3, 64, pool=2).collect()
+    by = {k: [r for r in rows if r.seq_id == k] for k in range(3)}
+    assert all(len(x) == 64 for x in by.values()) and [r.num for r in by[0]] == [r.num for r in by[2]] != [r.num for r in by[1]]
+    assert all(p < r.row_gid for r in rows for p in r.f2p) and not any(r.is_target and (r.is_padding or r.semantic_type == 1) for r in rows)
+    assert any(r.is_target for r in rows) and any(r.is_task_node for r in rows) and any(r.is_padding for r in rows)
+    lines = [r.txt for r in phrases(spark, 50, 6).collect()]
+    assert all(len(x.split()) == 6 for x in lines) and len(set(lines)) > 10 and lines == [r.txt for r in phrases(spark, 50, 6).collect()]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from relata.__main__ import main
+
+    (tmp_path / "db").mkdir()
+    spark.createDataFrame([(1, "a")], "id long, t string").toPandas().to_parquet(tmp_path / "db/one.parquet")
+    main([str(tmp_path), "--save", str(tmp_path / "out"), "--verbose"])
+    said = capsys.readouterr().out
+    assert "vocabulary" in said and "saved" in said and load_snapshot(spark, str(tmp_path / "out"))["cells"].count() == 2
+
+
 def test_directory_footers_and_snapshot(spark, tmp_path):
     import pyarrow as pa
     import pyarrow.parquet as pq
@@ -113,7 +207,7 @@ def test_directory_footers_and_snapshot(spark, tmp_path):
     put(tmp_path / "db/users.parquet", {"id": [1, 2], "name": ["a", None]}, pkey_col='"id"')
     put(tmp_path / "db/posts.parquet", {"id": [5], "user": [2], "at": pa.array([DAY[0]])}, pkey_col='"id"', time_col='"at"', fkey_col_to_pkey_table='{"user": "users"}')
     put(tmp_path / "tasks/t/train.parquet", {"user": [1, 3], "label": [True, False]}, fkey_col_to_pkey_table='{"user": "users"}', pkey_col="not json")
-    assert from_footer("x", str(tmp_path / "tasks/t/train.parquet"), "train").pk is None
+    assert from_footer(spark, "x", str(tmp_path / "tasks/t/train.parquet"), "train").pk is None
     db = RelDatabase.directory(spark, str(tmp_path))
     assert [s.name for s in db.specs] == ["posts", "users", "t/train"]
     assert sorted((r.from_gid, r.to_gid) for r in db.edges().collect()) == [(0, 2), (3, 1)]
@@ -130,10 +224,18 @@ def test_losses_and_vectors(spark):
     got = {r.t: r.embedding for r in V.embed(texts, "t", V.hashing_embedder(8)).collect()}
     assert got[None] is None and abs(sum(x * x for x in got["a"]) - 1) < 1e-3 and len(got) == 3
 
-    def broken(_):
-        raise RuntimeError
-
-    assert all(r.embedding is None for r in V.embed(texts, "t", broken).collect())
+    def broken(some):
+        if len(some) > 1 or some == ["a"]:
+            raise RuntimeError
+        return V.hashing_embedder(8)(some)
+
+    got = {r.t: (r.embedding is None, r.failed) for r in V.embed(texts.coalesce(1), "t", broken).collect()}
+    assert got == {"a": (True, True), None: (True, False), "é😀": (False, False)}  # one bad text takes no others with it
+    empty = V.hashing_embedder(8)(["", ""])
+    assert (abs((empty**2).sum(1) - 1) < 1e-3).all()
+    ids = spark.createDataFrame([(0, "a b c"), (0, "a"), (1, "")], "k int, t string").select("k", V.token_ids(F.col("t"), 100, 2).alias("ids"))
+    rows = sorted((r.k, len(r.ids), r["mask"]) for r in V.padded(ids, "k").collect())
+    assert rows == [(0, 2, [1, 0]), (0, 2, [1, 1]), (1, 0, [])]
 
 
 def test_stream_of_edges(spark, tmp_path):
