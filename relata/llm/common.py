@@ -6,10 +6,12 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -31,14 +33,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the one the cluster names in ``spark.checkpoint.dir``. Where that is unset (tests on one
-    machine) a fresh temporary folder is made and set.
+    It is the one the cluster names in ``spark.checkpoint.dir``. Where that is unset a fresh temporary folder is made
+    and set if all runs on one machine, as in tests; on a cluster that is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         if known.isDefined():
             return known.get()
+        if not spark.sparkContext._jsc.sc().isLocal():
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="relata-")
         spark.sparkContext.setCheckpointDir(path)
         return spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -52,14 +56,31 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def written(df: DataFrame, name: str, sort: str | None = None) -> DataFrame:
-    """Writes a table to the shared folder and reads it back; this cuts lineage and survives lost executors.
+#: Paths that the running scope has made, by scope; what has none stays until the process ends.
+_made: dict[str, list[str]] = {}
+_scope: ContextVar[str | None] = ContextVar("scope", default=None)
+
+
+@contextmanager
+def scope(spark: SparkSession, name: str) -> Iterator[None]:
+    """What is written inside stays until the next scope of this name, which deletes it, begins.
 
-    The files go away when the session's process ends.
+    For a row of steps of which each one's result is written before the next one starts.
     """
-    spark = df.sparkSession
+    for path in _made.pop(name, []):
+        delete(spark, path)
+    token = _scope.set(name)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+
+
+def _fresh(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, whose files go away when the session's process ends."""
     path = f"{shared_dir(spark)}/relata-{name}-{uuid.uuid4().hex}"
-    (df.sortWithinPartitions(sort) if sort else df).write.option("compression", "zstd").parquet(path)
+    if _scope.get():
+        _made.setdefault(_scope.get(), []).append(path)
 
     def clean() -> None:
         try:
@@ -68,7 +89,44 @@ def written(df: DataFrame, name: str, sort: str | None = None) -> DataFrame:
             return
 
     atexit.register(clean)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def written(df: DataFrame, name: str, sort: str | None = None) -> DataFrame:
+    """Writes a table to the shared folder and reads it back; this cuts lineage and survives lost executors."""
+    path = _fresh(df.sparkSession, name)
+    (df.sortWithinPartitions(sort) if sort else df).write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.relata_path = path
+    return out
+
+
+def appended(df: DataFrame, to: DataFrame | None) -> DataFrame:
+    """The rows of a table that this function gave before and those of df, which are all that is written."""
+    path = to.relata_path if to is not None else _fresh(df.sparkSession, "rows")
+    df.write.mode("append").option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.relata_path = path
+    return out
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Deletes tables that written() gave and that nothing reads any more."""
+    for df in tables:
+        if df is not None:
+            delete(df.sparkSession, df.relata_path)
+
+
+def numbered(rows: DataFrame, by: list, n: int, name: str = "number_", per_range: int = 100_000) -> DataFrame:
+    """rows, n of them, numbered from 0 in an order. Each task numbers a range of the order; no task gets all."""
+    dealt = rows.repartitionByRange(n // per_range + 1, *by).withColumn("range_", F.spark_partition_id())
+    dealt = written(dealt, "ranges")
+    count = dict(dealt.groupBy("range_").count().collect())  # a row for each range
+    start, total = {}, 0
+    for r in sorted(count):
+        start[r], total = total, total + count[r]
+    base = F.element_at(F.create_map(*(F.lit(x) for r, s in start.items() for x in (r, s))), F.col("range_")) if start else F.lit(0)
+    return dealt.withColumn(name, (F.row_number().over(Window.partitionBy("range_").orderBy(*by)) - 1 + base).cast("long")).drop("range_")
 
 
 def at_rest() -> None:
@@ -142,28 +200,40 @@ def n_words(array: pa.Array) -> np.ndarray:
     return (total[at[1:] - first] - total[rows]).astype(np.int64)
 
 
-def connected_components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
+#: A node with more edges than this, and more than a HUB_SHARE of all, is a hub; there are at most 2 * HUB_SHARE of them.
+HUB_EDGES, HUB_SHARE = 4096, 1000
+
+
+def connected_components(edges: DataFrame, name: str) -> DataFrame:
     """(node, root): the smallest node reachable over edges (a, b), for each node that has an edge.
 
-    Alternating large-star and small-star steps; each step joins and groups by node, and is written to the
-    shared folder. The number of rounds grows with the logarithm of the longest chain; nothing but counts
-    reaches the driver.
+    Alternating large-star and small-star steps until nothing changes; each step joins and groups by node, and is
+    written to the shared folder. The number of rounds grows with the logarithm of the longest chain; nothing but
+    counts reaches the driver. Hubs get their least neighbour by broadcast, so that no task gets a hub's edges;
+    no more than 2 * HUB_SHARE nodes can be hubs.
     """
 
     def state(df: DataFrame) -> tuple:
         return df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
 
+    def given(both: DataFrame, least: DataFrame, hub: int) -> DataFrame:
+        """both with m, the least neighbour of a."""
+        few = F.broadcast(least.where(F.col("n") > hub).select(F.col("a").alias("hub_"), F.col("m").alias("hub_m")))
+        marked = both.join(few, F.col("a") == F.col("hub_"), "left")
+        rest = marked.where("hub_ IS NULL").select("a", "b").join(least.where(F.col("n") <= hub).select("a", "m"), "a")
+        return rest.select("a", "b", "m").unionByName(marked.where("hub_ IS NOT NULL").select("a", "b", F.col("hub_m").alias("m")))
+
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     seen = state(now)
-    for _ in range(rounds):
-        if not seen[0]:
-            break
+    while seen[0]:
+        hub = max(HUB_EDGES, seen[0] // HUB_SHARE)
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.withColumnRenamed("m", "b"))
-        now = written(small.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
+        large = written(given(both, least, hub).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), name)
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = given(large, least, hub).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        old, now = now, written(small.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
+        forget(old, large)
         before, seen = seen, state(now)
         if seen == before:
             break
