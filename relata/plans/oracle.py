@@ -61,7 +61,11 @@ def draw(seq: str, gid: str) -> str:
 
 
 def children(seeds: str, e: str, width: int) -> str:
-    return f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seq_id, parent ORDER BY h, row_gid) rank FROM (SELECT DISTINCT s.seq_id, s.seed_ts, e.to_gid parent, e.from_gid row_gid, {draw('s.seq_id', 'e.from_gid')} h FROM {seeds} s JOIN {e} e ON e.to_gid = s.row_gid WHERE coalesce(e.from_ts <= s.seed_ts, true))) WHERE rank <= {width})"
+    return (
+        f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seq_id, parent ORDER BY h, row_gid) rank FROM (SELECT DISTINCT s.seq_id, "
+        f"s.seed_ts, e.to_gid parent, e.from_gid row_gid, {draw('s.seq_id', 'e.from_gid')} h FROM {seeds} s JOIN {e} e ON e.to_gid = s.row_gid"
+        f" WHERE coalesce(e.from_ts <= s.seed_ts, true))) WHERE rank <= {width})"
+    )
 
 
 def seeds(t: str, time: str | None = None) -> str:
@@ -70,7 +74,10 @@ def seeds(t: str, time: str | None = None) -> str:
 
 def closure(start: str, pairs: str) -> str:
     """Recursive body: every ancestor of start(seq_id, row_gid, root_hash, root_gid) by all paths."""
-    return f"SELECT seq_id, row_gid, 0 hop, root_hash, root_gid FROM {start} UNION SELECT u.seq_id, p.to_gid, u.hop + 1, u.root_hash, u.root_gid FROM {{me}} u JOIN {pairs} p ON p.from_gid = u.row_gid"
+    return (
+        f"SELECT seq_id, row_gid, 0 hop, root_hash, root_gid FROM {start} UNION SELECT u.seq_id, p.to_gid, u.hop + 1, u.root_hash, u.root_gid"
+        f" FROM {{me}} u JOIN {pairs} p ON p.from_gid = u.row_gid"
+    )
 
 
 def context(seed: str, e: str, width: int, hops: int) -> str:
@@ -113,13 +120,21 @@ SELECT {key}, i, (n / (sqrt(sum(n * n) OVER (PARTITION BY {key})) + 1e-9))::FLOA
 
 def tokens(with_: str, c: str, seq_len: int, drop: str = "false") -> str:
     order = "bucket, root_hash, root_gid, hop, row_gid"
-    return f"{with_}, cl AS MATERIALIZED (SELECT * FROM {c} WHERE txt IS NOT NULL OR (num IS NOT NULL AND NOT isnan(num))), tok AS MATERIALIZED (SELECT *, dense_rank() OVER (PARTITION BY seq_id ORDER BY {order}) - 1 node FROM (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY {order}, local_idx) - 1 pos FROM ctx JOIN cl USING (row_gid) WHERE NOT (bucket = 0 AND hop = 0 AND {drop})) WHERE pos < {seq_len})"
+    return (
+        f"{with_}, cl AS MATERIALIZED (SELECT * FROM {c} WHERE txt IS NOT NULL OR (num IS NOT NULL AND NOT isnan(num))), "
+        f"tok AS MATERIALIZED (SELECT *, dense_rank() OVER (PARTITION BY seq_id ORDER BY {order}) - 1 node FROM (SELECT *, row_number()"
+        f" OVER (PARTITION BY seq_id ORDER BY {order}, local_idx) - 1 pos FROM ctx JOIN cl USING (row_gid) WHERE NOT (bucket = 0 AND hop = 0"
+        f" AND {drop})) WHERE pos < {seq_len})"
+    )
 
 
 def oracle() -> dict[str, str]:
     customer_context = context(seeds("customer"), edges("orders", "customer", "nation"), 8, 1)
     tok = tokens(customer_context, cells("customer", "orders", "nation", "region"), 64)
-    f2p = f", f2p AS (SELECT from_gid, list(to_gid ORDER BY from_col, to_gid)[1:5] f2p FROM {edges('orders', 'customer', 'nation')} GROUP BY 1), par AS (SELECT DISTINCT seq_id, pos, unnest(f2p) parent FROM tok JOIN f2p ON tok.row_gid = f2p.from_gid)"
+    f2p = (
+        f", f2p AS (SELECT from_gid, list(to_gid ORDER BY from_col, to_gid)[1:5] f2p FROM {edges('orders', 'customer', 'nation')} GROUP BY 1), "
+        f"par AS (SELECT DISTINCT seq_id, pos, unnest(f2p) parent FROM tok JOIN f2p ON tok.row_gid = f2p.from_gid)"
+    )
     col = "SELECT q.seq_id, q.pos q, k.pos kv FROM tok q JOIN tok k USING (seq_id, table_idx, column_idx)"
     up = "SELECT p.seq_id, p.pos q, k.pos kv FROM par p JOIN tok k ON k.seq_id = p.seq_id AND k.row_gid = p.parent"
     feat = f"SELECT q.seq_id, q.pos q, k.pos kv FROM tok q JOIN tok k USING (seq_id, row_gid) UNION {up}"
@@ -132,23 +147,39 @@ def oracle() -> dict[str, str]:
     huber = "(CASE WHEN abs(x - z) <= 1 THEN 0.5 * (x - z) * (x - z) ELSE abs(x - z) - 0.5 END)"
     bce = "(greatest(x, 0) - x * (CASE WHEN {z} > 0 THEN 1 ELSE 0 END) + ln(1 + exp(-abs(x))))"
     values = ", ".join(f"({ti}, '{t}', {k}, {local}, '{c}', {str(SPEC[t].pk == c).upper()}, {str(SPEC[t].time == c).upper()}, {NAMES.index(SPEC[t].fks[c]) if c in SPEC[t].fks else -1}, '{c} of {t}', {kind})" for k, (t, ti, local, c, kind) in enumerate(CATALOG))
-    catalog = f"(SELECT * FROM (VALUES {values}) v(table_idx, table_name, column_idx, local_idx, name, is_pk, is_time, fk_table_idx, description, semantic_type))"
+    catalog = (
+        f"(SELECT * FROM (VALUES {values}) v(table_idx, table_name, column_idx, local_idx, name, is_pk, is_time, fk_table_idx, description, "
+        f"semantic_type))"
+    )
     census = " UNION ALL ".join(f"SELECT '{s.name}' table_name, count(*) n_rows, {f"'{s.pk}'" if s.pk else 'NULL'} pk, {f"'{s.time}'" if s.time else 'NULL'} time_col, {len(s.fks)} n_fks FROM {s.name}" for s in FIXTURE)
     words = "least(512, len(list_filter(string_split_regex(txt, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '')))"
     nodes = " UNION ALL ".join(f"SELECT row_gid, {NAMES.index(x.name)} table_idx, {f'{x.pk}::VARCHAR' if x.pk else 'NULL'} pk FROM {rows(x.name)}" for x in FIXTURE)
-    sampled = f"(SELECT *, row_number() OVER (ORDER BY md5('42:0:' || seq_id), seq_id) - 1 place FROM (SELECT 0::BIGINT task, row_gid, row_gid seq_id FROM {rows('customer')} UNION ALL SELECT 1, row_gid, row_gid - (SELECT min(row_gid) FROM {rows('labels')}) + (SELECT count(*) FROM customer) FROM {rows('labels')}))"
+    sampled = (
+        f"(SELECT *, row_number() OVER (ORDER BY md5('42:0:' || seq_id), seq_id) - 1 place FROM (SELECT 0::BIGINT task, row_gid, row_gid seq_id"
+        f" FROM {rows('customer')} UNION ALL SELECT 1, row_gid, row_gid - (SELECT min(row_gid) FROM {rows('labels')}) + (SELECT count(*)"
+        f" FROM customer) FROM {rows('labels')}))"
+    )
     vocab = lambda *t: f"(SELECT txt, row_number() OVER (ORDER BY txt) - 1 text_id FROM (SELECT DISTINCT txt FROM {cells(*t)} WHERE txt IS NOT NULL))"
     norm = lambda *t: f"(SELECT c.*, (num - mean) / std norm FROM {cells(*t)} c JOIN {stats(*t)} USING (column_idx))"
     o_times = f"(SELECT avg(num) m, {STD} s FROM {cells('orders')} WHERE semantic_type = 2)"
     return {
         "table_census": f"WITH c AS ({census}) SELECT * FROM c UNION ALL SELECT 'TOTAL', sum(n_rows)::BIGINT, NULL, NULL, sum(n_fks)::BIGINT FROM c",
-        "column_catalog": f"SELECT table_idx::BIGINT table_idx, table_name, column_idx::BIGINT column_idx, local_idx::BIGINT local_idx, name, is_pk, is_time, fk_table_idx::BIGINT fk_table_idx, description FROM {catalog}",
+        "column_catalog": (
+            f"SELECT table_idx::BIGINT table_idx, table_name, column_idx::BIGINT column_idx, local_idx::BIGINT local_idx, name, is_pk, is_time, "
+            f"fk_table_idx::BIGINT fk_table_idx, description FROM {catalog}"
+        ),
         "semantic_type_counts": f"SELECT semantic_type::BIGINT semantic_type, count(*) n FROM {catalog} GROUP BY 1",
-        "auto_target": f"WITH c AS ({census}) SELECT table_name, name, column_idx::BIGINT column_idx FROM {catalog} JOIN c USING (table_name) WHERE n_rows >= 32 AND semantic_type = 0 AND NOT is_pk AND fk_table_idx < 0 AND NOT is_time ORDER BY table_idx, column_idx LIMIT 1",
+        "auto_target": (
+            f"WITH c AS ({census}) SELECT table_name, name, column_idx::BIGINT column_idx FROM {catalog} JOIN c USING (table_name) WHERE n_rows >= 32"
+            f" AND semantic_type = 0 AND NOT is_pk AND fk_table_idx < 0 AND NOT is_time ORDER BY table_idx, column_idx LIMIT 1"
+        ),
         "row_gid_orders": f"SELECT row_gid, o_orderkey FROM {rows('orders')}",
         "row_gid_lineitem": f"SELECT row_gid, l_orderkey, l_linenumber::BIGINT l_linenumber, l_partkey FROM {rows('lineitem')}",
         "pk_lookup": f"SELECT c_custkey pk, max(row_gid) row_gid FROM {rows('customer')} GROUP BY 1",
-        "cells_orders_all": f"SELECT row_gid, column_idx::BIGINT column_idx, semantic_type::BIGINT semantic_type, round(num, 6) + 0.0::DOUBLE num, txt FROM {cells('orders')}",
+        "cells_orders_all": (
+            f"SELECT row_gid, column_idx::BIGINT column_idx, semantic_type::BIGINT semantic_type, round(num, 6) + 0.0::DOUBLE num, txt"
+            f" FROM {cells('orders')}"
+        ),
         "cells_orders_features": f"SELECT row_gid, column_idx::BIGINT column_idx, txt, round(num, 6) + 0.0::DOUBLE num FROM {cells('orders', features=True)}",
         "null_cell_counts": f"SELECT column_idx::BIGINT column_idx, count(*) n, count(*) FILTER (num IS NULL AND txt IS NULL) n_null FROM {cells()} GROUP BY 1",
         "epoch_seconds_lineitem": f"SELECT row_gid, num FROM {cells('lineitem')} WHERE column_idx = {IDX['lineitem', 'l_shipdate']}",
@@ -161,12 +192,22 @@ def oracle() -> dict[str, str]:
         "vocab_ids": f"SELECT text_id, txt FROM {vocab()}",
         "vocab_size": f"SELECT count(DISTINCT txt) n_texts FROM {cells()}",
         "text_ids_part": f"SELECT row_gid, column_idx::BIGINT column_idx, text_id FROM {cells('part')} JOIN {vocab('part')} USING (txt)",
-        "token_length_stats": f"SELECT sum(n)::BIGINT total, min(n)::BIGINT least, max(n)::BIGINT most, round(avg(n), 6) + 0.0::DOUBLE mean FROM (SELECT {words} n FROM {vocab()})",
+        "token_length_stats": (
+            f"SELECT sum(n)::BIGINT total, min(n)::BIGINT least, max(n)::BIGINT most, round(avg(n), 6) + 0.0::DOUBLE mean FROM (SELECT {words} n"
+            f" FROM {vocab()})"
+        ),
         "column_descriptions": f"SELECT column_idx::BIGINT column_idx, description FROM {catalog}",
-        "cardinality_report": f"SELECT 'tables' what, {len(NAMES)}::BIGINT n UNION ALL SELECT 'columns', {len(CATALOG)} UNION ALL SELECT 'rows', sum(n_rows)::BIGINT FROM ({census}) UNION ALL SELECT 'edges', count(*) FROM {edges()} UNION ALL SELECT 'cells_' || semantic_type, count(*) FROM {cells()} GROUP BY semantic_type",
+        "cardinality_report": (
+            f"SELECT 'tables' what, {len(NAMES)}::BIGINT n UNION ALL SELECT 'columns', {len(CATALOG)} UNION ALL SELECT 'rows', sum(n_rows)::BIGINT"
+            f" FROM ({census}) UNION ALL SELECT 'edges', count(*) FROM {edges()} UNION ALL SELECT 'cells_' || semantic_type, count(*) FROM {cells()}"
+            f" GROUP BY semantic_type"
+        ),
         "epoch_to_date": f"SELECT row_gid, strftime(o_orderdate, '%Y-%m-%d') AS day FROM {rows('orders')}",
         "text_preview": "SELECT doc_id, CASE WHEN length(text) > 60 THEN substring(text, 1, 60) || '...' ELSE text END preview FROM documents",
-        "sample_previews": f"SELECT row_gid, {NAMES.index('customer')}::BIGINT table_idx, c_custkey::VARCHAR pk FROM {rows('customer')} UNION ALL SELECT row_gid, {NAMES.index('orders')}, o_orderkey::VARCHAR FROM {rows('orders')} ORDER BY row_gid LIMIT 20",
+        "sample_previews": (
+            f"SELECT row_gid, {NAMES.index('customer')}::BIGINT table_idx, c_custkey::VARCHAR pk FROM {rows('customer')} UNION ALL SELECT row_gid, "
+            f"{NAMES.index('orders')}, o_orderkey::VARCHAR FROM {rows('orders')} ORDER BY row_gid LIMIT 20"
+        ),
         "memory_estimate": "SELECT sum(len(embedding) * 2)::BIGINT n_bytes, count(*) FILTER (len(embedding) > 0) n_embedded, count(*) n_vectors FROM embeddings",
         "fk_edges_count": f"SELECT from_col::BIGINT from_col, count(*) n FROM {edges()} GROUP BY 1",
         "fk_edges_lineitem": f"SELECT from_gid, from_col::BIGINT from_col, to_gid FROM {edges('lineitem')}",
@@ -174,52 +215,139 @@ def oracle() -> dict[str, str]:
         "f2p_neighbors_top5": f"SELECT from_gid, array_to_string(list(to_gid ORDER BY from_col, to_gid)[1:5], ',') f2p FROM {edges('lineitem', 'orders')} GROUP BY 1",
         "p2f_children": f"SELECT to_gid, count(*) n, sum(from_gid)::BIGINT sum_gid, min(from_gid) least FROM {edges('orders')} GROUP BY 1",
         "dangling_fk": "SELECT count(*) n FROM lineitem ANTI JOIN orders ON l_orderkey = o_orderkey",
-        "task_entity_left": f"SELECT l.row_gid, coalesce(d.row_gid, -1) entity_gid, l.quality = 1 quality FROM {rows('labels')} l LEFT JOIN {rows('documents')} d USING (doc_id)",
-        "temporal_children": f"SELECT seq_id, count(*) n, sum(row_gid)::BIGINT sum_gid FROM {children(seeds('orders', 'o_orderdate'), edges('lineitem'), 1 << 30)} GROUP BY 1",
+        "task_entity_left": (
+            f"SELECT l.row_gid, coalesce(d.row_gid, -1) entity_gid, l.quality = 1 quality FROM {rows('labels')} l LEFT"
+            f" JOIN {rows('documents')} d USING (doc_id)"
+        ),
+        "temporal_children": (
+            f"SELECT seq_id, count(*) n, sum(row_gid)::BIGINT sum_gid FROM {children(seeds('orders', 'o_orderdate'), edges('lineitem'), 1 << 30)}"
+            f" GROUP BY 1"
+        ),
         "temporal_children_nulltime": f"SELECT seq_id, count(*) n, sum(row_gid)::BIGINT sum_gid FROM {children(seeds('customer'), edges('orders'), 1 << 30)} GROUP BY 1",
         "children_width_bound": f"SELECT seq_id, row_gid, rank FROM {children(seeds('supplier'), edges('lineitem'), 8)}",
-        "ancestor_closure": f"{context(seeds('lineitem'), edges('lineitem', 'orders', 'customer', 'supplier', 'nation'), 8, 0)} SELECT seq_id, row_gid, hop::BIGINT hop FROM ctx",
+        "ancestor_closure": (
+            f"{context(seeds('lineitem'), edges('lineitem', 'orders', 'customer', 'supplier', 'nation'), 8, 0)} SELECT seq_id, row_gid, hop::BIGINT hop"
+            f" FROM ctx"
+        ),
         "context_rows": f"{order_context} SELECT seq_id, row_gid, bucket::BIGINT bucket, hop::BIGINT hop FROM ctx",
         "hop_distance": f"{order_context} SELECT (bucket + hop)::BIGINT AS depth, count(*) n FROM ctx GROUP BY 1",
         "context_tokens_budget": f"{tok} SELECT seq_id, pos, row_gid, column_idx::BIGINT column_idx FROM tok",
-        "seed_drop_columns": f"{tokens(context(seeds('customer'), edges('customer', 'nation'), 8, 0), cells('customer', 'nation', 'region'), 64, f'column_idx = {IDX["customer", "c_acctbal"]}')} SELECT seq_id, pos, column_idx::BIGINT column_idx FROM tok",
-        "target_mask": f"{tok} SELECT seq_id, pos, column_idx::BIGINT column_idx, round(num, 6) + 0.0::DOUBLE num FROM tok WHERE bucket = 0 AND hop = 0 AND column_idx = {IDX['customer', 'c_acctbal']}",
-        "task_node_flag": f"{tokens(context(seeds('labels'), edges('labels'), 8, 0), cells('labels', 'documents'), 64)} SELECT seq_id, pos, table_idx = {NAMES.index('labels')} is_task_node, bucket = 0 AND hop = 0 AND column_idx = {IDX['labels', 'quality']} is_target FROM tok",
-        "typed_slots": f"SELECT c.row_gid, c.column_idx::BIGINT column_idx, round(CASE WHEN semantic_type = 0 THEN (num - mean) / std ELSE 0 END, 5) number, round(CASE WHEN semantic_type = 2 THEN (num - m) / s ELSE 0 END, 5) \"datetime\", 0::DOUBLE \"boolean\" FROM {cells('orders')} c LEFT JOIN {stats('orders')} USING (column_idx), {o_times}",
+        "seed_drop_columns": (
+            f"{tokens(context(seeds('customer'), edges('customer', 'nation'), 8, 0), cells('customer', 'nation', 'region'), 64, f'column_idx = {IDX["customer", "c_acctbal"]}')} SELECT seq_id, "
+            f"pos, column_idx::BIGINT column_idx FROM tok"
+        ),
+        "target_mask": (
+            f"{tok} SELECT seq_id, pos, column_idx::BIGINT column_idx, round(num, 6) + 0.0::DOUBLE num FROM tok WHERE bucket = 0 AND hop = 0"
+            f" AND column_idx = {IDX['customer', 'c_acctbal']}"
+        ),
+        "task_node_flag": (
+            f"{tokens(context(seeds('labels'), edges('labels'), 8, 0), cells('labels', 'documents'), 64)} SELECT seq_id, pos, "
+            f"table_idx = {NAMES.index('labels')} is_task_node, bucket = 0 AND hop = 0 AND column_idx = {IDX['labels', 'quality']} is_target FROM tok"
+        ),
+        "typed_slots": (
+            f"SELECT c.row_gid, c.column_idx::BIGINT column_idx, round(CASE WHEN semantic_type = 0 THEN (num - mean) / std ELSE 0 END, 5) number, "
+            f"round(CASE WHEN semantic_type = 2 THEN (num - m) / s ELSE 0 END, 5) \"datetime\", 0::DOUBLE \"boolean\" FROM {cells('orders')} c LEFT"
+            f" JOIN {stats('orders')} USING (column_idx), {o_times}"
+        ),
         "local_node_index": f"{tok} SELECT DISTINCT seq_id, row_gid, node FROM tok",
         "attn_column": f"{tok} {col}",
         "attn_feature": f"{tok}{f2p} {feat}",
         "attn_neighbor": f"{tok}{f2p} {neigh}",
-        "attn_density": f"{tok}{f2p}, m AS (SELECT 'column' kind, * FROM ({col}) UNION ALL SELECT 'feature', * FROM ({feat}) UNION ALL SELECT 'neighbour', * FROM ({neigh})), n AS (SELECT seq_id, count(*) cells FROM tok GROUP BY 1) SELECT seq_id, kind, pairs, round(pairs * 100.0::DOUBLE / (cells * cells), 6) density FROM (SELECT kind, seq_id, count(*) pairs FROM m GROUP BY 1, 2) JOIN n USING (seq_id)",
-        "attn_full": f"{tok}, n AS (SELECT seq_id, count(*) n, sum(pos)::BIGINT sum_kv FROM tok GROUP BY 1) SELECT seq_id, pos q, n, sum_kv FROM tok JOIN n USING (seq_id)",
-        "most_neighbours": f"{tok}{f2p}, r AS (SELECT DISTINCT seq_id, row_gid FROM tok), u AS (SELECT DISTINCT f.seq_id, f.row_gid, p.parent FROM r f JOIN (SELECT from_gid, unnest(f2p) parent FROM f2p) p ON p.from_gid = f.row_gid), i AS (SELECT u.seq_id, u.row_gid, count(*) n FROM u JOIN r ON r.seq_id = u.seq_id AND r.row_gid = u.parent GROUP BY 1, 2) SELECT s.seq_id, greatest(1, coalesce(max(n), 1))::BIGINT most FROM (SELECT DISTINCT seq_id FROM r) s LEFT JOIN i ON i.seq_id = s.seq_id GROUP BY 1",
-        "context_two_hops": f"{context(seeds('customer'), edges('orders', 'customer', 'nation', 'lineitem', 'supplier'), 8, 2)} SELECT seq_id, row_gid, bucket::BIGINT bucket, hop::BIGINT hop FROM ctx",
-        "context_full_size": f"{tokens(context(seeds('supplier'), edges('lineitem', 'supplier', 'nation', 'orders'), 256, 1), cells('supplier', 'nation', 'region', 'lineitem', 'orders', 'part', 'customer'), 1024)} SELECT seq_id, count(*) n_cells, max(node) last_node, sum(row_gid)::BIGINT sum_gid, sum(pos * column_idx)::BIGINT \"check\", count(*) FILTER (bucket = 0 AND hop = 0 AND column_idx = {IDX['supplier', 's_acctbal']}) n_targets FROM tok GROUP BY 1",
+        "attn_density": (
+            f"{tok}{f2p}, m AS (SELECT 'column' kind, * FROM ({col}) UNION ALL SELECT 'feature', * FROM ({feat}) UNION ALL SELECT 'neighbour', *"
+            f" FROM ({neigh})), n AS (SELECT seq_id, count(*) cells FROM tok GROUP BY 1) SELECT seq_id, kind, pairs, "
+            f"round(pairs * 100.0::DOUBLE / (cells * cells), 6) density FROM (SELECT kind, seq_id, count(*) pairs FROM m GROUP BY 1, 2)"
+            f" JOIN n USING (seq_id)"
+        ),
+        "attn_full": (
+            f"{tok}, n AS (SELECT seq_id, count(*) n, sum(pos)::BIGINT sum_kv FROM tok GROUP BY 1) SELECT seq_id, pos q, n, sum_kv FROM tok"
+            f" JOIN n USING (seq_id)"
+        ),
+        "most_neighbours": (
+            f"{tok}{f2p}, r AS (SELECT DISTINCT seq_id, row_gid FROM tok), u AS (SELECT DISTINCT f.seq_id, f.row_gid, p.parent FROM r f"
+            f" JOIN (SELECT from_gid, unnest(f2p) parent FROM f2p) p ON p.from_gid = f.row_gid), i AS (SELECT u.seq_id, u.row_gid, count(*) n FROM u"
+            f" JOIN r ON r.seq_id = u.seq_id AND r.row_gid = u.parent GROUP BY 1, 2) SELECT s.seq_id, greatest(1, coalesce(max(n), 1))::BIGINT most"
+            f" FROM (SELECT DISTINCT seq_id FROM r) s LEFT JOIN i ON i.seq_id = s.seq_id GROUP BY 1"
+        ),
+        "context_two_hops": (
+            f"{context(seeds('customer'), edges('orders', 'customer', 'nation', 'lineitem', 'supplier'), 8, 2)} SELECT seq_id, row_gid, "
+            f"bucket::BIGINT bucket, hop::BIGINT hop FROM ctx"
+        ),
+        "context_full_size": (
+            f"{tokens(context(seeds('supplier'), edges('lineitem', 'supplier', 'nation', 'orders'), 256, 1), cells('supplier', 'nation', 'region', 'lineitem', 'orders', 'part', 'customer'), 1024)} SELECT seq_id, "
+            f"count(*) n_cells, max(node) last_node, sum(row_gid)::BIGINT sum_gid, sum(pos * column_idx)::BIGINT \"check\", count(*) FILTER (bucket = 0"
+            f" AND hop = 0 AND column_idx = {IDX['supplier', 's_acctbal']}) n_targets FROM tok GROUP BY 1"
+        ),
         "epoch_orders": " UNION ALL ".join(f"SELECT {e}::BIGINT epoch, row_gid, row_number() OVER (ORDER BY md5('42:{e}:' || row_gid), row_gid) - 1 place FROM {rows('customer')}" for e in range(3)),
-        "batch_collate": f"{tok}, n AS (SELECT seq_id, count(*) n_cells FROM tok GROUP BY 1), p AS {places} SELECT place // 128 batch_idx, (place % 128) // 32 AS rank, count(*) n, string_agg((place % 32) || ':' || seq_id || ':' || n_cells, ',' ORDER BY place) slots FROM p JOIN n ON n.seq_id = p.row_gid GROUP BY 1, 2",
+        "batch_collate": (
+            f"{tok}, n AS (SELECT seq_id, count(*) n_cells FROM tok GROUP BY 1), p AS {places} SELECT place // 128 batch_idx, "
+            f"(place % 128) // 32 AS rank, count(*) n, string_agg((place % 32) || ':' || seq_id || ':' || n_cells, ',' ORDER BY place) slots FROM p JOIN n"
+            f" ON n.seq_id = p.row_gid GROUP BY 1, 2"
+        ),
         "sampler_places": f"SELECT task, row_gid, seq_id, place FROM {sampled}",
-        "index_lookups": f"SELECT * FROM (VALUES ('orders', 'o_custkey', {NAMES.index('orders')}::BIGINT, {IDX['orders', 'o_custkey']}::BIGINT), ('orders', 'nothing', {NAMES.index('orders')}, -1), ('nothing', 'o_custkey', -1, -1), ('labels', 'toxic', {NAMES.index('labels')}, {IDX['labels', 'toxic']})) v(table_name, name, table_idx, column_idx)",
-        "describe_counts": f"SELECT 'tables' what, {len(NAMES)}::BIGINT n UNION ALL SELECT 'columns', {len(CATALOG)} UNION ALL SELECT 'rows', sum(n_rows)::BIGINT FROM ({census}) UNION ALL SELECT 'texts', count(DISTINCT txt) FROM {cells()} UNION ALL SELECT 'edges', count(*) FROM {edges()}",
-        "describe_previews": f"(SELECT 'vocabulary' what, substring(txt, 1, 40) AS value FROM {vocab()} ORDER BY text_id LIMIT 50) UNION ALL (SELECT 'edge', from_gid || ' ' || from_col || ' ' || to_gid FROM {edges()} ORDER BY from_gid, from_col, to_gid LIMIT 30) UNION ALL (SELECT 'key', table_idx || ' ' || pk || ' ' || row_gid FROM ({nodes}) WHERE pk IS NOT NULL ORDER BY row_gid LIMIT 20)",
+        "index_lookups": (
+            f"SELECT * FROM (VALUES ('orders', 'o_custkey', {NAMES.index('orders')}::BIGINT, {IDX['orders', 'o_custkey']}::BIGINT), ('orders', 'nothing', "
+            f"{NAMES.index('orders')}, -1), ('nothing', 'o_custkey', -1, -1), ('labels', 'toxic', {NAMES.index('labels')}, "
+            f"{IDX['labels', 'toxic']})) v(table_name, name, table_idx, column_idx)"
+        ),
+        "describe_counts": (
+            f"SELECT 'tables' what, {len(NAMES)}::BIGINT n UNION ALL SELECT 'columns', {len(CATALOG)} UNION ALL SELECT 'rows', sum(n_rows)::BIGINT"
+            f" FROM ({census}) UNION ALL SELECT 'texts', count(DISTINCT txt) FROM {cells()} UNION ALL SELECT 'edges', count(*) FROM {edges()}"
+        ),
+        "describe_previews": (
+            f"(SELECT 'vocabulary' what, substring(txt, 1, 40) AS value FROM {vocab()} ORDER BY text_id LIMIT 50) UNION ALL (SELECT 'edge', "
+            f"from_gid || ' ' || from_col || ' ' || to_gid FROM {edges()} ORDER BY from_gid, from_col, to_gid LIMIT 30) UNION ALL (SELECT 'key', "
+            f"table_idx || ' ' || pk || ' ' || row_gid FROM ({nodes}) WHERE pk IS NOT NULL ORDER BY row_gid LIMIT 20)"
+        ),
         "hash_embed_vocab": f"SELECT txt, i, round(x, 6) + 0.0::DOUBLE x FROM {embedded('(SELECT txt, txt t FROM ' + vocab('part', 'nation', 'region') + ')', 'txt')}",
-        "column_vectors": f"SELECT column_idx::BIGINT column_idx, i, round(x, 6) + 0.0::DOUBLE x FROM {embedded(f'(SELECT column_idx, description t FROM {catalog})', 'column_idx')}",
-        "cell_vectors": f"SELECT row_gid, column_idx::BIGINT column_idx, CASE WHEN txt IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE text_norm, 1.0::DOUBLE column_norm FROM {cells('part')}",
-        "padded_tokens": f"SELECT txt, max(n) OVER (PARTITION BY len(txt) % 7)::BIGINT width, n::BIGINT n, n::BIGINT n_ids FROM (SELECT txt, {words} n FROM {vocab('part', 'nation')})",
-        "batch_summary": f"{tok} SELECT seq_id, count(*) n_cells, count(*) FILTER (bucket = 0 AND hop = 0 AND column_idx = {IDX['customer', 'c_acctbal']}) n_masked, count(DISTINCT row_gid) n_rows FROM tok GROUP BY 1",
+        "column_vectors": (
+            f"SELECT column_idx::BIGINT column_idx, i, round(x, 6) + 0.0::DOUBLE x"
+            f" FROM {embedded(f'(SELECT column_idx, description t FROM {catalog})', 'column_idx')}"
+        ),
+        "cell_vectors": (
+            f"SELECT row_gid, column_idx::BIGINT column_idx, CASE WHEN txt IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE text_norm, 1.0::DOUBLE column_norm"
+            f" FROM {cells('part')}"
+        ),
+        "padded_tokens": (
+            f"SELECT txt, max(n) OVER (PARTITION BY len(txt) % 7)::BIGINT width, n::BIGINT n, n::BIGINT n_ids FROM (SELECT txt, {words} n"
+            f" FROM {vocab('part', 'nation')})"
+        ),
+        "batch_summary": (
+            f"{tok} SELECT seq_id, count(*) n_cells, count(*) FILTER (bucket = 0 AND hop = 0 AND column_idx = {IDX['customer', 'c_acctbal']}) n_masked, "
+            f"count(DISTINCT row_gid) n_rows FROM tok GROUP BY 1"
+        ),
         "epoch_shuffle": f"SELECT row_gid, place FROM {places}",
         "batch_assignment": f"SELECT row_gid, place // 128 batch_idx, (place % 128) // 32 AS rank, place % 32 slot FROM {places}",
-        "wraparound_slots": f"WITH p AS {places}, n AS (SELECT count(*) n FROM customer), g AS (SELECT unnest(range(((n + 127) // 128) * 128)) id, n FROM n) SELECT id // 128 batch_idx, (id // 32) % 4 AS rank, id % 32 slot, row_gid, greatest(0, least(32, n - (id // 32) * 32))::BIGINT true_size FROM g JOIN p ON p.place = g.id % n",
+        "wraparound_slots": (
+            f"WITH p AS {places}, n AS (SELECT count(*) n FROM customer), g AS (SELECT unnest(range(((n + 127) // 128) * 128)) id, n"
+            f" FROM n) SELECT id // 128 batch_idx, (id // 32) % 4 AS rank, id % 32 slot, row_gid, greatest(0, least(32, "
+            f"n - (id // 32) * 32))::BIGINT true_size FROM g JOIN p ON p.place = g.id % n"
+        ),
         "num_batches": "SELECT ceil(count(*) / 128.0)::BIGINT n FROM customer",
-        "sequence_pack": f"{tok} SELECT seq_id, count(*) n_cells, array_to_string(list_concat(list(column_idx ORDER BY pos), list_transform(range(64 - count(*)), lambda x: 0)), ',') \"columns\", 64 - count(*) n_padding FROM tok GROUP BY 1",
+        "sequence_pack": (
+            f"{tok} SELECT seq_id, count(*) n_cells, array_to_string(list_concat(list(column_idx ORDER BY pos), list_transform(range(64 - count(*)), "
+            f"lambda x: 0)), ',') \"columns\", 64 - count(*) n_padding FROM tok GROUP BY 1"
+        ),
         "split_rows": "SELECT CASE WHEN o_orderdate < '1999-01-01' THEN 'train' WHEN o_orderdate < '2000-01-01' THEN 'val' ELSE 'test' END split, count(*) n, sum(o_orderkey)::BIGINT sum_key FROM orders GROUP BY 1",
         "seed_enumeration": f"SELECT 0::BIGINT db_id, row_gid, true is_task_row FROM {rows('labels')}",
         "vec_l2_normalize": f"SELECT vec_id, round(list_dot_product(v, v), 6) norm2, round(v[1], 6) + 0.0::DOUBLE AS first FROM (SELECT vec_id, {unit} v FROM embeddings)",
-        "vec_prefix_renorm": f"SELECT vec_id, len(v) n, round(v[1], 6) + 0.0::DOUBLE AS first, round(v[16], 6) + 0.0::DOUBLE AS last FROM (SELECT vec_id, {short} v FROM embeddings)",
+        "vec_prefix_renorm": (
+            f"SELECT vec_id, len(v) n, round(v[1], 6) + 0.0::DOUBLE AS first, round(v[16], 6) + 0.0::DOUBLE AS last FROM (SELECT vec_id, {short} v"
+            f" FROM embeddings)"
+        ),
         "vec_mean_pool_by_label": "SELECT label::BIGINT AS label, (i - 1)::BIGINT i, round(avg(x::DOUBLE), 6) + 0.0::DOUBLE mean FROM (SELECT label, unnest(embedding) x, generate_subscripts(embedding, 1) i FROM embeddings) GROUP BY 1, 2",
         "vec_last_token": "SELECT label::BIGINT AS label, round(arg_max(embedding, vec_id)[1]::DOUBLE, 6) + 0.0::DOUBLE AS first FROM embeddings GROUP BY 1",
-        "cosine_topk": f"WITH e AS (SELECT vec_id, label, {unit} v FROM embeddings), f AS (SELECT label, arg_min(v, vec_id) q, min(vec_id) q_id FROM e GROUP BY 1), n AS (SELECT e.label, vec_id, round(list_dot_product(v, q), 6) cosine FROM e JOIN f USING (label) WHERE vec_id <> q_id) SELECT label::BIGINT AS label, vec_id, k, cosine FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY cosine DESC, vec_id) k FROM n) WHERE k <= 5",
+        "cosine_topk": (
+            f"WITH e AS (SELECT vec_id, label, {unit} v FROM embeddings), f AS (SELECT label, arg_min(v, vec_id) q, min(vec_id) q_id FROM e GROUP BY 1), "
+            f"n AS (SELECT e.label, vec_id, round(list_dot_product(v, q), 6) cosine FROM e JOIN f USING (label)"
+            f" WHERE vec_id <> q_id) SELECT label::BIGINT AS label, vec_id, k, cosine FROM (SELECT *, row_number() OVER (PARTITION BY label"
+            f" ORDER BY cosine DESC, vec_id) k FROM n) WHERE k <= 5"
+        ),
         "huber_loss": f"SELECT round(avg({huber}), 6) loss FROM {pred}",
         "bce_logits": f"SELECT round(avg({bce.format(z='(z - 0.3)')}), 6) loss FROM {pred}",
-        "masked_mean_loss": f"SELECT round(sum(CASE WHEN NOT mask THEN 0 WHEN kind IN (0, 2) THEN {huber} WHEN kind = 3 THEN {bce.format(z='z')} ELSE 0 END) / count(*) FILTER (mask), 6) loss FROM {pred}",
+        "masked_mean_loss": (
+            f"SELECT round(sum(CASE WHEN NOT mask THEN 0 WHEN kind IN (0, "
+            f"2) THEN {huber} WHEN kind = 3 THEN {bce.format(z='z')} ELSE 0 END) / count(*) FILTER (mask), 6) loss FROM {pred}"
+        ),
         "running_loss": f"SELECT row_gid // 5000 step, round(avg({huber}), 6) loss, count(*) n FROM {pred} GROUP BY 1",
     }
