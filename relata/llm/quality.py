@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 BINS = 1 << 14
 #: The trusted multinomial is counted over so many labelled documents at most, by the order of a hash.
 MOST_TRUSTED = 20_000
@@ -37,19 +39,17 @@ def repeated(words: Column) -> Column:
     neighbours compared in full.
     """
     n = F.size(words)
-    places = F.sequence(F.lit(0), n - 3)
-    hashes = F.transform(places, lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
-    ordered = F.array_sort(F.transform(places, lambda i: F.struct(F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i"))))
+    hashes = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
+    ordered = lambda h: F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
 
     def flagged(rows: Column) -> Column:
         same = lambda a, b: (a["h"] == b["h"]) & (gram(words, a["i"]) == gram(words, b["i"]))
         found = F.filter(rows, lambda x, k: F.coalesce(same(x, F.get(rows, k - 1)), F.lit(False)) | F.coalesce(same(x, F.get(rows, k + 1)), F.lit(False)))
-        starts = F.array_sort(F.transform(found, lambda x: x["i"]))
+        starts = F.sort_array(F.transform(found, lambda x: x["i"]))
         return F.aggregate(starts, F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n")), lambda s, i: F.struct(i.alias("last"), (s["n"] + F.least(F.lit(3), i - s["last"])).alias("n")), lambda s: s["n"])
 
-    # one lambda binds the sorted array, which is then computed once
-    heavy = F.aggregate(F.array(ordered), F.lit(0), lambda _, rows: flagged(rows))
-    return F.when(n < 3, F.lit(0)).when(F.size(F.array_distinct(hashes)) == n - 2, F.lit(0)).otherwise(heavy).cast("long")
+    counted = bound(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == n - 2, F.lit(0)).otherwise(bound(ordered(h), flagged)))
+    return F.when(n < 3, F.lit(0)).otherwise(counted).cast("long")
 
 
 def bound(value: Column, use) -> Column:
@@ -120,4 +120,5 @@ def judge(docs: DataFrame, weights: list[float], text: str = "text", threshold:
     llr = lambda c: F.when(~c["base_failed"], score(F.coalesce(F.col(text), F.lit("")), weights))
     facts = bound(base(F.col(text)), lambda c: bound(llr(c), lambda x: F.struct(*(c[n].alias(n) for n in names), x.alias("llr"), F.coalesce(x >= threshold, F.lit(False)).alias("kept"))))
     rest = docs.drop(*names, "llr", "kept")
-    return rest.withColumn("facts_", facts).select(*rest.columns, "facts_.*")
+    own = unused("facts", rest.columns)
+    return rest.withColumn(own, facts).select(*rest.columns, f"{own}.*")

@@ -12,12 +12,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import LongType
 
-from .common import binary, connected_components, written
+from .common import appended, at_rest, binary, connected_components, forget, over_batches, written
 
 SEED = 42
 BLOCK = 16
@@ -44,7 +43,7 @@ def fingerprint(text: bytes | None, shingle: int = 3) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-@arrow_udf(LongType())
+@over_batches(LongType())
 def fingerprints(texts: pa.Array) -> pa.Array:
     return pa.array(np.array([fingerprint(x.as_py()) for x in texts], np.uint64).view(np.int64))
 
@@ -55,40 +54,46 @@ def masks(parts: int = 4) -> list[int]:
 
 
 def local_roots(found: np.ndarray, most: int) -> np.ndarray:
-    """For sorted distinct fingerprints: the index of the smallest that links reach inside this array."""
+    """For sorted distinct fingerprints: the index of the smallest that links reach inside this array.
+
+    Many are dealt by parts of the bits in which they differ at all: two that differ in ``most`` bits agree on one of
+    most + 1 parts, so that only those with an equal part are compared, and again so. Links become roots part by
+    part; no list of pairs is kept.
+    """
     root = np.arange(len(found))
     if len(found) <= DENSE:
-        near = np.bitwise_count(found[:, None] ^ found[None, :]) <= most
-        while True:
-            lower = np.where(near, root[None, :], len(found)).min(1)
-            lower = lower[lower]
-            if (lower == root).all():
-                return root
-            root = lower
-    # two that differ in `most` bits agree on one of most + 1 parts
-    cut = [((1 << 64) - 1) & ~((1 << (64 * i // (most + 1))) - 1) & ((1 << (64 * (i + 1) // (most + 1))) - 1) for i in range(most + 1)]
-    changed = True
-    links = []
-    for mask in cut:
-        part = found & np.uint64(mask)
-        order = np.argsort(part, kind="stable")
-        for rows in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
-            if 1 < len(rows) < len(found):
+        for i in range(0, len(found), 256):
+            a, b = np.nonzero(np.bitwise_count(found[i : i + 256, None] ^ found[None, :]) <= most)
+            _unite(root, a + i, b)
+        return _settled(root)
+    differ = int(np.bitwise_or.reduce(found ^ found[0]))
+    bits = [b for b in range(64) if differ >> b & 1]
+    for part in range(most + 1):
+        own = bits[part::most + 1]
+        value = found & np.uint64(sum(1 << b for b in own))
+        order = np.argsort(value, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(value[order])) + 1):
+            if len(rows) > 1:
                 rows = np.sort(rows)
-                links.append((rows, rows[local_roots(found[rows], most)]))
-            elif len(rows) == len(found):  # all agree here: compare block against block
-                for i in range(0, len(rows), DENSE):
-                    for j in range(i, len(rows), DENSE):
-                        a, b = np.nonzero(np.bitwise_count(found[i : i + DENSE, None] ^ found[None, j : j + DENSE]) <= most)
-                        links.append((a + i, b + j))
-    while changed:
-        before = root.copy()
-        for a, b in links:
-            low = np.minimum(root[a], root[b])
-            np.minimum.at(root, a, low)
-            np.minimum.at(root, b, low)
+                _unite(root, rows, rows[local_roots(found[rows], most)])
+    return _settled(root)
+
+
+def _unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Gives both ends of links, and what they point to, the lower root, until nothing changes."""
+    while True:
+        x, y = root[a], root[b]
+        low = np.minimum(x, y)
+        if (x == y).all():
+            return
+        for at in (a, b, x, y):
+            np.minimum.at(root, at, low)
+        root[:] = root[root]
+
+
+def _settled(root: np.ndarray) -> np.ndarray:
+    while (root != root[root]).any():
         root = root[root]
-        changed = bool((before != root).any())
     return root
 
 
@@ -143,11 +148,18 @@ def near_duplicates(docs: DataFrame, most: int = 2, key: str = "doc_id", text: s
 
 #: Min-hashes of a band, and bands. A pair of Jaccard 0.8 shares no band with probability (1 - 0.8 ** 5) ** 38 = 2.8e-7.
 ROWS, BANDS = 5, 38
+#: Least number of equal bytes of two sketches, one byte a min-hash, for exact confirmation. A pair of Jaccard 0.8 has
+#: fewer with probability 5e-9.
+ALIKE = 118
 _rng = np.random.default_rng(SEED)
 _flips, _odds = _rng.integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
 _odds |= np.uint64(1)
-#: Rounds of one leader a block, before all pairs that are left are compared.
-LEADER_ROUNDS = 3
+#: Rounds of one leader a set, before pairs that are still apart are looked for.
+LEADER_ROUNDS = 2
+#: Sets up to this number are found among texts by broadcast.
+FEW = 100_000
+#: Sets, and their shingles, that a part of a group holds; all of the group are compared with them.
+HOT, HOT_SHINGLES = 2048, 1 << 22
 
 
 def shingles(text: bytes | None, size: int) -> np.ndarray:
@@ -161,8 +173,8 @@ def shingles(text: bytes | None, size: int) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(g, SEED) for g in grams], np.uint64))
 
 
-def bands(found: np.ndarray) -> np.ndarray:
-    """A hash of each band of min-hashes."""
+def signature(found: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """A hash of each band of min-hashes, and a byte of each min-hash."""
     low = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
     for i in range(0, len(found), 2048):
         low = np.minimum(low, ((found[i : i + 2048, None] ^ _flips) * _odds).min(0))
@@ -170,28 +182,140 @@ def bands(found: np.ndarray) -> np.ndarray:
     for part in low.reshape(BANDS, ROWS).T:
         out = (out ^ part) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(29)
-    return out
+    return out, (low * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56)).astype(np.uint8).tobytes()
+
+
+def stars(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Links as two rows: each end that isn't the smallest of those it reaches, and that smallest."""
+    ends, back = np.unique(np.concatenate([a, b]), return_inverse=True)
+    root = np.arange(len(ends))
+    _unite(root, back[: len(a)], back[len(a) :])
+    root = _settled(root)
+    far = root != np.arange(len(ends))
+    return np.stack([ends[far], ends[root[far]]])
+
+
+def group_links(exact: bool):
+    """A function of groups of sets that dealt() gives: links (a, b) between sets of two roots, none of all pairs.
+
+    Sets with like sketches and sizes link: their roots, or, if exact, themselves once their shingles are confirmed.
+    """
+
+    def run(batches):
+        at, held, found = None, [], []
+        index = None
+
+        def settle() -> None:
+            """Makes one table of what the part holds, and compares it with itself."""
+            nonlocal index
+            if index is not None or not held:
+                return
+            index = [np.concatenate([h[k] for h in held]) for k in range(4)]
+            if exact:
+                grams = [g for h in held for g in h[4]]
+                known, flat = np.unique(np.concatenate(grams), return_inverse=True)
+                index += [known, flat, np.cumsum([0, *map(len, grams)])]
+            for rows in list(held):
+                look(rows)
+
+        def look(rows: list) -> None:
+            name, size, root, sketch = index[:4]
+            for i in range(0, len(rows[0]), 32):
+                own = [x[i : i + 32] for x in rows]
+                ok = (5 * np.minimum(own[1][:, None], size) >= 4 * np.maximum(own[1][:, None], size)) & (own[2][:, None] != root)
+                for q in np.flatnonzero(ok.any(1)).tolist():
+                    near = np.flatnonzero(ok[q])
+                    near = near[(own[3][q] == sketch[near]).sum(1) >= ALIKE]
+                    if not len(near):
+                        continue
+                    if exact:
+                        known, flat, edge = index[4:]
+                        place = np.searchsorted(known, own[4][q])
+                        place = place[place < len(known)][known[place[place < len(known)]] == own[4][q][place < len(known)]]
+                        mark = np.zeros(len(known), np.int64)
+                        mark[place] = 1
+                        both = np.array([mark[flat[edge[k] : edge[k + 1]]].sum() for k in near.tolist()])
+                        near = near[5 * both >= 4 * (len(own[4][q]) + size[near] - both)]
+                        found.append(np.stack([np.full(len(near), own[0][q]), name[near]]))
+                    else:
+                        found.append(np.unique(np.stack([np.full(len(near), own[2][q]), root[near]]), axis=1))
+                if len(found) > 4096:
+                    found[:] = [stars(*np.concatenate(found, 1))]
+
+        def flush():
+            out = stars(*np.concatenate([np.zeros((2, 0), np.int64), *found], 1))
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1])], names=["a", "b"])
+
+        try:
+            for batch in batches:
+                place, flag = np.asarray(batch.column("place_")), batch.column("held_").to_numpy(zero_copy_only=False)
+                edges = [0, *(np.flatnonzero((np.diff(place) != 0) | (np.diff(flag.astype(int)) != 0)) + 1).tolist(), len(batch)]
+                for s, e in zip(edges, edges[1:], strict=False):
+                    if s == e:
+                        continue
+                    if place[s] != at:
+                        settle()
+                        at, held, index = place[s], [], None
+                    part = batch.slice(s, e - s)
+                    rows = [np.asarray(part.column(c)) for c in ("set_", "size_", "root")] + [np.frombuffer(b"".join(part.column("sketch_").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)]
+                    if exact:
+                        rows.append([np.frombuffer(x, np.uint64) for x in part.column("grams_").to_pylist()])
+                    if flag[s]:
+                        held.append(rows)
+                        continue
+                    settle()
+                    if index is not None:
+                        look(rows)
+                if sum(x.shape[1] for x in found) > 100_000:
+                    yield flush()
+            settle()
+            yield flush()
+        finally:
+            at_rest()
+
+    return run
+
+
+def dealt(rows: DataFrame, by: str) -> DataFrame:
+    """rows (set_, size_, ...) with place_, the part of the group that a column tells, and held_, what the part holds."""
+    hot = rows.groupBy(by).agg(F.count("*").alias("n_"), F.sum("size_").alias("all_")).where((F.col("n_") > HOT) | (F.col("all_") > HOT_SHINGLES))
+    hot = hot.select(by, F.ceil(F.greatest(F.col("n_") / HOT, F.col("all_") / HOT_SHINGLES)).cast("int").alias("parts_"))
+    parts = F.coalesce("parts_", F.lit(1))
+    cut = rows.join(hot, by, "left").withColumn("part_", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return cut.withColumn("held_", F.pmod(F.xxhash64("set_"), parts) == F.col("part_")).withColumn("place_", F.xxhash64(by, "part_")).drop("parts_", "part_", by)
 
 
 def similar(docs: DataFrame, rest: list, shingle: int = 5, text: str = "text") -> DataFrame:
     """The columns ``rest`` of every row of docs, and root_, alike for all rows that links reach.
 
-    Rows link where the Jaccard similarity of their sets of shingles is 0.8 or more. Pairs that share a band are
-    candidates, and each that is not linked by others is confirmed on the sets themselves. First all of a block
-    are compared with one leader, a few times; then all pairs of a block that are still apart. Texts without
-    words, null ones too, have equal sets.
+    Rows link where the Jaccard similarity of their sets of shingles is 0.8 or more. Pairs that share a band and have
+    like sketches are candidates, and each that is not linked by others is confirmed on the sets themselves, which
+    are made again for the texts concerned. In each of a few rounds every set is compared with the likest of its
+    blocks' leaders. Then blocks that still hold sets apart tell which components candidates join into a cluster, and
+    inside a cluster the candidates are confirmed where they are: no list of pairs leaves a group. Texts without
+    words, null ones too, have equal sets. Texts are taken whole; sets and texts are told apart by 64 bits.
     """
 
-    @arrow_udf("set_ long, size_ long, bands_ array<long>, grams_ binary")
+    @over_batches("set_ long, size_ long, bands_ array<long>, sketch_ binary")
     def sets(texts: pa.Array) -> pa.Array:
         import xxhash
 
         found = [shingles(x.as_py(), shingle) for x in texts]
         names = np.array([xxhash.xxh3_64_intdigest(f.tobytes()) for f in found], np.uint64).view(np.int64)
-        blocks = pa.array([bands(f).view(np.int64) for f in found], pa.list_(pa.int64()))
-        return pa.StructArray.from_arrays([pa.array(names), pa.array([len(f) for f in found], pa.int64()), blocks, pa.array([f.tobytes() for f in found], pa.binary())], ["set_", "size_", "bands_", "grams_"])
+        signs = [signature(f) for f in found]
+        return pa.StructArray.from_arrays([pa.array(names), pa.array([len(f) for f in found], pa.int64()), pa.array([b.view(np.int64) for b, _ in signs], pa.list_(pa.int64())), pa.array([x for _, x in signs], pa.binary())], ["set_", "size_", "bands_", "sketch_"])
+
+    @over_batches("binary")
+    def grams_of(texts: pa.Array) -> pa.Array:
+        return pa.array([shingles(x.as_py(), shingle).tobytes() for x in texts], pa.binary())
+
+    @over_batches("int", several=True)
+    def same(a: pa.Array, b: pa.Array) -> pa.Array:
+        x, y = (np.frombuffer(b"".join(v.to_pylist()), np.uint8).reshape(-1, BANDS * ROWS) for v in (a, b))
+        return pa.array((x == y).sum(1), pa.int32())
 
-    @arrow_udf("boolean")
+    @over_batches("boolean", several=True)
     def alike(a: pa.Array, b: pa.Array) -> pa.Array:
         out = []
         for x, y in zip(a, b, strict=True):
@@ -200,32 +324,80 @@ def similar(docs: DataFrame, rest: list, shingle: int = 5, text: str = "text") -
             out.append(5 * both >= 4 * (len(x) + len(y) - both))
         return pa.array(out, pa.bool_())
 
-    marked = written(docs.select(*rest, sets(binary(text)).alias("s_")).select("*", "s_.*").drop("s_"), "sets")
-    classes = marked.groupBy("set_").agg(F.first("size_").alias("size_"), F.first("bands_").alias("bands_"))
-    blocks = classes.select("set_", "size_", F.explode("bands_").alias("block_")).withColumn("n_", F.count("*").over(Window.partitionBy("block_"))).where("n_ > 1").drop("n_")
-    blocks = written(blocks, "blocks")
-    wanted = blocks.select("set_").distinct()
-    grams = written(marked.select("set_", "grams_").join(wanted, "set_", "left_semi").groupBy("set_").agg(F.first("grams_").alias("grams_")), "grams")
-    links = None
-    roots = None
-    for k in range(LEADER_ROUNDS + 1):
-        now = blocks if roots is None else blocks.join(roots.withColumnRenamed("node", "set_"), "set_", "left").withColumn("root", F.coalesce("root", "set_"))
-        now = now.withColumn("root", F.col("set_")) if roots is None else now
-        if k:  # blocks that one component fills are done
-            apart = now.groupBy("block_").agg((F.min("root") < F.max("root")).alias("apart_")).where("apart_").select("block_")
-            now = now.join(apart, "block_", "left_semi")
-        fits = lambda a, b: 5 * F.least(a, b) >= 4 * F.greatest(a, b)
-        if k < LEADER_ROUNDS:
-            lead = now.groupBy("block_").agg(F.min_by(F.struct("set_", "size_", "root"), F.xxhash64("set_", F.lit(k))).alias("lead_"))
-            pairs = now.join(lead, "block_").where(F.col("root") != F.col("lead_.root")).where(fits(F.col("size_"), F.col("lead_.size_"))).select("set_", F.col("lead_.set_").alias("other_"))
-        else:
-            other = now.select("block_", F.col("set_").alias("other_"), F.col("size_").alias("other_size_"), F.col("root").alias("other_root_"))
-            pairs = now.join(other, "block_").where((F.col("set_") < F.col("other_")) & (F.col("root") != F.col("other_root_"))).where(fits(F.col("size_"), F.col("other_size_"))).select("set_", "other_")
-        pairs = pairs.select(F.greatest("set_", "other_").alias("a"), F.least("set_", "other_").alias("b")).distinct()
-        both = pairs.join(grams.select(F.col("set_").alias("a"), F.col("grams_").alias("x_")), "a").join(grams.select(F.col("set_").alias("b"), F.col("grams_").alias("y_")), "b")
-        more = written(both.where(alike("x_", "y_")).select("a", "b"), "similar")
-        if k and more.isEmpty():
-            continue
-        links = more if links is None else roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
-        roots = written(connected_components(links, "similar"), "roots")
-    return marked.drop("size_", "bands_", "grams_").join(roots.withColumnRenamed("node", "set_"), "set_", "left").withColumn("root_", F.coalesce("root", "set_")).drop("set_", "root")
+    body = F.coalesce(binary(text), F.lit(b""))
+    marked = written(docs.select(*rest, F.xxhash64(body).alias("text_"), sets(body).alias("s_")).select("*", "s_.*").drop("s_"), "sets")
+    # texts of a set may differ in white space and case; the first by hash stands for all
+    classes = written(marked.groupBy("set_").agg(F.min("text_").alias("text_"), F.first("size_").alias("size_"), F.first("bands_").alias("bands_"), F.first("sketch_").alias("sketch_")), "classes")
+    light = written(marked.drop("text_", "size_", "bands_", "sketch_"), "names")
+    forget(marked)
+    bands = written(classes.select("set_", "size_", F.explode("bands_").alias("block_")), "bands")
+    several = written(bands.groupBy("block_").agg(F.count("*").alias("n_")).where("n_ > 1").select("block_"), "several")
+    blocks = written(bands.join(several, "block_", "left_semi"), "blocks")
+    forget(bands, several)
+    sketches = classes.select("set_", "sketch_")
+    grams, roots = None, None
+
+    def side(table: DataFrame, column: str, name: str) -> DataFrame:
+        return table.select(F.col("set_").alias(name), F.col(column).alias(f"{name}_{column}"))
+
+    def fetch(wanted: DataFrame) -> None:
+        """Adds the shingles of further sets to grams."""
+        nonlocal grams
+        wanted = wanted if grams is None else wanted.join(grams, "set_", "left_anti")
+        wanted = written(wanted.join(classes.select("set_", "text_"), "set_"), "wanted")
+        found = docs.select(F.xxhash64(body).alias("text_"), body.alias("body_")).join(F.broadcast(wanted) if wanted.count() <= FEW else wanted, "text_")
+        grams = appended(found.select("set_", "body_").groupBy("set_").agg(F.first("body_").alias("body_")).select("set_", grams_of("body_").alias("grams_")), grams)
+        forget(wanted)
+
+    def joined(more: DataFrame) -> None:
+        """Adds links to the components."""
+        nonlocal roots
+        if not more.isEmpty():
+            links = more if roots is None else roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
+            old, roots = roots, written(connected_components(links, "similar"), "roots")
+            forget(old)
+        forget(more)
+
+    def rooted(rows: DataFrame) -> DataFrame:
+        if roots is None:
+            return rows.withColumn("root", F.col("set_"))
+        return rows.join(roots.withColumnRenamed("node", "set_"), "set_", "left").withColumn("root", F.coalesce("root", "set_"))
+
+    def still_apart() -> DataFrame:
+        """Blocks that more than one component fills."""
+        now = rooted(blocks)
+        apart = now.groupBy("block_").agg((F.min("root") < F.max("root")).alias("apart_")).where("apart_").select("block_")
+        return written(now.join(apart, "block_", "left_semi"), "open")
+
+    for k in range(LEADER_ROUNDS):
+        now = still_apart()
+        lead = written(now.groupBy("block_").agg(F.min_by(F.struct("set_", "size_", "root"), F.xxhash64("set_", F.lit(k))).alias("lead_")), "leaders")
+        near = now.join(lead, "block_").where((F.col("root") != F.col("lead_.root")) & (5 * F.least("size_", F.col("lead_.size_")) >= 4 * F.greatest("size_", F.col("lead_.size_"))))
+        near = written(near.select(F.col("set_").alias("a"), F.col("lead_.set_").alias("b")).distinct(), "near")
+        both = near.join(side(sketches, "sketch_", "a"), "a").join(side(sketches, "sketch_", "b"), "b").select("a", "b", same("a_sketch_", "b_sketch_").alias("same_"))
+        best = both.where(F.col("same_") >= ALIKE).groupBy("a").agg(F.max_by("b", F.struct("same_", "b")).alias("b"))
+        close = written(best.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "close")
+        forget(now, lead, near)
+        if close.isEmpty():
+            break
+        fetch(close.select(F.col("a").alias("set_")).unionByName(close.select(F.col("b").alias("set_"))).distinct())
+        both = close.join(side(grams, "grams_", "a"), "a").join(side(grams, "grams_", "b"), "b")
+        joined(written(both.where(alike("a_grams_", "b_grams_")).select("a", "b"), "similar"))
+        forget(close)
+    now = still_apart()
+    candidates = written(dealt(now, "block_").join(sketches, "set_").select("place_", "held_", "set_", "size_", "root", "sketch_").repartition("place_").sortWithinPartitions("place_", F.desc("held_")).mapInArrow(group_links(False), "a long, b long").distinct(), "candidates")
+    forget(now)
+    if not candidates.isEmpty():
+        clusters = written(connected_components(candidates, "clusters"), "clusters")
+        members = rooted(classes.select("set_", "size_")).join(clusters.select(F.col("node").alias("root"), F.col("root").alias("cluster_")), "root")
+        members = written(members, "members")
+        fetch(members.select("set_"))
+        rows = dealt(members, "cluster_").join(sketches, "set_").join(grams, "set_")
+        rows = rows.select("place_", "held_", "set_", "size_", "root", "sketch_", "grams_").repartition("place_").sortWithinPartitions("place_", F.desc("held_"))
+        joined(written(rows.mapInArrow(group_links(True), "a long, b long").distinct(), "similar"))
+        forget(clusters, members)
+    forget(candidates)
+    forget(blocks, grams, classes)
+    if roots is None:
+        return light.withColumnRenamed("set_", "root_")
+    return light.join(roots.withColumnRenamed("node", "set_"), "set_", "left").withColumn("root_", F.coalesce("root", "set_")).drop("set_", "root")

@@ -63,3 +63,136 @@ def test_near_duplicates_leave_one_row_of_each_component(spark):
     lost = {x.doc_id: x.text for x in P.repeated_passages(spark, kept, "").collect()}
     again = next(x[1] for x in rows if x[0] == 200)
     assert lost[200] == again and len(lost) >= len({x[0] for x in want})
+
+
+def test_pairs_in_large_groups(spark, monkeypatch):
+    """Sets of which many share a part and few are alike, groups cut into parts, and no leader: links by clusters alone."""
+    from relata.llm import simhash
+
+    r = random.Random(11)
+    shared = [f"s{r.randrange(9000)}" for _ in range(75)]
+    rows = []
+    for i in range(60):
+        own = [f"o{r.randrange(90000)}" for _ in range(24)]
+        rows.append((2 * i, " ".join(shared + own)))
+        if i % 4 == 0:
+            rows.append((2 * i + 1, " ".join(shared + own[:22] + ["x", f"y{i}"])))
+    sets = [_sets(t) for _, t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                a, b = root[i], root[j]
+                root = [b if x == a else x for x in root]
+    want = Counter(frozenset(rows[k][0] for k in range(len(rows)) if root[k] == g) for g in set(root))
+    docs = P.written(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "large")
+    for rounds, hot in ((2, 2048), (0, 7)):
+        monkeypatch.setattr(simhash, "LEADER_ROUNDS", rounds)
+        monkeypatch.setattr(simhash, "HOT", hot)
+        found = {}
+        for x in simhash.similar(docs, ["doc_id"]).collect():
+            found.setdefault(x.root_, set()).add(x.doc_id)
+        assert Counter(map(frozenset, found.values())) == want and 30 < len(want) < len(rows)
+
+
+def _split(t):
+    import re
+
+    return re.findall(r"[^\x20\x09-\x0D]+", t or "")
+
+
+def test_stages_against_brute_force(spark, tmp_path):
+    """Every stage's rows, on what the stage before left, with nulls, repeated rows, an empty and a long text."""
+    import numpy as np
+    import public_tokenizers
+    from test_operators import gone_words, plain_features
+    from tokenizers import Tokenizer
+
+    r = random.Random(21)
+    some = lambda n: " ".join(f"w{r.randrange(3000)}" for _ in range(n))
+    passage, copy, junk = some(60), some(120), " ".join(f"%{r.randrange(50)} #@" for _ in range(80))
+    rows = [(i, some(r.randint(55, 160)), "en", f"s{i % 4}") for i in range(30)]
+    rows += [(40 + i, f"{some(50)}\n{passage} {some(40)}", "en", "s1") for i in range(3)]
+    rows += [(50, copy, "en", "s0"), (51, copy + " x", "de", "s2"), (52, copy, None, None), (None, copy, "en", "s0"), (50, copy, "en", "s0")]
+    rows += [(60, None, "en", "s1"), (61, "", "en", None), (62, "few words", None, "s3"), (63, junk, "en", "s3"), (64, some(5000), "fr", None), (None, some(90), None, None), (None, some(90), None, None)]
+    rows = [(*x, len(x[1] or "")) for x in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    good = [i for i in range(30) if i % 3]
+    spark.createDataFrame([(i, 1, 0) for i in good] + [(63, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    d = str(tmp_path)
+    now, tables = P.table(spark, d, "documents"), [rows]
+    for name, step in P.STAGES:
+        now = P.written(step(spark, now, d), name)
+        tables.append([tuple(x) for x in now.collect()])
+    # quality rules
+    raw, target = Counter(), Counter()
+    for i, t, *_ in rows:
+        raw.update(plain_features(t or ""))
+        if i in good:
+            target.update(plain_features(t or ""))
+    share = sum(target.values()) / sum(raw.values())
+    weight = lambda b: np.log(target[b] + 1) - np.log(raw[b] * share + 1)
+
+    def passes(t):
+        w = _split(t)
+        count = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+        repeat = len({k for i in range(len(w) - 2) if count[tuple(w[i : i + 3])] > 1 for k in (i, i + 1, i + 2)})
+        return len(w) >= 50 and 100 * repeat <= 50 * len(w) and np.mean([weight(b) for b in plain_features(t)]) >= -0.30
+
+    assert Counter(tables[1]) == Counter(x for x in rows if passes(x[1]))
+    # near duplicates
+    left, groups = tables[1], []
+    for x in left:
+        near = [g for g in groups if any(5 * len(_sets(x[1]) & _sets(y[1])) >= 4 * len(_sets(x[1]) | _sets(y[1])) for y in g)]
+        groups = [g for g in groups if g not in near] + [[x] + [y for g in near for y in g]]
+    assert len(tables[2]) == len(groups) and all(sum(x in g for x in set(tables[2])) == 1 for g in groups)
+    assert sorted(min((y[0] is None, y[0] or 0) for y in g) for g in groups) == sorted((x[0] is None, x[0] or 0) for x in tables[2])
+    # repeated passages
+    words = [_split(x[1]) for x in tables[2]]
+    want = Counter()
+    for x, w in zip(tables[2], words, strict=True):
+        gone = gone_words(w, [], words)
+        text = " ".join(y for i, y in enumerate(w) if i not in gone) if gone else x[1]
+        want[x[0], text, x[2], x[3], len(text)] += 1
+    assert Counter(tables[3]) == want and want != Counter(tables[2])
+    # source mix: copies of whole documents, one cut document a source, the target's words
+    size = Counter()
+    for x in tables[3]:
+        size[x[3]] += len(_split(x[1]))
+    order = sorted(size, key=lambda s: (s is None, s or ""))
+    weights, open_, target_, left_ = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}, set(order), {}, 1.5 * sum(size.values())
+    while True:
+        over = {s for s in open_ if left_ * weights[s] / sum(weights[x] for x in open_) > 2 * size[s]}
+        if not over:
+            target_ |= {s: left_ * weights[s] / sum(weights[x] for x in open_) for s in open_}
+            break
+        target_ |= {s: 2.0 * size[s] for s in over}
+        left_ -= sum(target_[s] for s in over)
+        open_ -= over
+    taken, cut = Counter(), Counter()
+    for x in tables[4]:
+        taken[x[3]] += len(_split(x[1]))
+        mine = [y for y in tables[3] if (y[0], y[2], y[3]) == (x[0], x[2], x[3])]
+        assert x[4] == len(x[1]) and any(_split(y[1])[: len(_split(x[1]))] == _split(x[1]) for y in mine)
+        cut[x[3]] += not any(y[1] == x[1] for y in mine)
+    assert all(abs(taken[s] - target_[s]) <= 0.5 for s in size) and max(cut.values()) <= 1
+    assert all(n <= 2 for n in Counter((x[0], x[1]) for x in tables[4]).values())
+    # packing
+    model = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = Counter()
+    for x in tables[4]:
+        n = len(model.encode(x[1], add_special_tokens=False).ids) + 1
+        first = n if n <= 2048 else n % 2048 or 2048
+        for k, a in enumerate([0, *range(first, n, 2048)]):
+            pieces[x[0], k, a, (first if k == 0 else 2048)] += 1
+    assert Counter(x[:4] for x in tables[5]) == pieces
+    by = {}
+    for x in tables[5]:
+        by.setdefault(x[5], []).append((x[6], x[3]))
+    for parts in by.values():
+        parts.sort()
+        assert [a for a, _ in parts] == [sum(n for _, n in parts[:i]) for i in range(len(parts))] and sum(n for _, n in parts) <= 2048
+    empty = P.table(spark, d, "documents").where("false")
+    for _, step in P.STAGES:
+        assert step(spark, empty, d).count() == 0
