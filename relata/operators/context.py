@@ -30,7 +30,7 @@ def children(frontier: DataFrame, edges: DataFrame, width: int, seed: int = 42,
     return ranked.withColumn("rank", F.row_number().over(Window.partitionBy("seq_id", "parent").orderBy("h", "row_gid"))).where(F.col("rank") <= width)
 
 
-def sample(seeds: DataFrame, edges: DataFrame, width: int = 128, max_hops: int = 1, seed: int = 42, epoch: int = 0, filter_parents: bool = False, task_rows: bool = False, row_times: DataFrame | None = None, same_table: bool = False) -> DataFrame:
+def sample(seeds: DataFrame, edges: DataFrame, width: int = 128, max_hops: int = 1, seed: int = 42, epoch: int = 0, filter_parents: bool = False, task_rows: bool = False, row_times: DataFrame | None = None, same_table: bool = False, ready: bool = False) -> DataFrame:
     """(seq_id, row_gid, bucket, hop, root_hash, root_gid) of every row of every seed's context.
 
     seeds: (seq_id, row_gid, seed_ts). A bucket's rows are visited in hash order, each followed by all its
@@ -39,9 +39,10 @@ def sample(seeds: DataFrame, edges: DataFrame, width: int = 128, max_hops: int =
     hash. Buckets go up to max_hops. Order by bucket, root_hash, root_gid, hop, row_gid.
     filter_parents hides parents later than the seed (row_times then has row_gid and ts); task_rows lets other
     task rows in as children; same_table is for seeds that are no task rows: only children of the seed's own table,
-    which seeds then name in seed_table, are let in.
+    which seeds then name in seed_table, are let in. ready says that edges are a written table already, which is not
+    written again.
     """
-    edges = cut(edges.select(*[c for c in ("from_gid", "to_gid", "from_ts", "from_task", *(["from_table"] if same_table else [])) if c in edges.columns]))
+    edges = edges if ready else cut(edges.select(*[c for c in ("from_gid", "to_gid", "from_ts", "from_task", *(["from_table"] if same_table else [])) if c in edges.columns]))
     down = edges if task_rows else edges.where(~F.col("from_task"))
     pending = seeds.select("seq_id", "row_gid", "seed_ts").withColumn("bucket", F.lit(0))
     own = cut(seeds.select("seq_id", "seed_table").distinct()) if same_table else None
