@@ -3,34 +3,41 @@
 A window is WINDOW consecutive words of one document. Its fingerprint is the least hash among the windows of
 ANCHOR words inside it: equal windows have equal fingerprints, and neighbours mostly share theirs, so that an
 index needs one entry for about ten words. The index is log-structured: sorted immutable runs of (fingerprint,
-group of documents), dealt into buckets by fingerprint. A new batch becomes a run and is merge-joined with the
-runs of the history; fingerprints with a second place are handed to the groups of documents that hold them, old
-ones too; then the runs are compacted into one. Candidates are verified by 128 bits in all, the fingerprint
-and a hash of the window's text, again by counting in buckets. Entries are made unique within a task and
-group before any shuffle, so that a passage that very many documents share stays small.
+group of documents), dealt into buckets by fingerprint, in a folder that later sessions open again. A new batch
+becomes a run, is merge-joined with the runs of the history, and stays beside them; when there are many, runs are
+compacted into one. Fingerprints with a second place are handed to the groups of documents that hold them, old
+ones too, whose texts the index keeps. Candidates are verified by 128 bits in all, the fingerprint and a hash of
+the window's text, again by counting in buckets. Entries are made unique within a task and group before any
+shuffle, and buckets that a passage of very many documents fills are made unique by group in parts first.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WHITE, binary, written
+from .common import WHITE, _fresh, at_rest, binary, delete, written
 
 WINDOW = 35
 ANCHOR = 18
 #: Text of one group of documents, and index entries of one bucket.
 GROUP_BYTES = 16 << 20
 BUCKET_ENTRIES = 1 << 20
+#: Parts in which a bucket with more than four times its entries is made unique.
+SALTS = 16
+#: Runs of an index beyond which they are compacted.
+MOST_RUNS = 4
 #: Bytes of text hashed at once.
 CHUNK = 1 << 20
 
-TWICE, TOLD, GROUP = np.uint32(1 << 31), np.uint32(1 << 30), np.uint32((1 << 30) - 1)
+TWICE, GROUP = np.uint32(1 << 31), np.uint32((1 << 31) - 1)
 _B, _R = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _powers: dict[int, np.ndarray] = {}
 
@@ -44,6 +51,12 @@ def powers(base: int, n: int) -> np.ndarray:
     return _powers[base]
 
 
+def rest() -> None:
+    """Leaves no long arrays behind in a worker."""
+    _powers.clear()
+    at_rest()
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0x9FB21C651E98DF25)
@@ -121,111 +134,244 @@ def dealt(keys: list[np.ndarray], groups: np.ndarray, buckets: int) -> pa.Record
 ENTRIES = "bucket int, k1 binary, k2 binary, groups binary"
 
 
-def grouped(docs: DataFrame, text: str, groups: int) -> DataFrame:
-    """(group_, text_, row_) for every row; row_ is the whole row but for the text."""
+def grouped(docs: DataFrame, text: str, groups: int, first: int = 0) -> DataFrame:
+    """(group_, text_, null_, row_) for every row, groups from first on; row_ is the whole row but for the text."""
     rest = [F.col(c) for c in docs.columns if c != text]
-    return docs.select(F.pmod(F.xxhash64(text, *rest[:1]), F.lit(groups)).cast("int").alias("group_"), F.coalesce(binary(text), F.lit(b"")).alias("text_"), F.col(text).isNull().alias("null_"), F.struct(*(rest or [F.lit(0).alias("none_")])).alias("row_"))
+    return docs.select((F.pmod(F.xxhash64(text, *rest[:1]), F.lit(groups)) + first).cast("int").alias("group_"), F.coalesce(binary(text), F.lit(b"")).alias("text_"), F.col(text).isNull().alias("null_"), F.struct(*(rest or [F.lit(0).alias("none_")])).alias("row_"))
 
 
-def entries(docs: DataFrame, buckets: int, batches: int = 1) -> DataFrame:
-    """Level 0 of the index: (batch, bucket, k1, k2, groups) of the fingerprints in the texts of grouped()."""
+def entries(docs: DataFrame, buckets: int, batches: int = 1, first: int = 0, groups: int = 1) -> DataFrame:
+    """Level 0 of the index: (batch, bucket, k1, k2, groups) of the fingerprints in the texts of grouped().
+
+    Batches are ranges of groups, so that a later one's groups are greater.
+    """
 
     def run(it):
         held: list[list] = [[] for _ in range(batches)]
-        for arrow in it:
-            group, texts = np.asarray(arrow.column(0)).astype(np.uint32), arrow.column(1).to_pylist()
-            for part in chunks(texts):
-                owner, place, key = anchors(texts[part])
-                new = np.ones(len(place), bool)
-                new[1:] = place[1:] != place[:-1]
-                own = group[part][owner[new]]
-                for b in range(batches):
-                    mine = own % batches == b
-                    held[b].append((key[new][mine], own[mine]))
-        for b, parts in enumerate(held):
-            if parts:
-                keys, own = unique_entries([np.concatenate([p[0] for p in parts])], np.concatenate([p[1] for p in parts]))
-                out = dealt(keys, own, buckets)
-                yield pa.RecordBatch.from_arrays([pa.array([b] * len(out), pa.int32()), *out.columns], names=["batch", *out.schema.names])
+        try:
+            for arrow in it:
+                group, texts = np.asarray(arrow.column(0)).astype(np.uint32), arrow.column(1).to_pylist()
+                for part in chunks(texts):
+                    owner, place, key = anchors(texts[part])
+                    new = np.ones(len(place), bool)
+                    new[1:] = place[1:] != place[:-1]
+                    own = group[part][owner[new]]
+                    for b in range(batches):
+                        mine = (own.astype(np.int64) - first) * batches // groups == b
+                        held[b].append((key[new][mine], own[mine]))
+            for b, parts in enumerate(held):
+                if parts:
+                    keys, own = unique_entries([np.concatenate([p[0] for p in parts])], np.concatenate([p[1] for p in parts]))
+                    out = dealt(keys, own, buckets)
+                    yield pa.RecordBatch.from_arrays([pa.array([b] * len(out), pa.int32()), *out.columns], names=["batch", *out.schema.names])
+        finally:
+            rest()
 
     return docs.select("group_", "text_").mapInArrow(run, f"batch int, {ENTRIES}")
 
 
+def thinned(rows: DataFrame) -> DataFrame:
+    """Entries of one batch; of buckets that are too large each group's are made unique, in SALTS parts."""
+    sizes = rows.groupBy("bucket").agg(F.sum(F.octet_length("groups") / 4).alias("n_")).where(F.col("n_") > 4 * BUCKET_ENTRIES)
+    hot = [r["bucket"] for r in sizes.select("bucket").collect()]  # numbers of buckets, at most one for 60 MB of text
+    if not hot:
+        return rows
+
+    def split(batches):
+        for batch in batches:
+            for i in range(len(batch)):
+                one = pa.Table.from_batches([batch.slice(i, 1)])
+                keys, groups = _arrays(one)
+                for salt in range(SALTS):
+                    mine = (groups & GROUP) % SALTS == salt
+                    yield pa.RecordBatch.from_arrays([pa.array([salt], pa.int32()), one.column("bucket").combine_chunks(), pa.array([keys[0][mine].tobytes()], pa.binary()), pa.nulls(1, pa.binary()), pa.array([groups[mine].tobytes()], pa.binary())], names=["salt", "bucket", "k1", "k2", "groups"])
+
+    def unique(part: pa.Table) -> pa.Table:
+        keys, groups = unique_entries(*_arrays(part))
+        return pa.table([part.column("bucket").slice(0, 1).combine_chunks(), pa.array([keys[0].tobytes()], pa.binary()), pa.nulls(1, pa.binary()), pa.array([groups.tobytes()], pa.binary())], names=["bucket", "k1", "k2", "groups"])
+
+    large = rows.where(F.col("bucket").isin(hot)).mapInArrow(split, f"salt int, {ENTRIES}").groupBy("bucket", "salt").applyInArrow(unique, ENTRIES)
+    return rows.where(~F.col("bucket").isin(hot)).unionByName(written(large, "thinned"))
+
+
 def _arrays(rows: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
     join = lambda c, t: np.frombuffer(b"".join(x for x in rows.column(c).to_pylist() if x), t)
     keys = [join("k1", np.uint64), join("k2", np.uint64)]
     return keys if len(keys[1]) else keys[:1], join("groups", np.uint32)
 
 
-def _merge(keep: bool):
-    """For a bucket's runs: the keys with several places, by group; and the merged run if it is kept."""
-
-    def run(rows: pa.Table) -> pa.Table:
-        keys, groups = unique_entries(*_arrays(rows))
-        same = np.ones(max(0, len(groups) - 1), bool)
-        for k in keys:
-            same &= k[1:] == k[:-1]
-        many = (groups & TWICE) > 0
-        many[1:] |= same
-        many[:-1] |= same
-        edges = np.flatnonzero(~np.concatenate([[False], same])) if len(groups) else np.zeros(0, int)
-        if len(edges):  # a run has TWICE for one group; its other groups have a second place then as well
-            many |= np.repeat(np.logical_or.reduceat(many, edges), np.diff(np.append(edges, len(groups))))
-        tell = many & ((groups & TOLD) == 0)
-        order = np.flatnonzero(tell)[np.argsort((groups & GROUP)[tell], kind="stable")]
-        own, at = np.unique((groups & GROUP)[order], return_index=True)
-        parts = np.split(order, at[1:]) if len(own) else []
-        bucket = rows.column("bucket")[0].as_py()
-        out = [[b for b in own.tolist()], *([k[p].tobytes() for p in parts] for k in keys), *([[None] * len(parts)] * (2 - len(keys))), [None] * len(parts)]
-        if keep:
-            run_row = [-bucket - 1, keys[0].tobytes(), keys[1].tobytes() if len(keys) > 1 else None, np.where(many, groups | TOLD, groups).tobytes()]
-            out = [[*c, x] for c, x in zip(out, run_row, strict=True)]
-        return pa.table([pa.array(c, t) for c, t in zip(out, (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "k1", "k2", "groups"])
-
-    return run
+def several(keys: list[np.ndarray], groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted entries: whether an entry's key has several places, and where each key begins."""
+    same = np.ones(max(0, len(groups) - 1), bool)
+    for k in keys:
+        same &= k[1:] == k[:-1]
+    edges = np.flatnonzero(~np.concatenate([[False], same])) if len(groups) else np.zeros(0, np.int64)
+    if not len(edges):
+        return np.zeros(0, bool), edges
+    size = np.diff(np.append(edges, len(groups)))
+    return np.repeat((size > 1) | np.logical_or.reduceat((groups & TWICE) > 0, edges), size), edges
+
+
+def told(keys: list[np.ndarray], groups: np.ndarray, tell: np.ndarray) -> list[list]:
+    """Columns group, k1, k2 and none of a row for each group that gets the entries marked in tell."""
+    order = np.flatnonzero(tell)[np.argsort((groups & GROUP)[tell], kind="stable")]
+    own, at = np.unique((groups & GROUP)[order], return_index=True)
+    parts = np.split(order, at[1:]) if len(own) else []
+    return [own.tolist(), *([k[p].tobytes() for p in parts] for k in keys), *([[None] * len(parts)] * (2 - len(keys))), [None] * len(parts)]
+
+
+def _rows(columns: list[list]) -> pa.Table:
+    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "k1", "k2", "groups"])
+
+
+def _verify(rows: pa.Table) -> pa.Table:
+    """For a bucket's candidates: those with several places, by group."""
+    keys, groups = unique_entries(*_arrays(rows))
+    return _rows(told(keys, groups, several(keys, groups)[0]))
+
+
+def merge(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two sorted runs (keys, groups) as one, every group of b after those of a; neither is sorted anew."""
+    at = np.searchsorted(a[0], b[0], "right") + np.arange(len(b[0]))
+    key, group = np.zeros(len(a[0]) + len(b[0]), np.uint64), np.zeros(len(a[0]) + len(b[0]), np.uint32)
+    old = np.ones(len(key), bool)
+    old[at] = False
+    key[at], group[at], key[old], group[old] = b[0], b[1], a[0], a[1]
+    return key, group
+
+
+def _join(rows: pa.Table) -> pa.Table:
+    """A bucket's new entries (run -1), as a sorted run, merge-joined with the history's runs.
+
+    Rows: for each group the keys that it shares with a place of the new run, or has twice in it; and, under the
+    bucket's number turned negative, the new run.
+    """
+    number = np.asarray(rows.column("run"))
+    pick = lambda k: _arrays(rows.filter(pa.array(number == k)))
+    keys, groups = unique_entries(*pick(-1))
+    new = keys[0], groups
+    every = new
+    if (number >= 0).any():
+        for k in sorted({*number.tolist()} - {-1}, reverse=True):  # the latest runs are the smallest
+            past, own = pick(k)
+            every = merge((past[0], own), every)
+    many, _ = several([every[0]], every[1])
+    at = np.minimum(np.searchsorted(new[0], every[0]), max(0, len(new[0]) - 1))
+    fresh = new[0][at] == every[0] if len(new[0]) else np.zeros(len(every[0]), bool)
+    out = told([every[0]], every[1], many & fresh)
+    if len(new[0]):
+        run_row = [-rows.column("bucket")[0].as_py() - 1, new[0].tobytes(), None, new[1].tobytes()]
+        out = [[*c, x] for c, x in zip(out, run_row, strict=True)]
+    return _rows(out)
 
 
 class FingerprintIndex:
-    """The history's run, in the shared folder, and what ingest() has told of each group of documents.
+    """Sorted immutable runs of the history's fingerprints, and the history's texts, in one folder.
 
-    Groups are numbers below 2 ** 30 that the caller gives documents; a batch may bring new documents of a known
-    group.
+    The folder holds a table for each run, one for each batch's texts, and numbered states, of which the last whole
+    one counts: a batch that fails midway leaves no trace in it. One writer at a time.
     """
 
-    def __init__(self, buckets: int) -> None:
-        self.buckets = buckets
-        self.history: DataFrame | None = None
-        self.hits: list[DataFrame] = []
+    def __init__(self, spark: SparkSession, path: str, state: dict) -> None:
+        self.spark, self.path, self.state = spark, path, state
 
-    def ingest(self, run: DataFrame) -> DataFrame:
-        """Merge-joins a batch's entries with the history, compacts both into one run, and returns the new hits.
+    @classmethod
+    def create(cls, spark: SparkSession, path: str, buckets: int) -> FingerprintIndex:
+        out = cls(spark, path, {"version": 0, "buckets": buckets, "next_group": 0, "entries": 0, "runs": [], "texts": []})
+        out._keep()
+        return out
 
-        Hits are (group, k1, k2): fingerprints of a group that now have several places, old groups' too.
-        """
-        rows = run.select("bucket", "k1", "k2", "groups")
-        rows = rows if self.history is None else rows.unionByName(self.history)
-        merged = written(rows.groupBy("bucket").applyInArrow(_merge(True), ENTRIES), "runs")
-        self.history = merged.where("bucket < 0").withColumn("bucket", -F.col("bucket") - 1)
-        hits = merged.where("bucket >= 0").select(F.col("bucket").alias("group"), "k1", "k2")
-        self.hits.append(hits)
-        return hits
-
-    def known(self) -> DataFrame:
-        out = self.hits[0]
-        for x in self.hits[1:]:
-            out = out.unionByName(x)
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> FingerprintIndex:
+        """The index as its last whole state has it."""
+        jvm = spark.sparkContext._jvm
+        top = jvm.org.apache.hadoop.fs.Path(f"{path}/state/*/_SUCCESS")
+        found = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(top) or []
+        names = sorted(str(x.getPath().getParent().getName()) for x in found)
+        if not names:
+            raise FileNotFoundError(f"no index at {path}")
+        return cls(spark, path, json.loads(spark.read.text(f"{path}/state/{names[-1]}").first()[0]))
+
+    def _keep(self) -> None:
+        self.state["version"] += 1
+        self.spark.createDataFrame([(json.dumps(self.state),)], "value string").coalesce(1).write.text(f"{self.path}/state/{self.state['version']:09d}")
+
+    def _run(self, name: str) -> DataFrame:
+        return self.spark.read.schema(ENTRIES).parquet(f"{self.path}/{name}")
+
+    def history(self) -> DataFrame | None:
+        """(run, bucket, k1, k2, groups) of all runs."""
+        out = None
+        for i, name in enumerate(self.state["runs"]):
+            one = self._run(name).withColumn("run", F.lit(i))
+            out = one if out is None else out.unionByName(one)
         return out
 
+    def texts(self) -> DataFrame | None:
+        """(group_, text_) of all documents that were kept."""
+        names = self.state["texts"]
+        return self.spark.read.schema("group_ int, text_ binary").parquet(*(f"{self.path}/{x}" for x in names)) if names else None
+
+    def append(self, level0: DataFrame) -> DataFrame:
+        """Merge-joins a batch's entries with the history, adds them as a run, and returns the hits.
+
+        Hits are (group, k1, k2): of each group, old ones too, the fingerprints with several places, one of them in
+        the batch. The batch's groups have to be above those of the history.
+        """
+        rows = thinned(level0.select("bucket", "k1", "k2", "groups")).withColumn("run", F.lit(-1))
+        past = self.history()
+        rows = rows if past is None else rows.unionByName(past)
+        found = written(rows.groupBy("bucket").applyInArrow(_join, ENTRIES), "joined")
+        name = f"runs/{uuid.uuid4().hex}"
+        found.where("bucket < 0").withColumn("bucket", -F.col("bucket") - 1).write.option("compression", "zstd").parquet(f"{self.path}/{name}")
+        self.state["runs"].append(name)
+        return found.where("bucket >= 0").select(F.col("bucket").alias("group"), "k1", "k2")
+
+    def keep(self, rows: DataFrame, next_group: int) -> None:
+        """Stores a batch's texts, for batches to come, and the state; compacts where there are many runs."""
+        name = f"texts/{uuid.uuid4().hex}"
+        rows.select("group_", "text_").write.option("compression", "zstd").parquet(f"{self.path}/{name}")
+        self.state["texts"].append(name)
+        self.state["next_group"] = next_group
+        if len(self.state["runs"]) > MOST_RUNS:
+            self.compact()
+        else:
+            self._keep()
+
+    def compact(self) -> None:
+        """Merges all runs into one, with more buckets where theirs have grown; the old ones are deleted."""
+        past = self.history()
+        if past is None:
+            return
+        entries_ = past.agg(F.sum(F.octet_length("groups") / 4)).first()[0] or 0
+        buckets = self.state["buckets"]
+        times = 1
+        while entries_ > 2 * BUCKET_ENTRIES * buckets * times:
+            times *= 2
+
+        def one(rows: pa.Table) -> pa.Table:
+            number, every = np.asarray(rows.column("run")), None
+            for k in sorted({*number.tolist()}, reverse=True):
+                keys, groups = _arrays(rows.filter(pa.array(number == k)))
+                every = (keys[0], groups) if every is None else merge((keys[0], groups), every)
+            return pa.Table.from_batches([dealt([every[0]], every[1], buckets * times)])
+
+        name = f"runs/{uuid.uuid4().hex}"
+        past.groupBy("bucket").applyInArrow(one, ENTRIES).write.option("compression", "zstd").parquet(f"{self.path}/{name}")
+        old, self.state["runs"], self.state["buckets"] = self.state["runs"], [name], buckets * times
+        self._keep()
+        for x in old:
+            delete(self.spark, f"{self.path}/{x}")
+
 
 def beside(docs: DataFrame, hits: DataFrame) -> DataFrame:
-    """The documents of each group after the hits of that group, by partition."""
-    told = hits.select(F.col("group").alias("group_"), F.lit(0).alias("kind_"), F.col("k1").alias("k1_"), F.col("k2").alias("k2_"))
-    rows = docs.withColumn("kind_", F.lit(1))
-    return rows.unionByName(told, allowMissingColumns=True).select("group_", "kind_", "k1_", "k2_", "text_", "null_", "row_").repartition("group_").sortWithinPartitions("group_", "kind_")
+    """The documents (kind 1, history's 2) of each group after the hits (kind 0) of that group, by partition."""
+    told_ = hits.select(F.col("group").alias("group_"), F.lit(0).alias("kind_"), F.col("k1").alias("k1_"), F.col("k2").alias("k2_"))
+    return docs.unionByName(told_, allowMissingColumns=True).select("group_", "kind_", "k1_", "k2_", "text_", "null_", "row_").repartition("group_").sortWithinPartitions("group_", "kind_")
 
 
-def by_group(batches) -> Iterator[tuple[int, tuple[np.ndarray, np.ndarray], pa.RecordBatch]]:
-    """(group, its hits, some of its documents) of what beside() gives."""
+def by_group(batches) -> Iterator[tuple[int, tuple[np.ndarray, np.ndarray], pa.RecordBatch, int]]:
+    """(group, its hits, some of its documents, their kind) of what beside() gives."""
     group, keys = -1, ([], [])
     for batch in batches:
         own, kind = np.asarray(batch.column("group_")), np.asarray(batch.column("kind_"))
@@ -240,7 +386,7 @@ def by_group(batches) -> Iterator[tuple[int, tuple[np.ndarray, np.ndarray], pa.R
                 for k, c in zip(keys, ("k1_", "k2_"), strict=True):
                     k.extend(np.frombuffer(x, np.uint64) for x in part.column(c).to_pylist() if x)
             else:
-                yield group, tuple(np.concatenate([np.zeros(0, np.uint64), *k]) for k in keys), part
+                yield group, tuple(np.concatenate([np.zeros(0, np.uint64), *k]) for k in keys), part, int(kind[a])
 
 
 def candidates(texts: list[bytes], known: np.ndarray) -> Iterator[tuple[int, list[bytes], np.ndarray, np.ndarray, np.ndarray]]:
@@ -277,23 +423,38 @@ DONE = "n_words long, n_removed long, kept_sha256 string"
 _DONE = [pa.int64(), pa.int64(), pa.string()]
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", batches: int = 2) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", batches: int = 2, index: FingerprintIndex | None = None) -> DataFrame:
     """docs with n_words, n_removed and kept_sha256, and the text without repeated windows.
 
     A text that loses nothing stays as it is, a null text null; in others the kept words are joined by one
     blank. kept_sha256 is the digest of the kept words joined by one blank in any case. A window repeats if its
     words start anywhere else in docs: in another row, equal rows and rows with equal or null keys included, or
-    elsewhere in the same text, overlapping or not. Texts of fewer than WINDOW words lose nothing. Columns of
-    docs named as the three are replaced; an empty table gives an empty result.
+    elsewhere in the same text, overlapping or not. Texts of fewer than WINDOW words lose nothing, and long ones are
+    searched whole. Columns of docs named as the three are replaced; an empty table gives an empty result.
+
+    With an index docs is a new batch: a window also repeats if it starts in a text of the index's history, which
+    stays as it is; then docs are added to the history, as they were. Without one, docs are taken in so many
+    batches by an index that is forgotten.
     """
     docs = docs.drop("n_words", "n_removed", "kept_sha256")
+    spark, keep = docs.sparkSession, index is not None
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    buckets, groups = max(64, size // (60 * BUCKET_ENTRIES)), max(64, size // GROUP_BYTES)
-    rows = grouped(docs, text, groups)
-    level0 = written(entries(rows, buckets, batches), "level0")
-    index = FingerprintIndex(buckets)
+    groups = max(64, size // GROUP_BYTES)
+    if index is None:
+        index = FingerprintIndex.create(spark, _fresh(spark, "index"), max(64, size // (60 * BUCKET_ENTRIES)))
+    batches, first, buckets, past = (1 if keep else batches), index.state["next_group"], index.state["buckets"], index.texts()
+    rows = grouped(docs, text, groups, first)
+    level0 = written(entries(rows, buckets, batches, first, groups), "level0")
+    known = None
     for b in range(batches):
-        index.ingest(level0.where(F.col("batch") == b))
+        hits = index.append(level0.where(F.col("batch") == b))
+        known = hits if known is None else known.unionByName(hits)
+    if keep:
+        index.keep(rows, first + groups)
+    every = rows.withColumn("kind_", F.lit(1))
+    if past is not None:  # of the history only groups that are told something
+        old = past.join(known.where(F.col("group") < first).select(F.col("group").alias("group_")).distinct(), "group_", "left_semi")
+        every = every.unionByName(old.withColumn("kind_", F.lit(2)), allowMissingColumns=True)
     row_type = rows.schema["row_"].dataType.simpleString()
     out_schema = f"open int, group_ int, text_ binary, null_ boolean, row_ {row_type}, {DONE}, {ENTRIES}"
     arrow_row: list[pa.DataType] = []
@@ -317,7 +478,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", batches: int = 2) -> Dat
             keys, own = unique_entries([np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])], np.concatenate([h[2] for h in held]))
             return table_of(None, (), 2, None, None, None, dealt(keys, own, buckets))
 
-        for group, (known, _), part in by_group(batches):
+        for group, (known, _), part, kind in by_group(batches):
             known = np.unique(known)
             for i in range(0, len(part), 2048):
                 piece = part.slice(i, 2048)
@@ -327,6 +488,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", batches: int = 2) -> Dat
                     open_.add(number)
                     held.append((key, text_hash, np.full(len(key), group, np.uint32)))
                     size_held += len(key)
+                if kind == 2:  # the history's documents stay as they are
+                    continue
                 shut = [k for k in range(len(texts)) if k not in open_]
                 words = [texts[k].split() for k in shut]
                 yield table_of(piece, shut, 0, group, [texts[k] for k in shut], [result(len(w), 0, b" ".join(w)) for w in words])
@@ -337,21 +500,31 @@ def remove_repeats(docs: DataFrame, text: str = "text", batches: int = 2) -> Dat
                     held, size_held = [], 0
         if held:
             yield flush()
+        rest()
 
-    looked = written(beside(rows, index.known()).mapInArrow(look, out_schema), "looked")
-    verified = looked.where("open = 2").select("bucket", "k1", "k2", "groups").groupBy("bucket").applyInArrow(_merge(False), ENTRIES).select(F.col("bucket").alias("group"), "k1", "k2")
+    looked = written(beside(every, known).mapInArrow(look, out_schema), "looked")
+    verified = looked.where("open = 2").select("bucket", "k1", "k2", "groups").groupBy("bucket").applyInArrow(_verify, ENTRIES).select(F.col("bucket").alias("group"), "k1", "k2")
 
     def settle(batches):
-        for group, (k1, k2), part in by_group(batches):
-            known, both = np.unique(k1), np.unique(mixed(k1) + k2)
+        for group, (k1, k2), part, _ in by_group(batches):
+            order = np.lexsort([k1, mixed(k1) + k2])
+            k1, k2 = k1[order], k2[order]
+            known, both = np.unique(k1), mixed(k1) + k2
             for i in range(0, len(part), 2048):
                 piece = part.slice(i, 2048)
                 texts = piece.column("text_").to_pylist()
                 kept, done = list(texts), [None] * len(texts)
                 for number, words, first, key, text_hash in candidates(texts, known):
-                    wanted = mixed(key) + text_hash
-                    at = np.minimum(np.searchsorted(both, wanted), len(both) - 1)
-                    first = first[both[at] == wanted] if len(both) else first[:0]
+                    wanted, sure = mixed(key) + text_hash, np.zeros(len(key), bool)
+                    at = np.searchsorted(both, wanted)
+                    while True:  # sums may be equal where the two hashes are not
+                        inside = at < len(both)
+                        inside[inside] = both[at[inside]] == wanted[inside]
+                        if not inside.any():
+                            break
+                        sure[inside] |= (k1[at[inside]] == key[inside]) & (k2[at[inside]] == text_hash[inside])
+                        at = np.where(inside, at + 1, len(both))
+                    first = first[sure]
                     if not len(first):
                         continue
                     cover = np.zeros(len(words) + 1, np.int64)
@@ -365,7 +538,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", batches: int = 2) -> Dat
                         words = texts[k].split()
                         done[k] = result(len(words), 0, b" ".join(words))
                 yield table_of(piece, range(len(texts)), 0, group, kept, done)
+        rest()
 
-    again = looked.where("open = 1").select("group_", "text_", "null_", "row_")
+    again = looked.where("open = 1").select("group_", "text_", "null_", "row_", F.lit(1).alias("kind_"))
     final = looked.where("open = 0").unionByName(beside(again, verified).mapInArrow(settle, out_schema))
     return final.select(*("row_." + c for c in docs.columns if c != text), F.when(~F.col("null_"), F.col("text_").cast("string")).alias(text), "n_words", "n_removed", "kept_sha256")
