@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import BinaryType
 
 EPSILON = 1e-9
 
@@ -120,6 +121,17 @@ def embed(texts: DataFrame, column: str, embedder: Callable[[list[str]], np.ndar
     return texts.select(column).distinct().withColumn("found_", run(column)).select(column, "found_.*")
 
 
+def embed_one(text: str, embedder: Callable[[list[str]], np.ndarray]) -> list[float]:
+    """One text's vector, on the driver."""
+    return np.asarray(embedder([text]), np.float32)[0].tolist()
+
+
+@arrow_udf(BinaryType())
+def halved(vectors: pa.Array) -> pa.Array:
+    """Vectors as little-endian half-precision numbers, two bytes a component; null stays null."""
+    return pa.array([None if v is None else np.array(v, "<f2").tobytes() for v in vectors.to_pylist()], pa.binary())
+
+
 def with_vectors(cells: DataFrame, vocabulary: DataFrame, described: DataFrame, size: int) -> DataFrame:
     """cells with text_vector, that of their text's embedding, and column_vector, that of their column's description.
 

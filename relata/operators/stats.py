@@ -67,3 +67,8 @@ def parents(edges: DataFrame, most: int = 5) -> DataFrame:
     """(from_gid, f2p): each row's first parents in the order of the foreign key columns."""
     pairs = edges.groupBy("from_gid").agg(F.sort_array(F.collect_list(F.struct("from_col", "to_gid"))).alias("p"))
     return pairs.select("from_gid", F.slice(F.transform("p", lambda x: x["to_gid"]), 1, most).alias("f2p"))
+
+
+def throughput(timings: DataFrame, seconds: str, items: str) -> DataFrame:
+    """One row over timed steps: n, total, mean, least and most seconds, items, and items per second."""
+    return timings.agg(F.count(seconds).alias("n"), F.sum(seconds).alias("total"), F.avg(seconds).alias("mean"), F.min(seconds).alias("least"), F.max(seconds).alias("most"), F.sum(items).alias("items"), F.try_divide(F.sum(items).cast("double"), F.sum(seconds)).alias("rate"))

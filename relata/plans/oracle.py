@@ -110,11 +110,11 @@ def context(seed: str, e: str, width: int, hops: int) -> str:
     return f"WITH RECURSIVE {', '.join(out)}, ctx AS (SELECT * FROM v{hops})"
 
 
-def embedded(texts: str, key: str) -> str:
-    """Components that are not 0 of the hashing embedder's vectors of 64, for texts(key, t) of ASCII characters."""
+def embedded(texts: str, key: str, size: int = 64) -> str:
+    """Components that are not 0 of the hashing embedder's vectors, for texts(key, t) of ASCII characters."""
     return f"""(WITH p AS (SELECT {key}, '  ' || t || ' ' s FROM {texts}), g AS (SELECT {key}, s, unnest(range(1, len(s) - 1)) k FROM p),
 h AS (SELECT {key}, (ord(substr(s, k, 1)) * 65536 + ord(substr(s, k + 1, 1)) * 256 + ord(substr(s, k + 2, 1)))::BIGINT * 2654435761 % 4294967296 h FROM g),
-c AS (SELECT {key}, h % 64 i, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END)::DOUBLE n FROM h GROUP BY 1, 2)
+c AS (SELECT {key}, h % {size} i, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END)::DOUBLE n FROM h GROUP BY 1, 2)
 SELECT {key}, i, (n / (sqrt(sum(n * n) OVER (PARTITION BY {key})) + 1e-9))::FLOAT::DOUBLE x FROM c WHERE true QUALIFY n <> 0)"""
 
 
@@ -285,6 +285,20 @@ def oracle() -> dict[str, str]:
             f" ON n.seq_id = p.row_gid GROUP BY 1, 2"
         ),
         "sampler_places": f"SELECT task, row_gid, seq_id, place FROM {sampled}",
+        "seed_tasks": f"SELECT task, row_gid, seq_id FROM {sampled}",
+        "row_lookup": f"SELECT row_gid, table_idx::BIGINT table_idx, pk FROM ({nodes}) WHERE row_gid IN (0, (SELECT min(row_gid) FROM {rows('orders')}), (SELECT min(row_gid) + 7 FROM {rows('orders')}), (SELECT min(row_gid) + 1 FROM {rows('supplier')}))",
+        "mismatched_cells": (
+            f"WITH o AS (SELECT column_idx, semantic_type, num, txt FROM {cells('orders', 'events')}), "
+            f"x AS (SELECT column_idx, CASE column_idx WHEN {IDX['events', 'props']} THEN 0 WHEN {IDX['events', 'event_type']} THEN 3 WHEN {IDX['orders', 'o_orderpriority']} THEN 0 "
+            f"WHEN {IDX['orders', 'o_orderkey']} THEN 1 WHEN {IDX['events', 'user_id']} THEN 3 ELSE semantic_type END kind, semantic_type, num, txt FROM o) "
+            f"SELECT column_idx::BIGINT column_idx, kind::BIGINT semantic_type, count(*) n, "
+            f"count(CASE WHEN kind = semantic_type THEN num WHEN kind = 1 THEN NULL WHEN semantic_type = 1 AND kind = 0 THEN TRY_CAST(txt AS DOUBLE) "
+            f"WHEN semantic_type = 1 THEN CASE WHEN lower(txt) IN ('t', 'true', 'y', 'yes', '1', 'f', 'false', 'n', 'no', '0') THEN 1 END "
+            f"WHEN num IN (0, 1) THEN num END) n_num, count(CASE WHEN kind = 1 THEN coalesce(txt, num::VARCHAR) END) n_txt FROM x GROUP BY 1, 2"
+        ),
+        "throughput_summary": "SELECT count(*) n, round(sum(value / 100), 4) total, round(avg(value / 100), 4) mean, round(min(value / 100), 4) least, round(max(value / 100), 4) most, count(*) items, round(count(*)::DOUBLE / sum(value / 100), 4) rate FROM events",
+        "swap_embedder": f"SELECT txt, i, round(x, 6) + 0.0::DOUBLE x FROM {embedded('(SELECT txt, txt t FROM ' + vocab('nation', 'region') + ')', 'txt', 16)}",
+        "half_vectors": "SELECT vec_id, (2 * len(embedding))::BIGINT n_bytes FROM embeddings",
         "index_lookups": (
             f"SELECT * FROM (VALUES ('orders', 'o_custkey', {NAMES.index('orders')}::BIGINT, {IDX['orders', 'o_custkey']}::BIGINT), ('orders', 'nothing', "
             f"{NAMES.index('orders')}, -1), ('nothing', 'o_custkey', -1, -1), ('labels', 'toxic', {NAMES.index('labels')}, "

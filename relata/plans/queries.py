@@ -13,6 +13,7 @@ from relata.operators import sequence as Q
 from relata.operators import stats as S
 from relata.operators.sampler import ContextSampler, TaskConfig
 from relata.sources.database import RelDatabase
+from relata.sources.schema import BOOLEAN, NUMBER, TEXT
 from relata.storage import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -442,6 +443,50 @@ def sampler_batch(db):
     return _sampler(db).batch(0).groupBy("slot", long("task"), "seq_id", long("true_size")).agg(F.count("*").alias("n_cells"), F.count_if("is_target").alias("n_targets"), F.count_if("is_task_node").alias("n_task_cells"))
 
 
+@query
+def seed_tasks(db):
+    """Seeds of two tasks, numbered task by task."""
+    return _sampler(db).seeds().select(long("task"), "row_gid", "seq_id")
+
+
+@query
+def row_lookup(db):
+    found = None
+    for gid in (0, db.start("orders"), db.start("orders") + 7, db.start("supplier") + 1, sum(db.counts.values())):
+        one = db.row(gid).select("row_gid", "table_idx", "pk")
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+@query
+def mismatched_cells(db):
+    """Columns read under types that not all of their values fit."""
+    cells = db.cells("orders", "events", declared={"props": NUMBER, "event_type": BOOLEAN, "o_orderpriority": NUMBER, "o_orderkey": TEXT, "user_id": BOOLEAN})
+    return cells.groupBy("column_idx", long("semantic_type")).agg(F.count("*").alias("n"), F.count("num").alias("n_num"), F.count("txt").alias("n_txt"))
+
+
+@query
+def throughput_summary(db):
+    """Events as timed steps: a value's hundredth as seconds, one item each."""
+    timed = db.frames["events"].select((F.col("value") / 100).alias("seconds"), F.lit(1).cast("long").alias("items"))
+    out = S.throughput(timed, "seconds", "items")
+    return out.select("n", *(F.round(c, 4).alias(c) for c in ("total", "mean", "least", "most")), "items", F.round("rate", 4).alias("rate"))
+
+
+@query
+def swap_embedder(db):
+    """The vocabulary's vectors again, by another embedder."""
+    texts = db.cells("nation", "region").where("txt IS NOT NULL")
+    return _values(V.embed(texts, "txt", V.hashing_embedder(16)), "txt")
+
+
+@query
+def half_vectors(db):
+    """Bytes of the vectors in half precision."""
+    halves = db.extra("embeddings").select("vec_id", V.halved("embedding").alias("h"))
+    return halves.select("vec_id", F.octet_length("h").cast("long").alias("n_bytes"))
+
+
 @query
 def index_lookups(db):
     """Numbers of tables and columns by name, -1 for unknown ones."""

@@ -227,11 +227,25 @@ class RelDatabase:
         target = self.spec(name).fks[column]
         return self.frames[name].where(F.col(column).isNotNull()).join(self.frames[target], F.col(column) == F.col(self.spec(target).pk), "left_anti")
 
-    def cells(self, *names: str, policy: str = "all") -> DataFrame:
-        """(row_gid, table_idx, column_idx, local_idx, semantic_type, num, txt, ts, bool), nulls kept.
+    def table(self, which: str | int) -> DataFrame:
+        """A table by name or number, with row_gid."""
+        return self.rows(which if isinstance(which, str) else self.specs[which].name)
+
+    def column(self, number: int) -> dict:
+        """What the catalog has of a column."""
+        return self.columns[number]
+
+    def row(self, gid: int) -> DataFrame:
+        """The row of a global number, in the shape of row_table(); empty if there is none."""
+        name = next((s.name for s in self.specs if self.start(s.name) <= gid < self.start(s.name) + self.counts[s.name]), None)
+        return self.row_table(name or self.specs[0].name).where(F.col("row_gid") == gid if name else F.lit(False))
+
+    def cells(self, *names: str, policy: str = "all", declared: dict[str, int] | None = None) -> DataFrame:
+        """(row_gid, table_idx, column_idx, local_idx, semantic_type, num, txt), nulls kept.
 
         num is the value as a double: epoch seconds of date and time, 0 or 1 of booleans. policy ``features``
-        leaves out keys and the time column. Nested and binary columns are no cells.
+        leaves out keys and the time column. Nested and binary columns are no cells. declared gives columns another
+        semantic type by name; a value that doesn't fit it becomes null.
         """
         out = None
         for s in self.specs:
@@ -243,6 +257,13 @@ class RelDatabase:
                 if c["table_name"] != s.name or c["name"] in skip or c["semantic_type"] is None:
                     continue
                 kind, col = c["semantic_type"], F.col(c["name"])
+                if declared and declared.get(c["name"], kind) != kind:
+                    kind, dtype = declared[c["name"]], {NUMBER: "double", DATETIME: "timestamp_ntz", BOOLEAN: "boolean", TEXT: "string"}[declared[c["name"]]]
+                    c, col = c | {"dtype": dtype}, col.cast("string").try_cast(dtype)
+                    seconds = F.unix_micros(col.cast("timestamp")) / F.lit(1e6) if kind == DATETIME else None
+                    value = {NUMBER: col, DATETIME: seconds, BOOLEAN: col.cast("int").cast("double") if kind == BOOLEAN else None, TEXT: F.lit(None).cast("double")}[kind]
+                    parts.append(F.struct(F.lit(c["column_idx"]).cast("long").alias("column_idx"), F.lit(c["local_idx"]).cast("long").alias("local_idx"), F.lit(kind).alias("semantic_type"), value.alias("num"), (col if kind == TEXT else F.lit(None).cast("string")).alias("txt")))
+                    continue
                 num = {NUMBER: col.cast("double"), DATETIME: epoch_seconds(c["name"], c["dtype"]) if kind == DATETIME else None, BOOLEAN: col.cast("int").cast("double"), TEXT: F.lit(None).cast("double")}[kind]
                 parts.append(F.struct(F.lit(c["column_idx"]).cast("long").alias("column_idx"), F.lit(c["local_idx"]).cast("long").alias("local_idx"), F.lit(kind).alias("semantic_type"), num.alias("num"), (col if kind == TEXT else F.lit(None).cast("string")).alias("txt")))
             if not parts:

@@ -115,6 +115,19 @@ def test_numbers_by_ranges_of_any_type(spark, monkeypatch):
     assert [r.row_gid for r in got] == list(range(503)) and [r.t for r in got] == sorted(r[0] for r in again)
 
 
+def test_accessors_and_declared_types(spark):
+    users = spark.createDataFrame([(i, x) for i, x in enumerate(["1.5", "x", None, "true", "2020-01-02"])], "id long, v string")
+    db = RelDatabase(spark, {"users": users}, (TableSpec("users", "id"),))
+    assert db.table(0).count() == db.table("users").count() == 5 and db.column(1)["name"] == "v" and db.column_index("users", "v") == 1
+    assert [r.pk for r in db.row(3).collect()] == ["3"] and db.row(5).count() == 0
+    num = lambda kind: [r.num for r in db.cells(declared={"v": kind}).where("column_idx = 1").orderBy("row_gid").collect()]
+    assert num(0) == [1.5, None, None, None, None] and num(3) == [None, None, None, 1.0, None] and num(2)[4] == 1577923200.0
+    assert [r.txt for r in db.cells(declared={"id": 1}).where("column_idx = 0").orderBy("row_gid").collect()] == list("01234")
+    assert V.embed_one("a", V.hashing_embedder(4)) == V.hashing_embedder(4)(["a"])[0].tolist()
+    halves = spark.createDataFrame([([1.0, -2.0],), (None,)], "v array<float>").select(V.halved("v").alias("h")).collect()
+    assert [r.h and bytes(r.h) for r in halves] == [b"\x00\x3c\x00\xc0", None]
+
+
 def test_null_keys_are_spread(spark):
     parent = spark.createDataFrame([(i,) for i in range(5)], "k long")
     child = spark.createDataFrame([(i, None if i % 3 else i % 5, "p" if i % 2 else None) for i in range(100)], "id long, a long, b string")
