@@ -3,7 +3,8 @@
 A message's text may hold calls, ``<tool_call>{"id": ..., "name": ..., "arguments": {...}, "after": [...]}</tool_call>``;
 a message of role ``tool`` is a result, ``{"id": ..., "content": ...}``. Messages are parsed one by one; calls and
 results are then joined on conversation and identifier, and their levels are found by joins, a call one above the
-calls it comes after: chains of calls after one other by pointer doubling, the rest round by round. No conversation is ever gathered into one task: the order is given as columns.
+calls it comes after: chains of calls after one other by pointer doubling, the rest round by round. No conversation
+is ever gathered into one task: the order is given as columns. from_turns() makes calls and results of plain turns.
 """
 
 from __future__ import annotations
@@ -15,15 +16,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import appended, written
+from .quality import words_of
 
 CALL = re.compile(r"<tool_call>(.*?)</tool_call>", re.DOTALL)
 
-#: Schemas of known tools, a subset of JSON Schema: type, enum, required, properties, additionalProperties, items.
+#: Schemas of known tools, a subset of JSON Schema: type, enum, minimum, maximum, minLength, maxLength, required,
+#: properties, additionalProperties, items.
 SCHEMAS: dict[str, dict] = {
     "search": {"type": "object", "required": ["query"], "properties": {"query": {"type": "string"}, "limit": {"type": "integer"}}, "additionalProperties": False},
     "calculate": {"type": "object", "required": ["expression"], "properties": {"expression": {"type": "string"}}},
     "fetch": {"type": "object", "required": ["url"], "properties": {"url": {"type": "string"}, "method": {"enum": ["GET", "HEAD"]}}},
+    "reply": {"type": "object", "required": ["text", "words"], "properties": {"text": {"type": "string", "minLength": 1}, "words": {"type": "integer", "minimum": 1, "maximum": 64}}, "additionalProperties": False},
 }
 
 TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
@@ -45,6 +49,10 @@ def faults(value, schema: dict, at: str = "$") -> list[str]:
         return [f"{at}: not {kind}"]
     if "enum" in schema and not any(type(value) is type(x) and value == x for x in schema["enum"]):
         return [f"{at}: not in enum"]
+    size = value if number else len(value) if isinstance(value, str) else None
+    lower, upper = ("minimum", "maximum") if number else ("minLength", "maxLength")
+    if size is not None and (size < schema.get(lower, size) or size > schema.get(upper, size)):
+        return [f"{at}: not in bounds"]
     out = []
     if isinstance(value, dict):
         known = schema.get("properties", {})
@@ -95,6 +103,25 @@ def parse(role: str | None, text: str | None, schemas: dict[str, dict]) -> tuple
     return canonical(message), calls, answers
 
 
+def from_turns(messages: DataFrame, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
+    """conv, turn, role and text, where every user turn is a call and every assistant turn a result.
+
+    The user turn t calls ``reply`` with its text and number of words, under the identifier ``t`` and the turn's
+    number, after the call of turn t - 2; the assistant turn t answers the call of turn t - 1. The identifier tells
+    both ends of a link, so that no conversation has to be sorted. Where there is no such call the identifier points
+    nowhere. A null text gives a call without the argument, which is invalid, and a result without content. Other
+    roles stay as they are.
+    """
+    at = lambda back: F.concat(F.lit("t"), (F.col(turn) - back).cast("string"))
+    json_of = lambda x: F.replace(F.to_json(x), F.lit("<"), F.lit("\\u003c"))  # noqa: E731  no text can end the call
+    words = F.size(words_of(F.coalesce("text", F.lit(""))))
+    call = F.struct(F.struct(F.col("text").alias("text"), words.alias("words")).alias("arguments"), F.array(at(2)).alias("after"), at(0).alias("id"), F.lit("reply").alias("name"))
+    result = F.struct(at(1).alias("id"), F.col("text").alias("content"))
+    text = F.when(F.col("role") == "user", F.concat(F.lit("<tool_call>"), json_of(call), F.lit("</tool_call>"))).when(F.col("role") == "assistant", json_of(result)).otherwise(F.col("text"))
+    role = F.when(F.col("role") == "user", "assistant").when(F.col("role") == "assistant", "tool").otherwise(F.col("role"))
+    return messages.select(conv, turn, role.alias("role"), text.alias("text"))
+
+
 def format_messages(messages: DataFrame, schemas: dict[str, dict] = SCHEMAS, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
     """A row for each message: conv, turn, role, message_json, n_calls, n_invalid, answers, status, order_turn, level.
 
@@ -103,8 +130,9 @@ def format_messages(messages: DataFrame, schemas: dict[str, dict] = SCHEMAS, con
     ``orphan``. Of several calls with one identifier in a conversation the earliest counts. Ordered by
     (order_turn, level, turn) calls come before their results, and after the results of the calls in their
     ``after``; level is null for calls on a cycle, for those after them and for their results. A null role or text
-    stays null in the JSON; rows with a null conversation link with nothing; repeated rows stay repeated.
-    Other columns are ignored; an empty table gives an empty result.
+    stays null in the JSON; rows with a null conversation link with nothing; repeated rows stay repeated, and of
+    equal first turns any may give its ``after``. A text is parsed whole, however long; one message has to fit a
+    worker's memory. Other columns are ignored; an empty table gives an empty result.
     """
 
     def run(batches):
@@ -136,19 +164,23 @@ def format_messages(messages: DataFrame, schemas: dict[str, dict] = SCHEMAS, con
                 break
             moved = jump.join(on, ["conv_", "to_"], "left")
             jump = written(moved.select("conv_", "id", F.coalesce("next_", "to_").alias("to_"), (F.col("steps_") + F.coalesce("more_", F.lit(0))).alias("steps_"), F.greatest("far_", "then_").alias("far_")), "jump")
-        # Kahn for the rest: a call gets its level when all it waits for have theirs; a level is two, a call's and its results'
+        # Kahn for the rest: a call gets its level when all it waits for have theirs; a level is two, a call's and its
+        # results'. A round joins only the calls settled in the one before, and what some of them still wait for
         heads = jump.withColumnRenamed("id", "before")
-        rest = edges.join(waits.where("n_ > 1").select("conv_", "id"), ["conv_", "id"], "left_semi").join(heads, ["conv_", "before"], "left")
-        rest = written(rest.select("conv_", "id", F.coalesce("to_", "before").alias("head_"), (F.coalesce("steps_", F.lit(0)) + 1).alias("steps_"), "far_"), "rest")
-        done = written(nodes.join(waits, ["conv_", "id"], "left_anti").select("conv_", "id", F.lit(0).cast("long").alias("call_level"), F.col("call_turn").alias("order_turn")), "level")
-        while True:
-            known = done.select("conv_", F.col("id").alias("head_"), F.col("call_level").alias("before_level"), F.col("order_turn").alias("before_turn"))
-            ready = rest.join(known, ["conv_", "head_"], "left").groupBy("conv_", "id").agg(F.min(F.col("before_level").isNotNull()).alias("all_"), F.max(F.col("before_level") + 2 * F.col("steps_")).alias("call_level"), F.max(F.greatest("before_turn", "far_")).alias("least_turn")).where("all_")
-            new = written(ready.join(nodes, ["conv_", "id"]).select("conv_", "id", "call_level", F.greatest("call_turn", "least_turn").alias("order_turn")), "level")
-            if new.isEmpty():
-                break
-            done = written(done.unionByName(new), "level")
-            rest = written(rest.join(new, ["conv_", "id"], "left_anti"), "rest")
+        several = waits.where("n_ > 1").select("conv_", "id", "n_")
+        rest = edges.join(several, ["conv_", "id"]).join(heads, ["conv_", "before"], "left")
+        rest = written(rest.select("conv_", "id", "n_", F.coalesce("to_", "before").alias("head_"), (F.coalesce("steps_", F.lit(0)) + 1).alias("steps_"), "far_"), "rest")
+        new = written(nodes.join(waits, ["conv_", "id"], "left_anti").select("conv_", "id", F.lit(0).cast("long").alias("call_level"), F.col("call_turn").alias("order_turn")), "level")
+        partial, done = None, None
+        while not new.isEmpty():
+            done = appended(new, done)
+            known = new.select("conv_", F.col("id").alias("head_"), F.col("call_level").alias("before_level"), F.col("order_turn").alias("before_turn"))
+            gained = rest.join(known, ["conv_", "head_"]).select("conv_", "id", "n_", F.lit(1).cast("long").alias("done_"), (F.col("before_level") + 2 * F.col("steps_")).alias("call_level"), F.greatest("before_turn", "far_").alias("least_turn"))
+            gained = gained if partial is None else gained.unionByName(partial)
+            partial = written(gained.groupBy("conv_", "id", "n_").agg(F.sum("done_").alias("done_"), F.max("call_level").alias("call_level"), F.max("least_turn").alias("least_turn")), "partial")
+            new = written(partial.where("done_ = n_").join(nodes, ["conv_", "id"]).select("conv_", "id", "call_level", F.greatest("call_turn", "least_turn").alias("order_turn")), "level")
+            partial = partial.where("done_ < n_")
+        done = done if done is not None else new
         ends = done.select("conv_", F.col("id").alias("to_"), "call_level", "order_turn")
         chains = jump.join(ends, ["conv_", "to_"]).select("conv_", "id", (F.col("call_level") + 2 * F.col("steps_")).alias("call_level"), F.greatest("order_turn", "far_").alias("order_turn"))
         levels = nodes.join(done.unionByName(chains).withColumn("call_level", F.col("call_level").cast("int")), ["conv_", "id"], "left")

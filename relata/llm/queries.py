@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from . import chat, embeddings, langid, licenses, mixing, packing, quality, simhash, substring, tokens
 from .common import table
+from .oracle import ORACLE
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.format_messages(table(spark, sf_dir, "conversations"))
+    """Every user turn of conversations as a call and every assistant turn as its result, linked, ordered, validated."""
+    out = chat.format_messages(chat.from_turns(table(spark, sf_dir, "conversations")))
+    return out.withColumns({c: F.col(c).cast("long") for c in ("n_calls", "n_invalid", "level")})
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +27,7 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "rate")
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", F.round("rate", 6).alias("rate"))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +51,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs.select("doc_id", "text"), weights).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
 
 
+def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of op8 that don't come from its model."""
+    facts = quality.base(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", facts.alias("f")).select("doc_id", "f.*")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), "byte_bpe_50k.json")
 
@@ -57,8 +66,9 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    found = {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    return found | {"quality_base_counts": quality_base_counts}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return ORACLE
