@@ -196,7 +196,7 @@ def compared(least: float, count: bool):
     return run
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.93, probes: int = 6, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
+def near_duplicates(vectors: DataFrame, least: float = 0.93, probes: int = 2, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """key, n_links, component_id and kept for every row of vectors.
 
     Rows link when their labels are equal and not null and their cosine is at least ``least``. Vectors that are
