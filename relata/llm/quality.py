@@ -89,7 +89,7 @@ def fit(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc
     logarithm is 0, so that the method keeps all.
     """
     good = F.broadcast(trusted.select(F.col(key).alias("good_")).distinct())
-    found = docs.select(key, text).join(good, F.col(key) == F.col("good_"), "left").select(F.col("good_").isNotNull().cast("int").alias("good_"), F.explode(features(F.coalesce(F.col(text), F.lit("")))).alias("bin"))
+    found = docs.select(key, text).join(good, F.col(key) == F.col("good_"), "left").select(F.col("good_").isNotNull().cast("int").alias("good_"), F.explode_outer(features(F.coalesce(F.col(text), F.lit("")))).alias("bin"))  # from an inner one Spark infers a filter that computes the features twice
     counts = found.where("bin IS NOT NULL").groupBy("bin").agg(F.count("*").alias("raw"), F.sum("good_").alias("good")).collect()  # at most BINS rows
     import math
 
