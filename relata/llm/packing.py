@@ -278,7 +278,9 @@ def pack(docs: DataFrame, file: str, capacity: int = 2048, end: int = 0, key: st
 
     Result, a row for each piece: key, piece, start, length, ids_crc32, sequence_id, offset. A null text is the
     empty text, whose single token is the end id. Repeated rows, and rows with a null key, are packed each on
-    its own; other columns of docs are ignored. An empty table gives an empty result.
+    its own; other columns of docs are ignored. Texts are encoded whole, however long; one text's ids have to fit a
+    worker's memory. Pieces of one length take their places in the order of key, piece, start and CRC; pieces that
+    are equal in all of these may change places. An empty table gives an empty result.
     """
     parts = written(pieces(docs, file, capacity, end, key, text), "pieces")
     counts = np.zeros(capacity + 1, np.int64)

@@ -130,7 +130,8 @@ def near_duplicates(docs: DataFrame, most: int = 2, key: str = "doc_id", text: s
     Fingerprints link at ``most`` or fewer differing bits (0 to 2); component_id is the smallest key that
     links reach. Texts without words, null ones too, have fingerprint zero and link like any other. Rows with
     a null key belong to a component but never name it, and a component of such rows alone has a null id.
-    Repeated rows are in one component. Other columns are ignored; an empty table gives an empty result.
+    Repeated rows are in one component. Texts are taken whole, however long; a bit that exactly half of the shingles
+    have is 0. Other columns are ignored; an empty table gives an empty result.
     """
     marked = written(docs.select(F.col(key), fingerprints(binary(text)).alias("fp")), "fingerprints")
     classes = marked.groupBy("fp").agg(F.min(key).alias("least_"))
