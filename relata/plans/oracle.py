@@ -285,6 +285,13 @@ def oracle() -> dict[str, str]:
             f" ON n.seq_id = p.row_gid GROUP BY 1, 2"
         ),
         "sampler_places": f"SELECT task, row_gid, seq_id, place FROM {sampled}",
+        "sampler_batch": " UNION ALL ".join(
+            f"SELECT * FROM ({tokens(context(f'(SELECT seq_id, row_gid, NULL::TIMESTAMP seed_ts FROM {sampled} WHERE task = {k} AND place BETWEEN 16 AND 31)', edges(), 8, 1), cells(), 64, drop)} "
+            f"SELECT place - 16 slot, {k}::BIGINT task, t.seq_id, 16::BIGINT true_size, count(*) n_cells, "
+            f"count(*) FILTER (bucket = 0 AND hop = 0 AND column_idx = {IDX[table, target]}) n_targets, count(*) FILTER (table_idx = {NAMES.index(table)}) n_task_cells "
+            f"FROM tok t JOIN {sampled} s ON s.seq_id = t.seq_id GROUP BY ALL)"
+            for k, (table, target, drop) in enumerate((("customer", "c_acctbal", f"column_idx = {IDX['customer', 'c_mktsegment']}"), ("labels", "quality", "false")))
+        ),
         "seed_tasks": f"SELECT task, row_gid, seq_id FROM {sampled}",
         "row_lookup": f"SELECT row_gid, table_idx::BIGINT table_idx, pk FROM ({nodes}) WHERE row_gid IN (0, (SELECT min(row_gid) FROM {rows('orders')}), (SELECT min(row_gid) + 7 FROM {rows('orders')}), (SELECT min(row_gid) + 1 FROM {rows('supplier')}))",
         "mismatched_cells": (
