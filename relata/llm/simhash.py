@@ -150,7 +150,7 @@ def near_duplicates(docs: DataFrame, most: int = 2, key: str = "doc_id", text: s
 #: Min-hashes of a band, and bands. A pair of Jaccard 0.8 shares no band with probability (1 - 0.8 ** 5) ** 38 = 2.8e-7.
 ROWS, BANDS = 5, 38
 #: Least number of equal bytes of two sketches, one byte a min-hash, for exact confirmation. A pair of Jaccard 0.8 has
-#: fewer with probability 5e-9.
+#: fewer with probability 3.9e-9.
 ALIKE = 118
 _rng = np.random.default_rng(SEED)
 _flips, _odds = _rng.integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
