@@ -27,7 +27,7 @@ CACHE_BYTES = 48 << 20
 #: Rows of one bucket in which ranks are counted.
 BUCKET_ROWS = 1 << 18
 #: Bytes of text whose words are told apart at once; a longer text is one such part.
-CHUNK = 1 << 21
+CHUNK = 1 << 22
 
 PIECES = "piece int, start long, length long, ids_crc32 long"
 
