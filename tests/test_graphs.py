@@ -259,3 +259,25 @@ def test_stream_of_edges(spark, tmp_path):
     stream = spark.readStream.schema("id long, fk long").parquet(str(tmp_path / "in"))
     append_edges(stream, "fk", parents, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("id", "row_gid").collect()] == [(1, 100)]
+
+
+def test_ancestors_of_a_table(spark):
+    """Over two ways to one ancestor the shorter counts; null, dangling and repeated keys; tables that lead back."""
+    frame = lambda rows, names: spark.createDataFrame(rows, f"id long, {names}" if names else "id long")
+    tables = {
+        "a": frame([(0, 1, 7), (1, None, 7), (2, 99, None), (3, 2, 7)], "b long, d long"),
+        "b": frame([(1, 5), (2, None)], "c long"),
+        "c": frame([(5, 7)], "d long"),
+        "d": frame([(7,), (7,)], ""),
+    }
+    specs = (TableSpec("a", "id", {"b": "b", "d": "d"}), TableSpec("b", "id", {"c": "c"}), TableSpec("c", "id", {"d": "d"}), TableSpec("d", "id"))
+    db = RelDatabase(spark, tables, specs)
+    for children in ((), ("a", "b")):
+        all_ = seeds(spark, [(k, k, None) for k in range(4)])
+        want = {(r.seq_id, r.row_gid, r.hop) for r in C.sample(all_, db.edges(*children), 3, 0).collect()}
+        got = [(r.seq_id, r.row_gid, r.hop) for r in C.closure(db.above("a", *children)).collect()]
+        assert set(got) == want and len(got) == len(want) > 8
+    rows = C.closure(db.above("a")).where("seq_id = 0").collect()
+    assert sorted((r.row_gid, r.hop) for r in rows) == [(0, 0), (4, 1), (6, 2), (8, 1)]
+    with pytest.raises(ValueError):
+        RelDatabase(spark, {"a": frame([(0, 0)], "up long")}, (TableSpec("a", "id", {"up": "a"}),)).above("a")
