@@ -19,16 +19,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import arrow_udf
 
 from .common import over_batches, unused, values
 
 ORDER = 4
 #: Distinct n-grams that a task holds before it hands on its counts; all counts are summed, none is dropped.
 MOST_GRAMS = 500_000
-#: Documents to learn from that the score's scale and the limits for rejection are fitted on, by the order of a hash.
-#: They are scored whole where they are; only their sums reach the driver.
-CALIBRATION_DOCS = 2_000
+#: Scales of the score among which the likeliest for the documents to learn from is taken.
+SCALES = (0.25, 0.5, 1.0, 2.0, 4.0, 8.0, 16.0)
 #: What a worker remembers of the scores of recent words; it is emptied beyond that.
 CACHE_WORDS = 250_000
 
@@ -236,31 +234,35 @@ class Models:
         score = np.where(some, 1 / np.maximum(odds.sum(1), 1), 0.0)
         return [self.langs[b] if s else UNKNOWN for b, s in zip(best, some, strict=True)], score, np.where(some, least, 0.0), some & (least > self.limit[best] if len(self.langs) else False)
 
-    def calibrate(self, sums: np.ndarray, chars: np.ndarray, langs: list[str]) -> None:
-        """Fits the score's scale by likelihood, and each language's limit: mean and five deviations of its own texts.
+    def own_scores(self, texts: list[str | None], langs: list[str]) -> list[dict | None]:
+        """Of each text the cross-entropy in its own language, and the loss at each of SCALES; None without a letter."""
+        sums, chars = self.text_scores(texts)
+        own, some = np.array([self.langs.index(x) if x in self.langs else -1 for x in langs], np.int64), chars > 0
+        cross = sums / np.maximum(chars, 1)[:, None]
+        rows, mine = np.arange(len(own)), cross[np.arange(len(own)), own]
+        loss = []
+        for scale in SCALES:
+            gap = -scale * (cross - cross.min(1, keepdims=True)) * np.sqrt(chars)[:, None]
+            loss.append(np.log(np.exp(gap).sum(1)) - gap[rows, own])
+        return [{"own": m, "loss": x} if s else None for m, x, s in zip(mine.tolist(), np.stack(loss, 1).tolist(), some & (own >= 0), strict=True)]
 
-        Rows are texts with what text_scores() gives of them, and their languages.
+    def calibrate(self, found: dict[str, tuple[int, float, float]], loss: list[float]) -> None:
+        """Takes the score's scale of least loss, and each language's limit: mean and five deviations of its own texts.
+
+        found has number, mean and deviation of the own cross-entropies by language, loss one sum for each of SCALES.
         """
-        some = [k for k, (x, c) in enumerate(zip(langs, chars, strict=True)) if x in self.langs and c > 0]
-        if not some:
-            return
-        own, chars = np.array([self.langs.index(langs[k]) for k in some]), np.asarray(chars)[some]
-        cross = np.asarray(sums)[some] / chars[:, None]
-        for k in range(len(self.langs)):
-            mine = cross[own == k, k]
-            if len(mine) > 1:
-                self.limit[k] = mine.mean() + 5 * mine.std() + 0.05
-        fit = []
-        for scale in (0.25, 0.5, 1.0, 2.0, 4.0, 8.0, 16.0):
-            gap = -scale * (cross - cross.min(1, keepdims=True)) * np.sqrt(chars)[:, None]
-            fit.append(((np.log(np.exp(gap).sum(1)) - gap[np.arange(len(own)), own]).sum(), scale))
-        self.scale = min(fit)[1]
+        for k, x in enumerate(self.langs):
+            n, mean, std = found.get(x, (0, 0.0, 0.0))
+            if n > 1:
+                self.limit[k] = mean + 5 * std + 0.05
+        self.scale = min(zip(loss, SCALES, strict=True))[1]
 
 
 def fit(docs: DataFrame, learn, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Models:
     """Models from the rows of docs where the column learn is true and lang and text are not null.
 
-    Repeated rows are learned from as often as they occur, but calibrate once.
+    Scale and limits are fitted on all of these rows, which are scored whole where they are; only sums by language
+    reach the driver. Repeated rows count as often as they occur.
     """
     known = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key_"), F.col(lang).cast("string").alias("lang_"), F.col(text).alias("text_"))
     found = gram_counts(known, "lang_", "text_").toArrow().combine_chunks()
@@ -268,20 +270,19 @@ def fit(docs: DataFrame, learn, text: str = "text", lang: str = "lang", key: str
     data, at = values(found["gram"])
     codes = data[at[0] : at[-1]].view("<u4").reshape(-1, ORDER) if len(found) else np.zeros((0, ORDER), np.uint32)
     models = Models(langs, np.asarray(pc.index_in(found["lang"], pa.array(langs, pa.string())).combine_chunks()), codes, np.asarray(found["n"].combine_chunks()))
-    hashed = known.withColumn("h_", F.xxhash64("key_", "lang_", "text_"))
-    last = hashed.select("h_").distinct().orderBy("h_").limit(CALIBRATION_DOCS).agg(F.max("h_")).first()[0]
-    if last is not None:
-        carried = models.carried()
-        name = uuid.uuid4().hex
-
-        @arrow_udf("sums array<double>, chars long")
-        def scores(texts: pa.Array) -> pa.Array:
-            out = [loaded(name, carried).text_scores(texts.slice(i, 256).to_pylist()) for i in range(0, len(texts), 256)]
-            sums = np.concatenate([x[0] for x in out]) if out else np.zeros((0, 1))
-            return pa.StructArray.from_arrays([pa.array(list(sums), pa.list_(pa.float64())), pa.array(np.concatenate([x[1] for x in out]) if out else [], pa.int64())], ["sums", "chars"])
-
-        rows = hashed.where(F.col("h_") <= last).dropDuplicates(["h_"]).select("h_", "lang_", scores("text_").alias("s")).select("h_", "lang_", "s.*").orderBy("h_").collect()
-        models.calibrate(np.array([r["sums"] for r in rows]), np.array([r["chars"] for r in rows]), [r["lang_"] for r in rows])
+    if not langs:
+        return models
+    carried, name = models.carried(), uuid.uuid4().hex
+
+    @over_batches("own double, loss array<double>", several=True)
+    def scores(texts: pa.Array, names: pa.Array) -> pa.Array:
+        out = [x for i in range(0, len(texts), 256) for x in loaded(name, carried).own_scores(texts.slice(i, 256).to_pylist(), names.slice(i, 256).to_pylist())]
+        return pa.array(out, pa.struct([("own", pa.float64()), ("loss", pa.list_(pa.float64()))]))
+
+    rows = known.select("lang_", scores("text_", "lang_").alias("s")).select("lang_", "s.*")  # a filter would have Spark score twice
+    each = rows.groupBy("lang_").agg(F.count("own").alias("n"), F.avg("own").alias("mean"), F.stddev_pop("own").alias("std"), *(F.sum(F.col("loss")[i]).alias(f"loss_{i}") for i in range(len(SCALES)))).collect()  # a row for each language
+    if any(r["n"] for r in each):
+        models.calibrate({r["lang_"]: (r["n"], r["mean"], r["std"]) for r in each}, [sum(r[f"loss_{i}"] or 0.0 for r in each) for i in range(len(SCALES))])
     return models
 
 

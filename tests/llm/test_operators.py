@@ -393,6 +393,17 @@ def test_language_against_a_plain_model(spark):
         assert r.lang_pred == sorted(say)[int(np.argmin(score))] and r.cross_entropy == pytest.approx(min(score))
 
 
+def test_language_calibrates_on_every_document(spark):
+    """Limits come from all texts to learn from, more than any sample of 2,000."""
+    say = ["banana mango papaya tomato", "xylem zephyr crypt lynx"]
+    rows = [(i, " ".join(RANDOM.choice(say[i % 2].split()) for _ in range(6)), "ab"[i % 2]) for i in range(2600)] + [(5000, "12 %", "a"), (5001, None, "b")]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    sums, chars = model.text_scores([t for _, t, _ in rows])
+    for k, x in enumerate("ab"):
+        own = [s[k] / c for s, c, (_, _, y) in zip(sums, chars, rows, strict=True) if y == x and c]
+        assert len(own) == 1300 and model.limit[k] == pytest.approx(np.mean(own) + 5 * np.std(own) + 0.05, abs=1e-12)
+
+
 def test_what_is_a_letter(spark):
     rows = [(1, "½ ² Ⅷ ③"), (2, "_ 12 %"), (3, "x²y"), (4, None), (5, ""), (6, "ªb"), (7, "b " * 30000), (7, "b " * 30000)]
     model = langid.fit(spark.createDataFrame([(1, "ab xy ba yx ª", "aa"), (2, "q w", "bb")], "doc_id long, text string, lang string"), F.lit(True))
