@@ -530,6 +530,32 @@ def test_scan_finds_what_the_classifier_says(docs):
             assert got[i][0] == family and (family == "unknown" or abs(got[i][1] - p) < 1e-3)
 
 
+def test_notices_without_a_licence_word_are_found(docs):
+    """Every sentence of the texts to learn from alone, wrapped, and amid other text, whatever words it has."""
+    model = licenses.Classifier(licenses.sample(docs))
+    told = []
+    for text in (x for texts in licenses.PARAGRAPHS.values() for x in texts):
+        for s in re.split(r"(?<=[.!?;:])\s+", text):
+            words, (family, p) = s.split(), model.predict(s)
+            if family != "unknown" and not {*licenses.tokens(s)} & {*licenses.TRIGGERS}:
+                told.append((s, family, p))
+                told.append((" ".join(words[: len(words) // 2]) + "\n" + " ".join(words[len(words) // 2 :]), family, p))
+                told.append((f"{some_text(40)}.\n{s}\n{some_text(40)}", family, None))
+    assert len({s for s, _, _ in told}) >= 30 and not [x for x in NOTICES["unknown"] if model.predict(x)[0] != "unknown"]
+    got = {r.doc_id: r for r in licenses.scan(docs.sparkSession.createDataFrame([(i, s) for i, (s, _, _) in enumerate(told)], "doc_id long, text string"), model).collect()}
+    for i, (s, family, p) in enumerate(told):
+        assert got[i].n_licences >= 1 and got[i].family == family, (s, got[i])
+        assert p is None or abs(got[i].probability - p) < 1e-3
+    # what has no anchor, or too low a bound, is told nothing, even if it holds all that is spared
+    bare = " ".join(w for w in model.vocabulary if " " not in w and w not in model.anchors)
+    most, needed = model.bounds()
+    assert model.predict(bare)[0] == "unknown"
+    for s, family, _ in told:
+        if family != "unknown":
+            found = {*licenses.grams(licenses.tokens(s))}
+            assert found & {*model.anchors} and sum(most[zlib.crc32(g.encode()) % len(most)] for g in found) >= needed
+
+
 def test_chat_levels_of_long_chains_and_of_graphs(spark):
     r = random.Random(4)
     after = {(1, str(i)): [str(i - 1)] if i > 1 else [] for i in range(1, 1103)}
