@@ -4,6 +4,8 @@ Fingerprints of 64 bits are cut into four blocks of 16. Two that differ in at mo
 blocks or more, so that they meet under one of the six pairs of blocks. Only distinct fingerprints are
 joined. Within a bucket the links are verified, and a bucket hands on one link a member, never all pairs;
 large buckets are cut again by the blocks that are left, which loses no pair.
+
+For sets of Jaccard 0.8, which differ in far more bits, fingerprints are longer and blocks are as many as it takes.
 """
 
 from __future__ import annotations
@@ -147,14 +149,23 @@ def near_duplicates(docs: DataFrame, most: int = 2, key: str = "doc_id", text: s
     return marked.join(member, "fp").select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Min-hashes of a band, and bands. A pair of Jaccard 0.8 shares no band with probability (1 - 0.8 ** 5) ** 38 = 2.8e-7.
-ROWS, BANDS = 5, 38
-#: Least number of equal bytes of two sketches, one byte a min-hash, for exact confirmation. A pair of Jaccard 0.8 has
-#: fewer with probability 3.9e-9.
-ALIKE = 118
-_rng = np.random.default_rng(SEED)
-_flips, _odds = _rng.integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
-_odds |= np.uint64(1)
+#: Share of bits in which fingerprints of sets of Jaccard 0.8 differ at most: arccos(8 / 9) / pi, for large sets; with
+#: two bits a shingle no pair of small ones differs in more (computed for all sizes up to 40).
+DIFFER = 0.1515
+#: Probability that a pair of Jaccard 0.8 agrees on no block.
+MISS = 1e-6
+#: Bits that go with a set into its buckets, and the most that may differ: in all, and in the first 64 of them. A pair of
+#: Jaccard 0.8 differs in more with probability 2e-7 and 3e-7, a pair that shares nothing in as few with 6e-9.
+BESIDE, NEAR, NEAR_64 = 192, 56, 26
+#: Bits that are compared where sets of a cluster are, and the most that may differ; a pair of Jaccard 0.8 differs in more
+#: with probability 1e-9.
+COMPARED, APART = 1024, 230
+#: Least width of a block, and other sets that share one with a set by chance, about.
+NARROW, BY_CHANCE = 8, 512
+#: Blocks of 16 bits by which members of a cluster get leaders, besides the cluster itself.
+PARTS = 12
+_odd = np.random.default_rng(SEED).integers(0, 1 << 64, (2, 2, 2048), np.uint64)
+_flips, _odds = _odd[0], _odd[1] | np.uint64(1)
 #: Rounds of one leader a set, before pairs that are still apart are looked for.
 LEADER_ROUNDS = 2
 #: Sets up to this number are found among texts by broadcast.
@@ -174,16 +185,117 @@ def shingles(text: bytes | None, size: int) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(g, SEED) for g in grams], np.uint64))
 
 
-def signature(found: np.ndarray) -> tuple[np.ndarray, bytes]:
-    """A hash of each band of min-hashes, and a byte of each min-hash."""
-    low = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
-    for i in range(0, len(found), 2048):
-        low = np.minimum(low, ((found[i : i + 2048, None] ^ _flips) * _odds).min(0))
-    out = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for part in low.reshape(BANDS, ROWS).T:
-        out = (out ^ part) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(29)
-    return out, (low * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56)).astype(np.uint8).tobytes()
+def scheme(n: int) -> tuple[int, int, int]:
+    """For about n sets: the bits of a block, the number of blocks, and the 64-bit words of a fingerprint.
+
+    Sets of Jaccard 0.8 differ in up to 15 of 100 bits, so that no block of a useful width has to agree, as one has to
+    for two bits of 64. There are as many blocks as it takes for one to agree all the same, but for MISS.
+    """
+    width = max(NARROW, int(np.log2(max(n, 1) / BY_CHANCE)))
+    blocks = int(np.ceil(np.log(MISS) / np.log1p(-((1 - DIFFER) ** width))))
+    return width, blocks, max(COMPARED, BESIDE + 64 * -(-width * blocks // 64)) // 64
+
+
+def long_fingerprint(found: np.ndarray, words: int) -> bytes:
+    """The SimHash of a set of shingles: 64 * words bits, 1 if set in over half the hashes; two hashes a shingle and word.
+
+    A longer one begins with the bits of a shorter one.
+    """
+    ones = np.zeros(64 * words, np.int64)
+    flips, odds = _flips[:, :words].ravel(), _odds[:, :words].ravel()
+    for i in range(0, len(found), 127):  # counts of a part fit a byte
+        h = (found[i : i + 127, None] ^ flips) * odds
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+        ones += np.unpackbits(h.view(np.uint8)).reshape(-1, 64 * words).sum(0, dtype=np.uint8)
+    return np.packbits(ones > len(found)).tobytes()
+
+
+def block_rows(batches, width: int, blocks: int):
+    """Rows (set_, print_): block_, set_ and the bits beside it, for each block of the fingerprint."""
+    weight = 1 << np.arange(width, dtype=np.int64)
+    for batch in batches:
+        for at in range(0, len(batch), 1024):
+            part = batch.slice(at, 1024)
+            prints = np.frombuffer(b"".join(part.column("print_").to_pylist()), np.uint8).reshape(len(part), -1)
+            bits = np.unpackbits(prints[:, BESIDE // 8 :], axis=1)[:, : width * blocks].reshape(-1, blocks, width)
+            name = (bits @ weight) + (np.arange(blocks, dtype=np.int64) << width)
+            beside = np.repeat(np.ascontiguousarray(prints[:, : BESIDE // 8]).view("<i8"), blocks, axis=0)
+            columns = [name.ravel(), np.repeat(np.asarray(part.column("set_")), blocks), *beside.T]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["block_", "set_", "w0_", "w1_", "w2_"])
+
+
+def near_roots(words: np.ndarray) -> np.ndarray:
+    """For n fingerprints of three words: the index of the smallest that links of at most NEAR differing bits reach.
+
+    In a large bucket a few members are compared with all first. What the largest group they find does not hold is then
+    compared with all; pairs inside that group are linked already, so that a bucket of near copies takes few comparisons.
+    """
+    n = len(words)
+    root, order = np.arange(n), np.arange(n)
+
+    def link(own: np.ndarray, others: np.ndarray) -> None:
+        for j in range(0, len(others), 1 << 14):
+            other = others[j : j + (1 << 14)]
+            a, b = np.nonzero(np.bitwise_count(words[own, 0][:, None] ^ words[other, 0]) <= NEAR_64)
+            a, b = own[a], other[b]
+            near = np.bitwise_count(words[a] ^ words[b]).sum(1) <= NEAR
+            near &= a != b
+            if near.any():
+                _unite(root, a[near], b[near])
+
+    if n > DENSE:
+        reached = np.zeros(n, bool)
+        for _ in range(16):
+            rest = np.flatnonzero(~reached)
+            if not len(rest):
+                break
+            lead = rest[len(rest) // 2 :][:1]
+            link(lead, order)
+            reached |= np.bitwise_count(words ^ words[lead]).sum(1) <= NEAR
+        root = _settled(root)
+        most = np.bincount(root).argmax()
+        order = np.concatenate([np.flatnonzero(root != most), np.flatnonzero(root == most)])
+        n -= int((root == most).sum())
+    for i in range(0, n, 128):
+        link(order[i : min(n, i + 128)], order[i:])
+    return _settled(root)
+
+
+def near_links(batches):
+    """Rows (block_, set_, bits beside it) sorted by block, then set: links (a, b) from each set to its root in the bucket."""
+
+    def groups(held):
+        block, name, *words = (np.concatenate(c) for c in zip(*held, strict=True))
+        words = np.stack(words, 1).view(np.uint64)
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(block)]])
+        found = [np.zeros((2, 0), np.int64)]
+        for s, e in zip(edges, edges[1:], strict=False):
+            if e - s > 1:
+                root = near_roots(words[s:e])
+                far = np.flatnonzero(root != np.arange(e - s))
+                found.append(np.stack([name[s:e][far], name[s:e][root[far]]]))
+        a, b = np.unique(np.concatenate(found, 1), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    held = []
+    try:
+        for batch in batches:
+            if not len(batch):
+                continue
+            columns = [np.asarray(c) for c in batch.columns]
+            last = int(np.searchsorted(columns[0], columns[0][-1]))  # where the bucket begins that may go on
+            if held and (last or columns[0][0] != held[0][0][0]):
+                yield groups([*held, [c[:last] for c in columns]])
+                held = []
+            elif last:
+                yield groups([[c[:last] for c in columns]])
+            held.append([c[last:] for c in columns])
+        if held:
+            yield groups(held)
+    finally:
+        at_rest()
 
 
 def stars(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -196,10 +308,16 @@ def stars(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.stack([ends[far], ends[root[far]]])
 
 
+def compared(prints: pa.Array) -> np.ndarray:
+    """The bits of fingerprints that are compared inside a cluster, as words."""
+    return np.frombuffer(b"".join(prints.to_pylist()), np.uint64).reshape(len(prints), -1)[:, : COMPARED // 64]
+
+
 def group_links(exact: bool):
     """A function of groups of sets that dealt() gives: links (a, b) between sets of two roots, none of all pairs.
 
-    Sets with like sketches and sizes link: their roots, or, if exact, themselves once their shingles are confirmed.
+    Sets of like sizes whose fingerprints differ in at most APART bits link: their roots, or, if exact, themselves once
+    their shingles are confirmed.
     """
 
     def run(batches):
@@ -220,13 +338,13 @@ def group_links(exact: bool):
                 look(rows)
 
         def look(rows: list) -> None:
-            name, size, root, sketch = index[:4]
+            name, size, root, bits = index[:4]
             for i in range(0, len(rows[0]), 32):
                 own = [x[i : i + 32] for x in rows]
                 ok = (5 * np.minimum(own[1][:, None], size) >= 4 * np.maximum(own[1][:, None], size)) & (own[2][:, None] != root)
                 for q in np.flatnonzero(ok.any(1)).tolist():
                     near = np.flatnonzero(ok[q])
-                    near = near[(own[3][q] == sketch[near]).sum(1) >= ALIKE]
+                    near = near[np.bitwise_count(own[3][q] ^ bits[near]).sum(1) <= APART]
                     if not len(near):
                         continue
                     if exact:
@@ -259,7 +377,7 @@ def group_links(exact: bool):
                         settle()
                         at, held, index = place[s], [], None
                     part = batch.slice(s, e - s)
-                    rows = [np.asarray(part.column(c)) for c in ("set_", "size_", "root")] + [np.frombuffer(b"".join(part.column("sketch_").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)]
+                    rows = [np.asarray(part.column(c)) for c in ("set_", "size_", "root")] + [compared(part.column("print_"))]
                     if exact:
                         rows.append([np.frombuffer(x, np.uint64) for x in part.column("grams_").to_pylist()])
                     if flag[s]:
@@ -279,42 +397,50 @@ def group_links(exact: bool):
 
 
 def dealt(rows: DataFrame, by: str) -> DataFrame:
-    """rows (set_, size_, ...) with place_, the part of the group that a column tells, and held_, what the part holds."""
-    hot = rows.groupBy(by).agg(F.count("*").alias("n_"), F.sum("size_").alias("all_")).where((F.col("n_") > HOT) | (F.col("all_") > HOT_SHINGLES))
-    hot = hot.select(by, F.ceil(F.greatest(F.col("n_") / HOT, F.col("all_") / HOT_SHINGLES)).cast("int").alias("parts_"))
-    parts = F.coalesce("parts_", F.lit(1))
-    cut = rows.join(hot, by, "left").withColumn("part_", F.explode(F.sequence(F.lit(0), parts - 1)))
-    return cut.withColumn("held_", F.pmod(F.xxhash64("set_"), parts) == F.col("part_")).withColumn("place_", F.xxhash64(by, "part_")).drop("parts_", "part_", by)
+    """rows (set_, size_, root, ...) with place_, the part of the group that a column tells, and held_, what the part holds.
+
+    All of a group are compared with what its parts hold: all that have another root than most of the group.
+    """
+    roots = rows.groupBy(by, "root").agg(F.count("*").alias("n_"), F.sum("size_").alias("all_"))
+    main = roots.groupBy(by).agg(F.max_by("root", F.struct("n_", "root")).alias("main_"), F.max(F.struct("n_", "root", "all_")).alias("most_"), F.sum("n_").alias("n_"), F.sum("all_").alias("all_"))
+    n, size = F.col("n_") - F.col("most_.n_"), F.col("all_") - F.col("most_.all_")
+    main = main.select(by, "main_", F.greatest(F.ceil(n / HOT), F.ceil(size / HOT_SHINGLES), F.lit(1)).cast("int").alias("parts_"))
+    cut = rows.join(main, by).withColumn("part_", F.explode(F.sequence(F.lit(0), F.col("parts_") - 1)))
+    own = (F.col("root") != F.col("main_")) & (F.pmod(F.xxhash64("set_"), F.col("parts_")) == F.col("part_"))
+    return cut.withColumn("held_", own).withColumn("place_", F.xxhash64(by, "part_")).drop("parts_", "part_", "main_", by)
 
 
 def similar(docs: DataFrame, rest: list, shingle: int = 5, text: str = "text") -> DataFrame:
     """The columns ``rest`` of every row of docs, and root_, alike for all rows that links reach.
 
-    Rows link where the Jaccard similarity of their sets of shingles is 0.8 or more. Pairs that share a band and have
-    like sketches are candidates, and each that is not linked by others is confirmed on the sets themselves, which
-    are made again for the texts concerned. In each of a few rounds every set is compared with the likest of its
-    blocks' leaders. Then blocks that still hold sets apart tell which components candidates join into a cluster, and
-    inside a cluster the candidates are confirmed where they are: no list of pairs leaves a group. Texts without
-    words, null ones too, have equal sets. Texts are taken whole; sets and texts are told apart by 64 bits.
+    Rows link where the Jaccard similarity of their sets of shingles is 0.8 or more. Sets have SimHash fingerprints,
+    which meet under blocks of bits as scheme() says; in a bucket their Hamming distance is verified, and the bucket
+    hands on one link a member. What these links reach is a cluster, and pairs in it are candidates: each that is not
+    linked by others is confirmed on the sets themselves, which are made again for the texts concerned. In each of a
+    few rounds every set is compared with the likest of the leaders of its cluster and of parts of it. Then clusters that
+    still hold sets apart tell which components their distances join, and inside those the candidates are confirmed where
+    they are: no list of pairs leaves a group. Texts without words, null ones too, have equal sets. Texts are taken
+    whole; sets and texts are told apart by 64 bits.
     """
 
-    @over_batches("set_ long, size_ long, bands_ array<long>, sketch_ binary")
+    width, parts, words = scheme(docs.count())
+
+    @over_batches("set_ long, size_ long, print_ binary")
     def sets(texts: pa.Array) -> pa.Array:
         import xxhash
 
         found = [shingles(x.as_py(), shingle) for x in texts]
         names = np.array([xxhash.xxh3_64_intdigest(f.tobytes()) for f in found], np.uint64).view(np.int64)
-        signs = [signature(f) for f in found]
-        return pa.StructArray.from_arrays([pa.array(names), pa.array([len(f) for f in found], pa.int64()), pa.array([b.view(np.int64) for b, _ in signs], pa.list_(pa.int64())), pa.array([x for _, x in signs], pa.binary())], ["set_", "size_", "bands_", "sketch_"])
+        prints = [long_fingerprint(f, words) for f in found]
+        return pa.StructArray.from_arrays([pa.array(names), pa.array([len(f) for f in found], pa.int64()), pa.array(prints, pa.binary())], ["set_", "size_", "print_"])
 
     @over_batches("binary")
     def grams_of(texts: pa.Array) -> pa.Array:
         return pa.array([shingles(x.as_py(), shingle).tobytes() for x in texts], pa.binary())
 
     @over_batches("int", several=True)
-    def same(a: pa.Array, b: pa.Array) -> pa.Array:
-        x, y = (np.frombuffer(b"".join(v.to_pylist()), np.uint8).reshape(-1, BANDS * ROWS) for v in (a, b))
-        return pa.array((x == y).sum(1), pa.int32())
+    def distance(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array(np.bitwise_count(compared(a) ^ compared(b)).sum(1), pa.int32())
 
     @over_batches("boolean", several=True)
     def alike(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -328,14 +454,18 @@ def similar(docs: DataFrame, rest: list, shingle: int = 5, text: str = "text") -
     body = F.coalesce(binary(text), F.lit(b""))
     marked = written(docs.select(*rest, F.xxhash64(body).alias("text_"), sets(body).alias("s_")).select("*", "s_.*").drop("s_"), "sets")
     # texts of a set may differ in white space and case; the first by hash stands for all
-    classes = written(marked.groupBy("set_").agg(F.min("text_").alias("text_"), F.first("size_").alias("size_"), F.first("bands_").alias("bands_"), F.first("sketch_").alias("sketch_")), "classes")
-    light = written(marked.drop("text_", "size_", "bands_", "sketch_"), "names")
+    classes = written(marked.groupBy("set_").agg(F.min("text_").alias("text_"), F.first("size_").alias("size_"), F.first("print_").alias("print_")), "classes")
+    light = written(marked.drop("text_", "size_", "print_"), "names")
     forget(marked)
-    bands = written(classes.select("set_", "size_", F.explode("bands_").alias("block_")), "bands")
-    several = written(bands.groupBy("block_").agg(F.count("*").alias("n_")).where("n_ > 1").select("block_"), "several")
-    blocks = written(bands.join(several, "block_", "left_semi"), "blocks")
-    forget(bands, several)
-    sketches = classes.select("set_", "sketch_")
+    spread = classes.where("size_ > 0").select("set_", "print_").mapInArrow(lambda batches: block_rows(batches, width, parts), "block_ long, set_ long, w0_ long, w1_ long, w2_ long")
+    near = written(spread.repartition("block_").sortWithinPartitions("block_", "set_").mapInArrow(near_links, "a long, b long"), "near")
+    reached = written(connected_components(near, "clusters"), "clusters")
+    forget(near)
+    own = written(classes.join(reached.select(F.col("node").alias("set_"), F.col("root").alias("block_")), "set_").select("set_", "size_", "print_", "block_"), "own")
+    forget(reached)
+    some = [F.xxhash64("block_", F.lit(k), F.substring("print_", BESIDE // 8 + 2 * k + 1, 2)) for k in range(PARTS)]
+    blocks = written(own.select("set_", "size_", F.explode(F.array("block_", *some)).alias("block_")), "blocks")
+    prints = own.select("set_", "print_")
     grams, roots = None, None
 
     def side(table: DataFrame, column: str, name: str) -> DataFrame:
@@ -364,19 +494,19 @@ def similar(docs: DataFrame, rest: list, shingle: int = 5, text: str = "text") -
             return rows.withColumn("root", F.col("set_"))
         return rows.join(roots.withColumnRenamed("node", "set_"), "set_", "left").withColumn("root", F.coalesce("root", "set_"))
 
-    def still_apart() -> DataFrame:
-        """Blocks that more than one component fills."""
-        now = rooted(blocks)
+    def still_apart(rows: DataFrame) -> DataFrame:
+        """Blocks of rows that more than one component fills."""
+        now = rooted(rows)
         apart = now.groupBy("block_").agg((F.min("root") < F.max("root")).alias("apart_")).where("apart_").select("block_")
         return written(now.join(apart, "block_", "left_semi"), "open")
 
     for k in range(LEADER_ROUNDS):
-        now = still_apart()
+        now = still_apart(blocks)
         lead = written(now.groupBy("block_").agg(F.min_by(F.struct("set_", "size_", "root"), F.xxhash64("set_", F.lit(k))).alias("lead_")), "leaders")
         near = now.join(lead, "block_").where((F.col("root") != F.col("lead_.root")) & (5 * F.least("size_", F.col("lead_.size_")) >= 4 * F.greatest("size_", F.col("lead_.size_"))))
         near = written(near.select(F.col("set_").alias("a"), F.col("lead_.set_").alias("b")).distinct(), "near")
-        both = near.join(side(sketches, "sketch_", "a"), "a").join(side(sketches, "sketch_", "b"), "b").select("a", "b", same("a_sketch_", "b_sketch_").alias("same_"))
-        best = both.where(F.col("same_") >= ALIKE).groupBy("a").agg(F.max_by("b", F.struct("same_", "b")).alias("b"))
+        both = near.join(side(prints, "print_", "a"), "a").join(side(prints, "print_", "b"), "b").select("a", "b", distance("a_print_", "b_print_").alias("far_"))
+        best = both.where(F.col("far_") <= APART).groupBy("a").agg(F.min_by("b", F.struct("far_", "b")).alias("b"))
         close = written(best.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "close")
         forget(now, lead, near)
         if close.isEmpty():
@@ -385,20 +515,20 @@ def similar(docs: DataFrame, rest: list, shingle: int = 5, text: str = "text") -
         both = close.join(side(grams, "grams_", "a"), "a").join(side(grams, "grams_", "b"), "b")
         joined(written(both.where(alike("a_grams_", "b_grams_")).select("a", "b"), "similar"))
         forget(close)
-    now = still_apart()
-    candidates = written(dealt(now, "block_").join(sketches, "set_").select("place_", "held_", "set_", "size_", "root", "sketch_").repartition("place_").sortWithinPartitions("place_", F.desc("held_")).mapInArrow(group_links(False), "a long, b long").distinct(), "candidates")
+    now = still_apart(own)
+    candidates = written(dealt(now, "block_").select("place_", "held_", "set_", "size_", "root", "print_").repartition("place_").sortWithinPartitions("place_", F.desc("held_")).mapInArrow(group_links(False), "a long, b long").distinct(), "candidates")
     forget(now)
     if not candidates.isEmpty():
         clusters = written(connected_components(candidates, "clusters"), "clusters")
-        members = rooted(classes.select("set_", "size_")).join(clusters.select(F.col("node").alias("root"), F.col("root").alias("cluster_")), "root")
+        members = rooted(own.select("set_", "size_", "print_")).join(clusters.select(F.col("node").alias("root"), F.col("root").alias("cluster_")), "root")
         members = written(members, "members")
         fetch(members.select("set_"))
-        rows = dealt(members, "cluster_").join(sketches, "set_").join(grams, "set_")
-        rows = rows.select("place_", "held_", "set_", "size_", "root", "sketch_", "grams_").repartition("place_").sortWithinPartitions("place_", F.desc("held_"))
+        rows = dealt(members, "cluster_").join(grams, "set_")
+        rows = rows.select("place_", "held_", "set_", "size_", "root", "print_", "grams_").repartition("place_").sortWithinPartitions("place_", F.desc("held_"))
         joined(written(rows.mapInArrow(group_links(True), "a long, b long").distinct(), "similar"))
         forget(clusters, members)
     forget(candidates)
-    forget(blocks, grams, classes)
+    forget(blocks, own, grams, classes)
     if roots is None:
         return light.withColumnRenamed("set_", "root_")
     return light.join(roots.withColumnRenamed("node", "set_"), "set_", "left").withColumn("root_", F.coalesce("root", "set_")).drop("set_", "root")

@@ -196,3 +196,80 @@ def test_stages_against_brute_force(spark, tmp_path):
     empty = P.table(spark, d, "documents").where("false")
     for _, step in P.STAGES:
         assert step(spark, empty, d).count() == 0
+
+
+def test_near_duplicates_meet_by_fingerprints(spark):
+    """Pairs at four fifths exactly, from four and five shingles on, meet under blocks of SimHash fingerprints."""
+    import numpy as np
+    from relata.llm import simhash
+
+    r = random.Random(31)
+    mask = (1 << 64) - 1
+
+    def plain(found, words):  # bit by bit
+        out = b""
+        for w in range(words):
+            h = []
+            for x in found.tolist():
+                for k in (0, 1):
+                    y = (x ^ int(simhash._flips[k, w])) * int(simhash._odds[k, w]) & mask
+                    y = (y ^ y >> 32) * 0x9E3779B97F4A7C15 & mask
+                    h.append((y ^ y >> 32).to_bytes(8, "little"))
+            for byte in range(8):
+                out += bytes([sum(1 << b for b in range(8) if 2 * sum(x[byte] >> b & 1 for x in h) > len(h))])
+        return out
+
+    for n in (0, 1, 5, 126, 300):
+        found = np.array(sorted(r.getrandbits(64) for _ in range(n)), np.uint64)
+        assert simhash.long_fingerprint(found, 17) == plain(found, 17)
+    rows = []
+    for i, (n, extra) in enumerate([(8, 1), (24, 5), (84, 20), (404, 100)] * 30):  # n - 4 shingles of n - 4 + extra
+        words = [f"w{r.randrange(10**6)}" for _ in range(n + extra)]
+        rows += [(2 * i, " ".join(words[:n])), (2 * i + 1, " ".join(words))]
+        assert 5 * (n - 4) == 4 * (n - 4 + extra)
+    width, blocks, words = simhash.scheme(len(rows))
+    prints = [simhash.long_fingerprint(simhash.shingles(t.encode(), 5), words) for _, t in rows]
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int64()), pa.array(prints)], ["set_", "print_"])
+    dealt = pa.Table.from_batches(simhash.block_rows([batch], width, blocks)).sort_by([("block_", "ascending"), ("set_", "ascending")])
+    assert dealt.num_rows == blocks * len(rows)
+    links = {(a, b) for x in simhash.near_links(dealt.to_batches(max_chunksize=7)) for a, b in zip(*map(pa.Array.to_pylist, x.columns), strict=True)}
+    bits = [int.from_bytes(p, "big") for p in prints]
+    assert {(2 * i + 1, 2 * i) for i in range(len(rows) // 2)} == links
+    assert all((bits[a] >> 64 * words - 192 ^ bits[b] >> 64 * words - 192).bit_count() <= 56 for a, b in links)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    root = {x.doc_id: x.root_ for x in simhash.similar(docs, ["doc_id"]).collect()}
+    assert all(root[2 * i] == root[2 * i + 1] for i in range(len(rows) // 2)) and len(set(root.values())) == len(rows) // 2
+
+
+def test_links_in_buckets():
+    """Roots in small and large buckets, of near copies and of others, against all pairs."""
+    import numpy as np
+    from relata.llm import simhash
+
+    rng = np.random.default_rng(2)
+    base = np.unpackbits(rng.integers(0, 1 << 64, 3, np.uint64).view(np.uint8))
+    for n in (1, 300, 2600):
+        words = np.repeat(base[None], n, 0)
+        for i in range(n):
+            words[i, rng.choice(192, rng.integers(0, 100), False)] ^= 1
+        words = np.packbits(words, axis=1).view(np.uint64)
+        far = np.bitwise_count(words[:, None] ^ words)
+        ok = (far.sum(2) <= simhash.NEAR) & (far[:, :, 0] <= simhash.NEAR_64)
+        want = np.arange(n)
+        while True:
+            lower = np.array([want[x].min() for x in ok])
+            if (lower == want).all():
+                break
+            want = lower
+        assert (simhash.near_roots(words) == want).all()
+
+
+def test_scheme_of_blocks():
+    from relata.llm import simhash
+
+    for n in (0, 1, 10**4, 10**6, 10**8):
+        width, blocks, words = simhash.scheme(n)
+        assert (1 - (1 - simhash.DIFFER) ** width) ** blocks <= 1e-6 and 64 * words >= simhash.BESIDE + width * blocks
+        assert n / 2**width <= 1024
