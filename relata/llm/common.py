@@ -20,8 +20,9 @@ WHITE = np.zeros(256, bool)
 WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
-#: Arrow batches that go to Python workers; at Spark's own 64 MB, batches of long texts fill an executor.
-BATCH_BYTES = "8m"
+#: Arrow batches that go to Python workers; at Spark's own 64 MB, batches of long texts fill an executor, and at 8 MB the
+#: executor and each of its workers still hold some times that.
+BATCH_BYTES = "4m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WHITE, _fresh, at_rest, binary, delete, written
+from .common import WHITE, _fresh, at_rest, binary, delete, values, written
 
 WINDOW = 35
 ANCHOR = 18
@@ -34,8 +34,9 @@ BUCKET_ENTRIES = 1 << 20
 SALTS = 16
 #: Runs of an index beyond which they are compacted.
 MOST_RUNS = 4
-#: Bytes of text hashed at once.
-CHUNK = 1 << 20
+#: Bytes of text hashed at once, and of those that a worker has out of Arrow; each needs some 60 times that in arrays.
+CHUNK = 1 << 18
+PIECE = 1 << 20
 
 TWICE, GROUP = np.uint32(1 << 31), np.uint32((1 << 31) - 1)
 _B, _R = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
@@ -45,7 +46,7 @@ _powers: dict[int, np.ndarray] = {}
 def powers(base: int, n: int) -> np.ndarray:
     """base ** i modulo 2 ** 64, for i below n at least."""
     if base not in _powers or len(_powers[base]) < n:
-        out = np.full(max(n, 2 * CHUNK), base, np.uint64)
+        out = np.full(n + n // 4, base, np.uint64)
         out[0] = 1
         _powers[base] = np.multiply.accumulate(out)
     return _powers[base]
@@ -105,6 +106,15 @@ def chunks(texts: list[bytes]) -> Iterator[slice]:
         yield slice(start, len(texts))
 
 
+def pieces(batch: pa.RecordBatch, text: str = "text_") -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with PIECE bytes of text, or one text if that is longer."""
+    end = values(batch.column(text))[1]
+    cuts = [0, *(np.flatnonzero(np.diff((end[1:] - end[0]) // PIECE)) + 1).tolist(), len(batch)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def unique_entries(keys: list[np.ndarray], groups: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """Sorted distinct (keys, group); a group number gets TWICE where there were several."""
     order = np.lexsort([groups & GROUP, *keys[::-1]])
@@ -149,7 +159,7 @@ def entries(docs: DataFrame, buckets: int, batches: int = 1, first: int = 0, gro
     def run(it):
         held: list[list] = [[] for _ in range(batches)]
         try:
-            for arrow in it:
+            for arrow in (x for batch in it for x in pieces(batch)):
                 group, texts = np.asarray(arrow.column(0)).astype(np.uint32), arrow.column(1).to_pylist()
                 for part in chunks(texts):
                     owner, place, key = anchors(texts[part])
@@ -294,7 +304,8 @@ class FingerprintIndex:
 
     def _keep(self) -> None:
         self.state["version"] += 1
-        self.spark.createDataFrame([(json.dumps(self.state),)], "value string").coalesce(1).write.text(f"{self.path}/state/{self.state['version']:09d}")
+        one = self.spark.range(0, 1, 1, 1).select(F.lit(json.dumps(self.state)).alias("value"))  # needs no Python worker of another kind
+        one.write.text(f"{self.path}/state/{self.state['version']:09d}")
 
     def _run(self, name: str) -> DataFrame:
         return self.spark.read.schema(ENTRIES).parquet(f"{self.path}/{name}")
@@ -419,6 +430,12 @@ def result(n: int, removed: int, kept: bytes) -> tuple[int, int, str]:
     return n, removed, hashlib.sha256(kept).hexdigest()
 
 
+def whole(text: bytes) -> tuple[int, int, str]:
+    """The result of a text that loses nothing."""
+    words = text.split()
+    return result(len(words), 0, b" ".join(words))
+
+
 DONE = "n_words long, n_removed long, kept_sha256 string"
 _DONE = [pa.int64(), pa.int64(), pa.string()]
 
@@ -474,14 +491,17 @@ def remove_repeats(docs: DataFrame, text: str = "text", batches: int = 2, index:
         held: list[tuple] = []
         size_held = 0
 
+        def unique() -> list[tuple]:
+            keys, own = unique_entries([np.concatenate([h[k] for h in held]) for k in (0, 1)], np.concatenate([h[2] for h in held]))
+            return [(*keys, own)]
+
         def flush():
-            keys, own = unique_entries([np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])], np.concatenate([h[2] for h in held]))
+            (*keys, own), = unique()
             return table_of(None, (), 2, None, None, None, dealt(keys, own, buckets))
 
         for group, (known, _), part, kind in by_group(batches):
             known = np.unique(known)
-            for i in range(0, len(part), 2048):
-                piece = part.slice(i, 2048)
+            for piece in pieces(part):
                 texts = piece.column("text_").to_pylist()
                 open_ = set()
                 for number, _, _, key, text_hash in candidates(texts, known):
@@ -491,13 +511,15 @@ def remove_repeats(docs: DataFrame, text: str = "text", batches: int = 2, index:
                 if kind == 2:  # the history's documents stay as they are
                     continue
                 shut = [k for k in range(len(texts)) if k not in open_]
-                words = [texts[k].split() for k in shut]
-                yield table_of(piece, shut, 0, group, [texts[k] for k in shut], [result(len(w), 0, b" ".join(w)) for w in words])
+                yield table_of(piece, shut, 0, group, [texts[k] for k in shut], [whole(texts[k]) for k in shut])
                 if open_:
                     yield table_of(piece, sorted(open_), 1, group, [texts[k] for k in sorted(open_)], None)
-                if size_held > 4 * BUCKET_ENTRIES:
-                    yield flush()
-                    held, size_held = [], 0
+                if size_held > BUCKET_ENTRIES:
+                    held = unique()  # copies in a group become few
+                    size_held = len(held[0][0])
+                    if size_held > BUCKET_ENTRIES // 2:
+                        yield flush()
+                        held, size_held = [], 0
         if held:
             yield flush()
         rest()
@@ -510,8 +532,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", batches: int = 2, index:
             order = np.lexsort([k1, mixed(k1) + k2])
             k1, k2 = k1[order], k2[order]
             known, both = np.unique(k1), mixed(k1) + k2
-            for i in range(0, len(part), 2048):
-                piece = part.slice(i, 2048)
+            for piece in pieces(part):
                 texts = piece.column("text_").to_pylist()
                 kept, done = list(texts), [None] * len(texts)
                 for number, words, first, key, text_hash in candidates(texts, known):
@@ -535,8 +556,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", batches: int = 2, index:
                     kept[number], done[number] = left, result(len(words), int((~stay).sum()), left)
                 for k, d in enumerate(done):
                     if d is None:
-                        words = texts[k].split()
-                        done[k] = result(len(words), 0, b" ".join(words))
+                        done[k] = whole(texts[k])
                 yield table_of(piece, range(len(texts)), 0, group, kept, done)
         rest()
 

@@ -101,6 +101,40 @@ def gone_words(words, others, own):
     return {k for i in range(len(words) - 34) if count[tuple(words[i : i + 35])] > 1 or tuple(words[i : i + 35]) in past for k in range(i, i + 35)}
 
 
+def test_substring_memory(monkeypatch):
+    """Stage functions, run here over Arrow batches as Spark's workers get them, hold a few times a batch's bytes."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    r = random.Random(3)
+    passage = " ".join(f"p{r.randrange(9000)}" for _ in range(60))
+    texts = [f"{' '.join(f'w{r.randrange(90000)}' for _ in range(900))} {passage}".encode() for _ in range(700)]
+    size, taken = sum(map(len, texts)), {}
+
+    class Frame:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, f, *_):
+            taken["run"] = f
+
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * len(texts), pa.int32()), pa.array(texts, pa.binary())], names=["group_", "text_"])
+    substring.rest()
+    substring.entries(Frame(), 64)
+    tracemalloc.start()
+    try:
+        out = list(taken["run"](iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(out) == 1 and size > 4 << 20 and peak < 8 * size
+    got = list(substring.pieces(batch))
+    assert [x for p in got for x in p.column("text_").to_pylist()] == texts and all(sum(map(len, p.column("text_").to_pylist())) < substring.PIECE + 8000 for p in got)
+    odd = pa.RecordBatch.from_arrays([pa.array([b"", b"a" * (3 << 20), None, b"", b"b"], pa.binary())], names=["text_"])
+    assert [x for p in substring.pieces(odd.slice(1)) for x in p.column(0).to_pylist()] == [b"a" * (3 << 20), None, b"", b"b"] and not list(substring.pieces(odd.slice(0, 0)))
+
+
 @pytest.mark.parametrize("entries", [1 << 20, 40])
 def test_substring_index_over_sessions(docs, tmp_path, monkeypatch, entries):
     monkeypatch.setattr(substring, "MOST_RUNS", 2)
