@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from .common import at_rest, values, written
+from .merges import Merges
 
 #: What a worker remembers of the ids of words of one generation; there are two, and the older one is then forgotten.
 CACHE_BYTES = 48 << 20
@@ -53,6 +54,14 @@ class Encoder:
         self.blank = np.zeros(self.model.get_vocab_size(), bool)
         self.blank[[i for t, i in self.model.get_vocab().items() if t.startswith("Ġ")]] = True  # how byte-level files write a blank
         self.split = all(self._pack(self.model.encode(a + b, add_special_tokens=False)) == self._pack(self.model.encode(a, add_special_tokens=False)) + self._pack(self.model.encode(b, add_special_tokens=False)) for a, b in (("one", " two"), ("a.", " 's"), ("é\n", " 9,"), ("x", " <|endoftext|>")))
+        self.merges = Merges.of(path) if self.split else None
+        if self.merges:  # a file whose merges the library applies in another way is left to the library
+            some = [t[1:] for t in self.model.get_vocab() if t.startswith("Ġ") and t.isalpha() and t[1:].isascii()][:200]
+            some += ["".join(some[k : k + 4]) + end for k in range(0, len(some), 4) for end in ("", ",", "7éŒ.")]
+            self.learn(some)
+            if any(self.words[w] != self.whole(f" {w}") for w in some):
+                self.merges = None
+            self.forget()
 
     def forget(self) -> None:
         """Drops what is remembered of words."""
@@ -116,6 +125,11 @@ class Encoder:
 
     def learn(self, words: list[str]) -> None:
         """Words hold no blank, so that in the ids of all of them a new word begins where a token begins with one."""
+        if self.merges:
+            known, data, edges, words = self.merges.words(words)
+            self.words.update(zip(known, map(data.__getitem__, map(slice, edges, edges[1:])), strict=False))
+            if not words:
+                return
         ids = np.array(self.model.encode_batch_fast([f" {' '.join(words)}"], add_special_tokens=False)[0].ids, "<u4")
         at = np.flatnonzero(self.blank[ids])
         if len(at) != len(words):

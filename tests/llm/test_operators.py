@@ -739,3 +739,38 @@ def test_numbers_across_ranges(spark):
     got = common.numbered(rows, [F.col("k").isNull(), F.col("k")], n, per_range=90).orderBy("number_").collect()
     keys = [r.k for r in got]
     assert [r.number_ for r in got] == list(range(n)) and keys == sorted(keys, key=lambda k: (k is None, k or ""))
+
+
+def test_words_are_merged_as_the_library_merges_them(docs):
+    import public_tokenizers
+    import pyarrow as pa
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    found, plain = packing.Encoder(path), packing.Encoder(path)
+    plain.merges = None
+    rng = random.Random(3)
+    letters = "aaeeiinnrrssttlo" + "éñßÆŒſŸżªº·×÷µǅɐжЖ中" + "0123456789²" + ".,;:!?-_/\\()[]{}#$%&*+=<>|@\"'`~^" + "\n\n\t\r\x0b\x1c\x85\xa0 "
+    words = ["".join(rng.choices(letters[: rng.choice((16, 30, 60, len(letters)))], k=rng.choice((1, 2, 3, 5, 9, 17, 40)))) for _ in range(20000)]
+    words += ["don't", "a\nb", "a\n\nb", "<|endoftext|>", "x<|endoftext|>y", "a" * 3000, "=" * 200, "ab1.c\nd", "😀a", "é"]
+    texts = pa.array([" ".join(words[k : k + 50]) for k in range(0, len(words), 50)] + [" ".join(r.text for r in docs.limit(20).collect() if r.text)])
+    assert found.encode(texts) == plain.encode(texts) == [plain.whole(t) for t in texts.to_pylist()]
+    calls = []
+    found.forget()
+    found.model = type("Counted", (), {"encode_batch_fast": lambda self, x, **k: calls.append(x) or plain.model.encode_batch_fast(x, **k)})()
+    found.learn(["word", "Straße,", "été12.", "a\nb"])
+    assert not calls and set(found.words) == {"word", "Straße,", "été12.", "a\nb"}
+    found.learn(["a" * 64])  # of more than 64 characters with the blank; rounds would be as many as its letters
+    assert calls
+
+
+def test_files_of_another_make_are_left_to_the_library(tmp_path):
+    import json
+
+    import public_tokenizers
+    from relata.llm.merges import Merges
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    for change in ({"normalizer": {"type": "NFC"}}, {"model": spec["model"] | {"ignore_merges": True}}, {"pre_tokenizer": spec["pre_tokenizer"] | {"use_regex": False}}):
+        (tmp_path / "file.json").write_text(json.dumps(spec | change), encoding="utf-8")
+        assert Merges.of(str(tmp_path / "file.json")) is None
